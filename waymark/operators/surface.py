@@ -15,3 +15,36 @@ def query_parameters(rows: DataFrame, url: str = "url") -> DataFrame:
         F.filter("_pairs", lambda p: p["name"] == F.col("name")), lambda p: p["value"]
     )
     return named.withColumn("sample_values", F.slice(values, 1, 3)).drop("_pairs")
+
+
+# ---- Technologies ------------------------------------------------------
+
+
+def merge_tech(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """One row per name. Later sightings add 0.3 of their confidence, capped at 1."""
+    named = rows.withColumn("name", F.lower("name"))
+    first = F.min_by("confidence", order)
+    return named.groupBy("name").agg(
+        F.min_by("category", order).alias("category"),
+        F.coalesce(F.min_by("version", F.when(F.col("version") != "", F.col(order))), F.lit("")).alias("version"),
+        F.least(F.lit(1.0), first + 0.3 * (F.sum("confidence") - first)).alias("confidence"),
+        F.sum("evidence_count").alias("evidence_count"),
+    )
+
+
+def merge_tech_live(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """The live view: same rows, but the highest confidence stands."""
+    return rows.groupBy(F.lower("name").alias("name")).agg(
+        F.min_by("category", order).alias("category"), F.max("confidence").alias("confidence")
+    )
+
+
+def implied_paths(tech: DataFrame) -> DataFrame:
+    return tech.select(F.explode("implied_paths").alias("path")).distinct()
+
+
+def tech_by_category(tech: DataFrame) -> DataFrame:
+    """Technologies of each category, most certain first."""
+    item = F.struct((-F.col("confidence")).alias("order"), "name", "version", "confidence")
+    category = F.coalesce(F.nullif("category", F.lit("")), F.lit("other"))
+    return tech.groupBy(category.alias("category")).agg(F.sort_array(F.collect_list(item)).alias("items"))
