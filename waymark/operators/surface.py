@@ -48,3 +48,258 @@ def tech_by_category(tech: DataFrame) -> DataFrame:
     item = F.struct((-F.col("confidence")).alias("order"), "name", "version", "confidence")
     category = F.coalesce(F.nullif("category", F.lit("")), F.lit("other"))
     return tech.groupBy(category.alias("category")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+# ---- Endpoints ---------------------------------------------------------
+
+
+def merge_endpoints(observed: DataFrame, order: str = "seq") -> DataFrame:
+    """One row per METHOD and normalised URL.
+
+    Tags are united; page type and status come from the first sighting that
+    has one, everything else from the first sighting. ``tags`` holds the few
+    stage labels, so the set stays small however often a URL is seen.
+    """
+    rows = observed.withColumns({"method": F.upper("method"), "url": urls.normalize(F.col("url"))})
+    seq = F.col(order)
+    return rows.groupBy("method", "url").agg(
+        F.min(seq).alias("seq"),
+        F.min_by("source_module", seq).alias("source_module"),
+        F.min_by("content_type", seq).alias("content_type"),
+        F.min_by("depth", seq).alias("depth"),
+        F.coalesce(F.min_by("page_type", F.when(F.col("page_type") != "", seq)), F.lit("")).alias("page_type"),
+        F.min_by("status_code", F.when(F.col("status_code") != 0, seq)).alias("status_code"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
+    )
+
+
+def endpoint_parameters(observed: DataFrame, order: str = "seq", body: str | None = None) -> DataFrame:
+    """Long table of endpoint parameters: query names, and form-encoded body names."""
+    rows = observed.withColumns({"method": F.upper("method"), "url": urls.normalize(F.col("url"))})
+    found = query_parameters(rows).withColumn("location", F.lit("query"))
+    keep = ["method", "url", "name", "location", "sample_values", order]
+    found = found.select(*keep)
+    if body is not None:
+        posted = rows.where(F.col(body) != "").withColumn("_form", F.concat(F.lit("?"), F.col(body)))
+        posted = query_parameters(posted, "_form").withColumn("location", F.lit("body"))
+        found = found.unionByName(posted.select(*keep))
+    return found.groupBy("method", "url", "name", "location").agg(
+        F.min_by("sample_values", order).alias("sample_values"), F.min(order).alias("seq")
+    )
+
+
+def with_param_count(endpoints: DataFrame, params: DataFrame) -> DataFrame:
+    """Adds the number of distinct parameter names."""
+    counts = params.groupBy("method", "url").agg(F.countDistinct("name").alias("param_count"))
+    return endpoints.join(counts, ["method", "url"], "left").withColumn(
+        "param_count", F.coalesce("param_count", F.lit(0).cast("long"))
+    )
+
+
+def attach_parameters(endpoints: DataFrame, params: DataFrame) -> DataFrame:
+    """Nested ``parameters`` for the exports that need whole endpoints."""
+    item = F.struct("seq", "name", "location", "sample_values")
+    nested = params.groupBy("method", "url").agg(F.sort_array(F.collect_list(item)).alias("parameters"))
+    empty = F.array().cast(nested.schema["parameters"].dataType)
+    return endpoints.join(nested, ["method", "url"], "left").withColumn("parameters", F.coalesce("parameters", empty))
+
+
+def known_parameters(txn: DataFrame, registered: DataFrame) -> DataFrame:
+    """Distinct parameter names per base URL from traffic and registry."""
+    seen = txn.select(F.explode(urls.query_names(F.col("request_url"))).alias("name"), F.col("request_url"))
+    seen = seen.select(urls.base_url(F.col("request_url")).alias("base_url"), "name")
+    return seen.union(registered.select("url", "name")).distinct()
+
+
+def unspidered(endpoints: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Known endpoints never expanded, one per normalised URL."""
+    norm = urls.normalize(F.col("url"))
+    done = expanded.select(norm.alias("norm")).distinct()
+    left = endpoints.withColumn("norm", norm).join(done, "norm", "left_anti")
+    return left.groupBy("norm").agg(F.min_by(F.struct(*endpoints.columns), "seq").alias("e")).select("e.*")
+
+
+# ---- Input vectors -----------------------------------------------------
+
+
+def merge_vectors(vectors: DataFrame, order: str = "seq") -> DataFrame:
+    """One row per URL, name and location. Risks are united, reflection sticks."""
+    risks = F.array_distinct(F.concat("risk_indicators", classify.name_risks(F.col("name"))))
+    return vectors.withColumn("risk_indicators", risks).groupBy("endpoint_url", "name", "location").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("risk_indicators")))).alias("risk_indicators"),
+        F.bool_or("is_reflected").alias("is_reflected"),
+        F.min_by("input_type", order).alias("input_type"),
+        F.min_by("sample_values", order).alias("sample_values"),
+        F.min_by("source_module", order).alias("source_module"),
+        F.min(order).alias("seq"),
+    )
+
+
+def reflected_parameters(params: DataFrame, txn: DataFrame) -> DataFrame:
+    """(url, name, location) whose sample value shows up in a response body.
+
+    ``params``: url, name, location, sample_values. Short values and short
+    numbers are no evidence. Bodies are cut down to one row per (url, body).
+    """
+    usable = F.filter(
+        "sample_values", lambda v: (F.length(v) >= 4) & ~(v.rlike("^[0-9]+$") & (F.length(v) < 6))
+    )
+    asked = params.select("url", "name", "location", usable.alias("values")).where(F.size("values") > 0).distinct()
+    wanted = asked.select(F.col("url").alias("request_url")).distinct()
+    bodies = txn.select("request_url", "response_body").where(F.col("response_body") != "")
+    bodies = bodies.join(wanted, "request_url", "left_semi").distinct()
+    hits = asked.join(bodies, asked.url == bodies.request_url).where(
+        F.exists("values", lambda v: F.col("response_body").contains(v))
+    )
+    return hits.select("url", "name", "location").distinct()
+
+
+# Fixed values: (technology, parameter name pattern, risk tag)
+TECH_RISKS = [
+    ("php", "(?i)file|path|include|require|page|dir", "lfi_elevated_php"),
+    ("php", "(?i)cmd|exec|system|shell", "cmdi_elevated_php"),
+    ("java", "(?i)class|bean|type|object", "deserialization_risk_java"),
+    ("aspnet", "(?i)__VIEWSTATE|__EVENTVALIDATION", "viewstate_deserialization"),
+    ("rails", "(?i)template|render|partial", "ssti_elevated_rails"),
+    ("django", "(?i)template|render", "ssti_elevated_django"),
+    ("wordpress", "(?i)action|plugin|theme", "wp_plugin_abuse"),
+]
+
+
+def tech_risks(params: DataFrame, tech: DataFrame, rules=TECH_RISKS) -> DataFrame:
+    """Risk tags that a detected technology adds to parameter names.
+
+    Names repeat, so the patterns run once per distinct name; the technology
+    side has one row per rule at most.
+    """
+    names = params.select("name").distinct()
+    hits = [
+        F.when(F.col("name").rlike(p), F.struct(F.lit(t).alias("tech"), F.lit(tag).alias("risk"))) for t, p, tag in rules
+    ]
+    tagged = names.select("name", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("name", "h.*")
+    known = sorted({t for t, _, _ in rules})
+    present = tech.select(F.lower("name").alias("tech")).where(F.col("tech").isin(known)).distinct()
+    return tagged.join(present, "tech", "left_semi").select("name", "risk")
+
+
+def classify_vectors(params: DataFrame, txn: DataFrame, tech: DataFrame) -> DataFrame:
+    """Typed, risk-tagged input vectors from endpoint parameters."""
+    typed = params.withColumn("input_type", classify.infer_type(F.col("name"), F.col("sample_values")))
+    echoed = reflected_parameters(params, txn).withColumn("is_reflected", F.lit(True))
+    rows = typed.join(echoed, ["url", "name", "location"], "left").withColumn(
+        "is_reflected", F.coalesce("is_reflected", F.lit(False))
+    )
+    elevated = tech_risks(params, tech).groupBy("name").agg(F.collect_set("risk").alias("tech_risks"))
+    rows = rows.join(elevated, "name", "left")
+    by_type = (
+        F.when(F.col("input_type") == "url", "ssrf_candidate").when(F.col("input_type") == "path", "lfi_candidate")
+        .when(F.col("input_type") == "json", "injection_candidate")
+    )
+    extra = F.array_compact(F.array(
+        F.when(F.col("is_reflected"), "reflected_xss_candidate"), by_type,
+        F.when(F.upper("method").isin("PUT", "DELETE", "PATCH"), "state_changing_method"),
+    ))
+    risks = F.array_distinct(F.concat(
+        classify.endpoint_risks(F.col("url")), extra, F.coalesce("tech_risks", F.array().cast("array<string>"))
+    ))
+    return rows.select(
+        F.col("url").alias("endpoint_url"), "name", "location", "input_type", "is_reflected", "sample_values",
+        risks.alias("risk_indicators"), F.lit("classifier").alias("source_module"), "seq",
+    )
+
+
+# ---- Boundaries, secrets, schemas --------------------------------------
+
+
+def merge_boundaries(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """One row per URL and method; per role the last status stands.
+
+    ``rows``: url, method, boundary_type, unauth_status, auth_status, role, status.
+    """
+    latest = rows.groupBy("url", "method", "role").agg(F.max_by("status", order).alias("status"))
+    matrix = latest.groupBy("url", "method").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "status")))).alias("access_matrix")
+    )
+    first = rows.groupBy("url", "method").agg(
+        F.min_by(F.struct("boundary_type", "unauth_status", "auth_status"), order).alias("f"), F.min(order).alias("seq")
+    )
+    return first.join(matrix, ["url", "method"]).select("url", "method", "f.*", "access_matrix", "seq")
+
+
+def distinct_secrets(secrets: DataFrame, order: str = "seq") -> DataFrame:
+    """First sighting of each value."""
+    return secrets.groupBy("value").agg(F.min_by(F.struct("kind", "source_url"), order).alias("f")).select("value", "f.*")
+
+
+def distinct_schemas(schemas: DataFrame, order: str = "seq") -> DataFrame:
+    return schemas.groupBy("url", "schema_type").agg(F.min(order).alias("seq"))
+
+
+def require_auth(endpoints: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Sets requires_auth where the URL has a boundary."""
+    bounded = boundaries.select("url").distinct().withColumn("requires_auth", F.lit(True))
+    return endpoints.drop("requires_auth").join(bounded, "url", "left").withColumn(
+        "requires_auth", F.coalesce("requires_auth", F.lit(False))
+    )
+
+
+def unbounded_auth_endpoints(endpoints: DataFrame, boundaries: DataFrame) -> DataFrame:
+    return endpoints.where("requires_auth").join(boundaries.select("url"), "url", "left_anti")
+
+
+# ---- Report ------------------------------------------------------------
+
+DEBUG_TAGS = ["debug", "actuator", "phpinfo"]
+
+
+def open_admin(endpoints: DataFrame) -> DataFrame:
+    return endpoints.where((F.col("page_type") == "admin") & ~F.col("requires_auth"))
+
+
+def exposed_debug(endpoints: DataFrame) -> DataFrame:
+    return endpoints.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in DEBUG_TAGS])))
+
+
+def entity_counts(**tables: DataFrame) -> DataFrame:
+    """(entity, n) rows, one per table."""
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def risk_summary(endpoints: DataFrame, vectors: DataFrame, boundaries: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Counts and the 0 to 100 score as one row."""
+    counts = entity_counts(
+        total_endpoints=endpoints, total_input_vectors=vectors,
+        high_risk_vectors=vectors.where(F.size("risk_indicators") > 0), auth_boundaries_found=boundaries,
+        unprotected_admin_paths=open_admin(endpoints), exposed_debug_endpoints=exposed_debug(endpoints),
+        secrets_found=secrets, unbounded=unbounded_auth_endpoints(endpoints, boundaries),
+    )
+    names = ["total_endpoints", "total_input_vectors", "high_risk_vectors", "auth_boundaries_found",
+             "unprotected_admin_paths", "exposed_debug_endpoints", "secrets_found", "unbounded"]
+    row = counts.agg(*[F.max(F.when(F.col("entity") == n, F.col("n"))).alias(n) for n in names])
+
+    def points(name: str, each: float, most: float) -> Column:
+        return F.least(F.lit(most), F.col(name) * each)
+
+    score = F.least(
+        F.lit(100.0),
+        points("high_risk_vectors", 2.0, 40.0) + points("secrets_found", 5.0, 20.0)
+        + points("unprotected_admin_paths", 5.0, 15.0) + points("exposed_debug_endpoints", 5.0, 15.0)
+        + points("unbounded", 2.0, 10.0),
+    )
+    return row.withColumn("score", score).drop("unbounded")
+
+
+def high_risk_findings(endpoints: DataFrame, vectors: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Risky vectors, open admin, exposed debug and secrets in one table."""
+    def kind(rows: DataFrame, name: str, url: str, detail: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("kind"), F.col(url).alias("url"), detail.alias("detail"))
+
+    risky = vectors.where(F.size("risk_indicators") > 0)
+    out = kind(risky, "input_vector", "endpoint_url", F.concat("name", F.lit(" @ "), "location"))
+    out = out.unionByName(kind(open_admin(endpoints), "open_admin", "url", F.col("method")))
+    out = out.unionByName(kind(exposed_debug(endpoints), "exposed_debug", "url", F.col("method")))
+    return out.unionByName(kind(secrets, "secret", "source_url", F.col("kind")))

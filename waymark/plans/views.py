@@ -250,3 +250,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "obs").withColumn(
         "tags", F.filter(F.array("tag1", "tag2"), lambda t: t != "")
     ).drop("tag1", "tag2")
+
+
+# Script files as mined by the script passes: one body per URL, the earliest
+DUCK["script_v"] = "SELECT request_url AS source_url, 0 AS script_no, response_body AS source FROM txn WHERE kind = 'script' QUALIFY row_number() OVER (PARTITION BY request_url ORDER BY ts, id) = 1"
+DUCK["script_secret_v"] = """
+SELECT source_url, kind, value FROM (
+  SELECT source_url, 'aws_access_key' AS kind, unnest(regexp_extract_all(source, '(AKIA[A-Z0-9]{16})', 1)) AS value FROM script_v
+  UNION ALL SELECT source_url, 'jwt_token', unnest(regexp_extract_all(source, '(eyJ[a-zA-Z0-9_-]{10,}[.][a-zA-Z0-9_-]{10,}[.][a-zA-Z0-9_-]{10,})', 1)) FROM script_v
+  UNION ALL SELECT source_url, 'credential', unnest(regexp_extract_all(source, '(?i)(?:api_key|token|secret|password) *[:=] *"([^"]{8,})"', 1)) FROM script_v) s"""
