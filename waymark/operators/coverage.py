@@ -108,13 +108,12 @@ def mutation_energy(post: DataFrame) -> DataFrame:
     """Candidate budget per template, 1 to 30.
 
     The share of a template only matters below one percent of all alphas; the
-    total is one row, sent to every task.
+    total is a scalar subquery.
     """
-    total = post.agg(F.sum("alpha").alias("total_alpha"))
-    rows = post.join(F.broadcast(total), F.lit(True))
-    share = F.greatest(F.col("alpha") / F.col("total_alpha"), F.lit(0.01))
+    total = post.agg(F.sum("alpha").alias("total_alpha")).scalar()
+    share = F.greatest(F.col("alpha") / total, F.lit(0.01))
     energy = F.floor(F.pow(F.lit(3.0), F.least("alpha", F.lit(5))) / share).cast("long")
-    return rows.withColumn("energy", F.greatest(F.lit(1), F.least(energy, F.lit(30)))).drop("total_alpha")
+    return post.withColumn("energy", F.greatest(F.lit(1), F.least(energy, F.lit(30))))
 
 
 def template_lists(post: DataFrame, k: int = 20) -> DataFrame:

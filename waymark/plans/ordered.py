@@ -33,7 +33,7 @@ def win_01(spark, sf):
 
 @query("win_02_saturation", "SELECT id, pos, round(rate, 6) AS discovery_rate, pos >= 200 AND rate < 0.02 AS saturated FROM sat_v")
 def win_02(spark, sf):
-    return coverage.saturation(flags(spark, sf), block_rows=1024).select("id", "pos", F.round("discovery_rate", 6).alias("discovery_rate"), "saturated")
+    return coverage.saturation(flags(spark, sf)).select("id", "pos", F.round("discovery_rate", 6).alias("discovery_rate"), "saturated")
 
 
 _FPRINT = f"upper(request_method) || '|' || {q.normalize('request_url')} || '|' || request_body || '|' || auth_role"
@@ -95,12 +95,12 @@ FROM flow_rows GROUP BY crawl_id, auth_role, grp HAVING count(*) >= 2"""
 
 @query("win_06_flows", "SELECT * FROM flow_v")
 def win_06(spark, sf):
-    return flows.flows(flows.flow_steps(views.transactions(spark, sf), block_rows=512))
+    return flows.flows(flows.flow_steps(views.transactions(spark, sf)))
 
 
 @query("win_06_flow_steps", "SELECT id, min(pos) OVER (PARTITION BY crawl_id, auth_role, grp) AS flow, pos - min(pos) OVER (PARTITION BY crawl_id, auth_role, grp) + 1 AS step FROM flow_rows")
 def win_06_steps(spark, sf):
-    return flows.flow_steps(views.transactions(spark, sf), block_rows=512).select("id", "flow", "step")
+    return flows.flow_steps(views.transactions(spark, sf)).select("id", "flow", "step")
 
 
 DUCK["move_v"] = f"""
@@ -118,7 +118,7 @@ WITH g AS (SELECT m.from_state, m.to_state, count(*) AS n FROM (SELECT DISTINCT
   WHERE s.url NOT IN (SELECT b.url FROM state_url b WHERE b.state = m.from_state) GROUP BY 1, 2)
 SELECT crawl_id, id, v.from_state, v.to_state, trigger_url, trigger_status, coalesce(g.n, 0) AS new_endpoints FROM move_v v LEFT JOIN g USING (from_state, to_state)""")
 def win_07(spark, sf):
-    moves = flows.state_transitions(views.transactions(spark, sf), block_rows=512)
+    moves = flows.state_transitions(views.transactions(spark, sf))
     gained = flows.gained_endpoints(state_pairs(spark, sf), moves)
     return moves.join(gained, ["from_state", "to_state"]).select(
         "crawl_id", "id", "from_state", "to_state", "trigger_url", "trigger_status", "new_endpoints"
@@ -146,13 +146,13 @@ _DOM_OK = f"(SELECT {q.authority('request_url')} AS domain, response_status <> 4
 UNION ALL SELECT 'host', host, length FROM ({_islands(_HOST_MISS, 'host', 'miss')}) b WHERE miss AND length >= 4""")
 def win_09(spark, sf):
     txn = views.transactions(spark, sf)
-    same = flows.unchanged_streaks(txn, least=3, block_rows=512).select(F.lit("endpoint").alias("kind"), F.col("url").alias("key"), "length")
-    return same.union(flows.miss_streaks(txn, least=4, block_rows=512).select(F.lit("host"), "host", "length"))
+    same = flows.unchanged_streaks(txn, least=3).select(F.lit("endpoint").alias("kind"), F.col("url").alias("key"), "length")
+    return same.union(flows.miss_streaks(txn, least=4).select(F.lit("host"), "host", "length"))
 
 
 @query("win_10_ok_streaks", f"SELECT domain, length FROM ({_islands(_DOM_OK, 'domain', 'ok')}) a WHERE ok")
 def win_10(spark, sf):
-    return flows.ok_streaks(views.transactions(spark, sf), block_rows=512).select("domain", "length")
+    return flows.ok_streaks(views.transactions(spark, sf)).select("domain", "length")
 
 
 # ---- Coverage statistics -----------------------------------------------

@@ -39,7 +39,8 @@ def with_views(sql: str) -> str:
     visit(sql)
     ctes = [f"{n} AS ({views.DUCK[n]})" for n in needed]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        ctes.append(body[5:])
-        return "WITH " + ", ".join(ctes)
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            ctes.append(body[len(lead):])
+            return lead + ", ".join(ctes)
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + body

@@ -187,6 +187,9 @@ _VALUE = """CASE ({n}) % 14 WHEN 0 THEN '12' WHEN 1 THEN '-1.5' WHEN 2 THEN 'YES
 COMMON["sample_v"] = COMMON["sample_v"].format(
     v1=_VALUE.format(n="event_id"), v2=_VALUE.format(n="event_id * 3 + 1"), v3=_VALUE.format(n="event_id - event_id % 14"))
 
+COMMON["edge"] = f"""
+SELECT src, dst, min(event_id) AS seq FROM (SELECT event_id, concat('n', {_s('user_id')}) AS src, concat('n', {_s('(user_id * 5 + event_id % 3) % 150')}) AS dst FROM @events) e GROUP BY src, dst"""
+
 
 def _plain(text: str) -> str:
     return re.sub(r"@(\w+)", r"\1", text)
