@@ -303,3 +303,24 @@ def high_risk_findings(endpoints: DataFrame, vectors: DataFrame, secrets: DataFr
     out = out.unionByName(kind(open_admin(endpoints), "open_admin", "url", F.col("method")))
     out = out.unionByName(kind(exposed_debug(endpoints), "exposed_debug", "url", F.col("method")))
     return out.unionByName(kind(secrets, "secret", "source_url", F.col("kind")))
+
+
+PASSIVE_TAGS = ["wayback", "commoncrawl", "otx"]
+
+
+def report_tables(endpoints: DataFrame, vectors: DataFrame, crawled: int = 50, passive: int = 30, risky: int = 30) -> DataFrame:
+    """The report's top rows: crawled and passive endpoints, risky vectors."""
+    is_passive = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in PASSIVE_TAGS]))
+    key = F.concat_ws(" ", "method", "url").alias("key")
+    out = endpoints.where(~is_passive).orderBy("seq").limit(crawled).select(F.lit("crawled").alias("section"), key)
+    out = out.union(endpoints.where(is_passive).orderBy("seq").limit(passive).select(F.lit("passive"), key))
+    top = vectors.where(F.size("risk_indicators") > 0).orderBy("endpoint_url", "name", "location").limit(risky)
+    return out.union(top.select(F.lit("risky"), F.concat_ws(" ", "endpoint_url", "name", "location")))
+
+
+def path_search(endpoints: DataFrame, text: str) -> DataFrame:
+    """Per path the endpoint with most parameters, first found on a tie."""
+    path = F.coalesce(F.nullif(urls.path(F.col("url")), F.lit("")), F.lit("/"))
+    rows = endpoints.withColumn("path", path).where(F.lower("path").contains(text.lower()))
+    best = rows.groupBy("path").agg(F.min_by(F.struct("method", "url", "param_count"), F.struct(-F.col("param_count"), "seq")).alias("b"))
+    return best.select("path", "b.*").orderBy("path")
