@@ -11,21 +11,21 @@ from .surface import counted
 
 
 def edges(spark, sf):
-    return views.table(spark, sf, "edge")
+    return views.table(spark, sf, "state_edge")
 
 
 @query("grf_01_reachable_states", """
-WITH RECURSIVE r AS (SELECT dst AS node FROM edge WHERE src = 'n7' UNION SELECT e.dst FROM r JOIN edge e ON e.src = r.node) SELECT node FROM r""")
+WITH RECURSIVE r AS (SELECT dst AS node FROM state_edge WHERE src = 'n7' UNION SELECT e.dst FROM r JOIN state_edge e ON e.src = r.node) SELECT node FROM r""")
 def grf_01(spark, sf):
     return graph.reachable(edges(spark, sf), "n7").select("node")
 
 
 @query("grf_02_shortest_path", """
-WITH RECURSIVE p AS (SELECT dst AS node, [seq] AS seqs, 1 AS n FROM edge WHERE src = 'n7'
-  UNION ALL SELECT node, seqs, n FROM (SELECT e.dst AS node, list_append(p.seqs, e.seq) AS seqs, p.n + 1 AS n FROM p JOIN edge e ON e.src = p.node WHERE p.n < 12
+WITH RECURSIVE p AS (SELECT dst AS node, [seq] AS seqs, 1 AS n FROM state_edge WHERE src = 'n7'
+  UNION ALL SELECT node, seqs, n FROM (SELECT e.dst AS node, list_append(p.seqs, e.seq) AS seqs, p.n + 1 AS n FROM p JOIN state_edge e ON e.src = p.node WHERE p.n < 12
     QUALIFY row_number() OVER (PARTITION BY e.dst ORDER BY list_append(p.seqs, e.seq)) = 1) s),
 b AS (SELECT seqs FROM p WHERE node = 'n100' ORDER BY n, seqs LIMIT 1)
-SELECT i AS step, e.src, e.dst, e.seq FROM (SELECT unnest(seqs) AS seq, unnest(range(1, len(seqs) + 1)) AS i FROM b) s JOIN edge e USING (seq)""")
+SELECT i AS step, e.src, e.dst, e.seq FROM (SELECT unnest(seqs) AS seq, unnest(range(1, len(seqs) + 1)) AS i FROM b) s JOIN state_edge e USING (seq)""")
 def grf_02(spark, sf):
     return graph.shortest_path(edges(spark, sf), "n7", "n100")
 

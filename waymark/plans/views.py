@@ -187,7 +187,7 @@ _VALUE = """CASE ({n}) % 14 WHEN 0 THEN '12' WHEN 1 THEN '-1.5' WHEN 2 THEN 'YES
 COMMON["sample_v"] = COMMON["sample_v"].format(
     v1=_VALUE.format(n="event_id"), v2=_VALUE.format(n="event_id * 3 + 1"), v3=_VALUE.format(n="event_id - event_id % 14"))
 
-COMMON["edge"] = f"""
+COMMON["state_edge"] = f"""
 SELECT src, dst, min(event_id) AS seq FROM (SELECT event_id, concat('n', {_s('user_id')}) AS src, concat('n', {_s('(user_id * 5 + event_id % 3) % 150')}) AS dst FROM @events) e GROUP BY src, dst"""
 
 
@@ -207,8 +207,12 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A COMMON view as a Spark DataFrame over the driver's files."""
+def table(spark: SparkSession, sf_dir: str, name: str, **replaced: str) -> DataFrame:
+    """A COMMON view as a Spark DataFrame over the driver's files.
+
+    ``replaced`` names temporary views that stand in for driver tables, which
+    is how a stream gets the same view.
+    """
     order: list[str] = []
 
     def visit(text: str) -> None:
@@ -220,7 +224,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     visit(name)
     def real(text: str) -> str:
-        return re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", text)
+        def source(m: re.Match) -> str:
+            return replaced.get(m.group(1)) or f"parquet.`{sf_dir}/{m.group(1)}.parquet`"
+
+        return re.sub(r"@(\w+)", source, text)
     ctes = ", ".join(f"{n} AS ({real(COMMON[n])})" for n in order)
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}")
 
@@ -237,9 +244,9 @@ def headers_map() -> Column:
     return F.map_from_entries(F.array_compact(F.array(*pairs)))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, **replaced: str) -> DataFrame:
     """The request log in the shape of ``schema.TRANSACTIONS``, bodies decoded."""
-    df = table(spark, sf_dir, "txn")
+    df = table(spark, sf_dir, "txn", **replaced)
     return df.select(
         "id", F.col("ts").cast("timestamp").alias("ts"), "crawl_id", "auth_role", "request_method",
         "request_url", "request_body", "response_status", headers_map().alias("response_headers"),
