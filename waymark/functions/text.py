@@ -36,3 +36,8 @@ def digest(col: Column, length: int = 16) -> Column:
 
 def string_array(words: Iterable[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
+
+
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..cluster import cut_lineage
+
 HTTP_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
 LOCATIONS = ["query", "header", "path", "cookie"]
 MAX_DEPTH = 5
@@ -94,7 +96,11 @@ def body_parameters(ops: DataFrame, named: DataFrame, rounds: int = MAX_DEPTH +
     media = _open(body, "try_variant_get(rb, '$.content', 'variant')", key, "media", "m").where("media IS NOT NULL")
     work = media.select(*key, F.lit("").alias("prefix"), _get("m", "$.schema", "variant").alias("node"), F.array().cast("array<string>").alias("taken"))
     out = None
+    named = cut_lineage(named)
     for _ in range(rounds):
+        work = cut_lineage(work)
+        if out is not None and work.isEmpty():
+            break
         work = _resolve(work.where("node IS NOT NULL"), named)
         kind = F.coalesce(_get("node", "$.type"), F.lit("object"))
         required = F.coalesce(_get("node", "$.required", "array<string>"), F.array().cast("array<string>"))

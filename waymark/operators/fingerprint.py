@@ -2,9 +2,9 @@
 
 Every detector yields evidence rows
 ``component, category, source, detail, confidence, version, hits, first_seen``.
-Headers are counted per distinct value before any regex runs. Page regexes run
-in the scan itself, so bodies are never shuffled; only the small evidence rows
-move, keyed by body hash where a body must count once.
+A detector is one SQL array of ``CASE`` arms over literal regexes, so a
+signature list compiles into the scan; only the small evidence rows are
+shuffled, never a body. Bodies that must count once are keyed by their hash.
 """
 
 from __future__ import annotations
@@ -13,28 +13,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..cluster import cut_lineage
 from ..functions import classify, html, urls
 from ..functions.structure import header
-from ..functions.text import string_array
+from ..functions.text import sql_text
 from ..signatures import infra, tech
 
 SOFT_404_COUNT = 5
 MIN_BODY_BYTES = 32
 KEEP_CONFIDENCE = 0.30
 EVIDENCE = ["component", "category", "source", "detail", "confidence", "version", "hits", "first_seen"]
+HIT = "array<struct<component:string,category:string,source:string,detail:string,confidence:double,version:string>>"
 
 
-def _hit(component, category, source, detail: Column, confidence, version: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(component).alias("component"), F.lit(category).alias("category"), F.lit(source).alias("source"),
-        detail.alias("detail"), F.lit(float(confidence)).alias("confidence"),
-        (F.lit("") if version is None else version).alias("version"),
+def _hit(component: str, category: str, source: str, detail: str, confidence: float, version: str = "''") -> str:
+    """SQL struct; ``detail`` and ``version`` are SQL expressions."""
+    return (
+        f"named_struct('component', {sql_text(component)}, 'category', {sql_text(category)}, 'source', {sql_text(source)}, "
+        f"'detail', {detail}, 'confidence', {float(confidence)!r}D, 'version', {version})"
     )
 
 
-def _explode_hits(rows: DataFrame, hits: Sequence[Column], keep: Sequence[str]) -> DataFrame:
-    found = F.explode(F.array_compact(F.array(*hits)))
-    return rows.select(*keep, found.alias("hit")).select(*keep, "hit.*")
+def _arms(arms: Sequence[tuple[str, str]]) -> str:
+    """SQL array of the hits whose condition holds."""
+    if not arms:
+        return f"CAST(array() AS {HIT})"
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {when} THEN {hit} END" for when, hit in arms) + "))"
+
+
+def _version(value: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({value}, {sql_text(pattern)}, {group})" if group else "''"
+
+
+def _opened(rows: DataFrame, hits: str, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.explode(F.expr(hits)).alias("hit")).select(*keep, "hit.*")
 
 
 def _sum_up(rows: DataFrame) -> DataFrame:
@@ -46,157 +58,167 @@ def _sum_up(rows: DataFrame) -> DataFrame:
     ).withColumn("version", F.coalesce("version", F.lit(""))).select(*EVIDENCE)
 
 
-def _version(value: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(value, pattern, group) if group else F.lit("")
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"hits": F.lit(1), "first_seen": F.struct("ts", "id")})
 
 
-# ---- Headers -----------------------------------------------------------
+# ---- Header entries ----------------------------------------------------
 
 
-def header_values(txn: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Distinct (header, value) with count and first arrival."""
-    rows = txn.select("ts", "id", F.explode("response_headers").alias("name", "value"))
-    rows = rows.withColumn("header", F.lower("name")).where(F.col("header").isin(list(names)) & (F.col("value") != ""))
-    return rows.groupBy("header", "value").agg(F.count("*").alias("hits"), F.min(F.struct("ts", "id")).alias("first_seen"))
+def _entries(txn: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per response header of interest, name in lower case."""
+    rows = txn.select("ts", "id", F.explode("response_headers").alias("_name", "value"))
+    return rows.select("ts", "id", F.lower("_name").alias("name"), "value").where(F.col("name").isin(list(names)) & (F.col("value") != ""))
 
 
-def header_matches(txn: DataFrame, signatures=infra.HEADERS) -> DataFrame:
-    values = header_values(txn, sorted({s[2] for s in signatures}))
-    name, value = F.col("header"), F.col("value")
-    detail = F.concat(name, F.lit(": "), F.substring(value, 1, 80))
-    hits = [
-        F.when((name == h) & value.rlike(p), _hit(comp, cat, "header", detail, conf, _version(value, p, group)))
-        for comp, cat, h, p, conf, group in signatures
+def _header_sql(signatures) -> str:
+    detail = "concat(name, ': ', substring(value, 1, 80))"
+    return _arms([
+        (f"name = {sql_text(h)} AND value RLIKE {sql_text(p)}", _hit(comp, cat, "header", detail, conf, _version("value", p, g)))
+        for comp, cat, h, p, conf, g in signatures
+    ])
+
+
+def _cookie_sql(signatures) -> str:
+    arms = [
+        (f"startswith(c.name, {sql_text(mark)})" if prefix else f"c.name = {sql_text(mark)}",
+         _hit(comp, cat, "cookie", "concat('Set-Cookie: ', c.name)", conf))
+        for comp, cat, mark, prefix, conf in signatures
     ]
-    return _sum_up(_explode_hits(values, hits, ["hits", "first_seen"]))
+    return f"flatten(transform(cookies, c -> {_arms(arms)}))"
 
 
-def header_prefix_matches(txn: DataFrame, signatures=infra.HEADER_PREFIXES) -> DataFrame:
-    """First header that starts with the prefix, once per response."""
-    entries = F.map_entries("response_headers")
+def _via_sql(proxies) -> str:
+    arms = [(f"contains(lower(hop), {sql_text(p)})", _hit(p, "proxy", "via_header", "concat('Via: ', hop)", 0.80)) for p in proxies]
+    return f"CASE WHEN name = 'via' THEN flatten(transform(transform(split(value, ','), h -> trim(h)), hop -> {_arms(arms)})) ELSE CAST(array() AS {HIT}) END"
+
+
+def _with_cookies(entries: DataFrame) -> DataFrame:
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return entries.withColumn("cookies", F.when(F.col("name") == "set-cookie", classify.cookie_pairs(F.col("value"))).otherwise(none))
 
-    def first_with(prefix: str) -> Column:
-        return F.get(F.filter(entries, lambda x: F.lower(x["key"]).startswith(prefix)), F.lit(0))
 
-    hits = []
+def header_matches(txn: DataFrame, signatures=infra.HEADERS) -> DataFrame:
+    rows = _entries(txn, sorted({s[2] for s in signatures}))
+    return _sum_up(_counted(_opened(rows, _header_sql(signatures), "ts", "id")))
+
+
+def cookie_matches(txn: DataFrame, signatures=infra.COOKIES) -> DataFrame:
+    rows = _with_cookies(_entries(txn, ["set-cookie"]))
+    return _sum_up(_counted(_opened(rows, _cookie_sql(signatures), "ts", "id")))
+
+
+def via_matches(txn: DataFrame, proxies=infra.VIA_PROXIES) -> DataFrame:
+    return _sum_up(_counted(_opened(_entries(txn, ["via"]), _via_sql(proxies), "ts", "id")))
+
+
+# ---- Whole responses ---------------------------------------------------
+
+
+def _named(txn: DataFrame) -> DataFrame:
+    """Adds the header names in order, lower case, and the entries."""
+    entries = F.transform(
+        F.map_entries("response_headers"), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value"))
+    )
+    return txn.withColumn("entries", entries).withColumn("names", F.transform("entries", lambda e: e["name"]))
+
+
+def _prefix_sql(signatures) -> str:
+    """First header that starts with the prefix, once per response."""
+    arms = []
     for comp, cat, prefix, conf in signatures:
-        e = first_with(prefix)
-        detail = F.concat(F.lower(e["key"]), F.lit(": "), F.substring(e["value"], 1, 80))
-        hits.append(F.when(e.isNotNull(), _hit(comp, cat, "header_prefix", detail, conf)))
-    rows = _explode_hits(txn, hits, ["ts", "id"])
-    return _sum_up(rows.withColumns({"hits": F.lit(1), "first_seen": F.struct("ts", "id")}))
+        first = f"get(filter(entries, e -> startswith(e.name, {sql_text(prefix)})), 0)"
+        arms.append((f"{first} IS NOT NULL", _hit(comp, cat, "header_prefix", f"concat({first}.name, ': ', substring({first}.value, 1, 80))", conf)))
+    return _arms(arms)
 
 
-def header_presence_matches(txn: DataFrame, signatures=infra.HEADER_PRESENCE) -> DataFrame:
+def _presence_sql(signatures) -> str:
     """All present headers there, none of the absent ones."""
-    names = F.array_sort(F.transform(F.map_keys("response_headers"), F.lower))
-    sets = txn.groupBy(names.alias("names")).agg(F.count("*").alias("hits"), F.min(F.struct("ts", "id")).alias("first_seen"))
-    hits = []
+    arms = []
     for comp, cat, present, absent, conf in signatures:
-        ok = F.size(F.array_except(string_array(present), "names")) == 0
-        text = f"has [{', '.join(present)}]"
-        if absent:
-            ok = ok & ~F.arrays_overlap("names", string_array(absent))
-            text += f" & missing [{', '.join(absent)}]"
-        hits.append(F.when(ok, _hit(comp, cat, "header_presence", F.lit(text), conf)))
-    return _sum_up(_explode_hits(sets, hits, ["hits", "first_seen"]))
+        text = f"has [{', '.join(present)}]" + (f" & missing [{', '.join(absent)}]" if absent else "")
+        tests = [f"array_contains(names, {sql_text(h)})" for h in present] + [f"NOT array_contains(names, {sql_text(h)})" for h in absent]
+        arms.append((" AND ".join(tests), _hit(comp, cat, "header_presence", sql_text(text), conf)))
+    return _arms(arms)
+
+
+def _error_sql(signatures) -> str:
+    return _arms([
+        (f"response_status BETWEEN {max(low, 400)} AND {high} AND response_body RLIKE {sql_text(p)}",
+         _hit(comp, cat, "error_page", f"concat('HTTP ', response_status, {sql_text(' body matches ' + comp)})", conf))
+        for comp, cat, p, conf, (low, high) in signatures
+    ])
+
+
+def header_prefix_matches(txn: DataFrame, signatures=infra.HEADER_PREFIXES) -> DataFrame:
+    return _sum_up(_counted(_opened(_named(txn), _prefix_sql(signatures), "ts", "id")))
+
+
+def header_presence_matches(txn: DataFrame, signatures=infra.HEADER_PRESENCE) -> DataFrame:
+    return _sum_up(_counted(_opened(_named(txn), _presence_sql(signatures), "ts", "id")))
+
+
+def error_page_matches(txn: DataFrame, signatures=infra.ERROR_PAGES) -> DataFrame:
+    rows = txn.where(F.col("response_status") >= 400)
+    return _sum_up(_counted(_opened(rows, _error_sql(signatures), "ts", "id")))
+
+
+# ---- Header order ------------------------------------------------------
+
+
+def _standard_order(rows: DataFrame) -> Column:
+    """Comma-joined standard headers in order; null when fewer than two."""
+    seq = F.filter("names", lambda h: h.isin(infra.STANDARD_HEADERS))
+    return F.when(F.size(seq) >= 2, F.array_join(seq, ","))
 
 
 def header_orders(txn: DataFrame) -> DataFrame:
     """Distinct sequences of standard headers (two or more) with counts."""
-    seq = F.filter(
-        F.transform(F.map_keys("response_headers"), F.lower), lambda h: h.isin(infra.STANDARD_HEADERS)
-    )
-    rows = txn.select("ts", "id", seq.alias("seq")).where(F.size("seq") >= 2)
-    return rows.groupBy(F.array_join("seq", ",").alias("names")).agg(
-        F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("first_seen")
-    )
+    rows = _named(txn)
+    rows = rows.select("ts", "id", _standard_order(rows).alias("sequence")).where("sequence IS NOT NULL")
+    return rows.groupBy("sequence").agg(F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("first_seen"))
 
 
-def header_order_matches(txn: DataFrame, signatures=infra.HEADER_ORDERS) -> DataFrame:
-    """Votes per component: responses whose headers contain its order."""
-    wrapped = F.concat(F.lit(","), "names", F.lit(","))
-    hits = [
-        F.when(
-            wrapped.rlike(_subsequence(order)),
-            F.struct(F.lit(comp).alias("component"), F.lit(cat).alias("category"), F.lit(float(conf)).alias("confidence"), F.lit(rank).alias("rank")),
-        )
+def _votes(orders: DataFrame, signatures) -> DataFrame:
+    arms = [
+        (f"concat(',', sequence, ',') RLIKE {sql_text(',' + ',(?:.*,)?'.join(order) + ',')}",
+         f"named_struct('component', {sql_text(comp)}, 'category', {sql_text(cat)}, 'confidence', {float(conf)!r}D, 'rank', {rank})")
         for rank, (comp, cat, order, conf) in enumerate(signatures)
     ]
-    rows = header_orders(txn).select("n", "first_seen", F.explode(F.array_compact(F.array(*hits))).alias("s"))
+    rows = orders.select("n", "first_seen", F.explode(F.expr(_arms(arms))).alias("s"))
     return rows.groupBy("s.component", "s.category", "s.confidence", "s.rank").agg(
         F.sum("n").alias("votes"), F.min("first_seen").alias("first_seen")
     )
 
 
-def _subsequence(order: Sequence[str]) -> str:
-    return "," + ",(?:.*,)?".join(order) + ","
+def header_order_matches(txn: DataFrame, signatures=infra.HEADER_ORDERS) -> DataFrame:
+    """Votes per component: responses whose headers contain its order."""
+    return _votes(header_orders(txn), signatures)
 
 
 def header_order_winner(txn: DataFrame, signatures=infra.HEADER_ORDERS) -> DataFrame:
     """Evidence for the order most responses share, when at least half do."""
-    votes = header_order_matches(txn, signatures).select(
-        F.struct("votes", -F.col("rank"), "component", "category", "confidence", "first_seen").alias("v"), F.lit(0).cast("long").alias("n")
-    )
-    totals = header_orders(txn).agg(F.sum("n").alias("n")).select(F.lit(None).cast(votes.schema["v"].dataType).alias("v"), "n")
-    best = votes.unionByName(totals).agg(F.max("v").alias("v"), F.max("n").alias("total"))
-    share = F.col("v.votes") / F.col("total")
-    text = F.format_string("Header ordering matched %s in %d/%d responses", "v.component", "v.votes", "total")
-    return best.where((F.col("total") >= 3) & (share >= 0.5)).select(
-        "v.component", "v.category", F.lit("header_order").alias("source"), text.alias("detail"), "v.confidence",
-        F.lit("").alias("version"), F.lit(1).cast("long").alias("hits"), "v.first_seen",
-    )
-
-
-def cookie_matches(txn: DataFrame, signatures=infra.COOKIES) -> DataFrame:
-    cookie = header(F.col("response_headers"), "set-cookie")
-    names = txn.select("ts", "id", F.explode(classify.cookie_pairs(cookie)).alias("c"))
-    names = names.groupBy(F.col("c.name").alias("name")).agg(
-        F.count("*").alias("hits"), F.min(F.struct("ts", "id")).alias("first_seen")
-    )
-    detail = F.concat(F.lit("Set-Cookie: "), "name")
-    hits = [
-        F.when(
-            F.col("name").startswith(mark) if prefix else F.col("name") == mark,
-            _hit(comp, cat, "cookie", detail, conf),
-        )
-        for comp, cat, mark, prefix, conf in signatures
-    ]
-    return _sum_up(_explode_hits(names, hits, ["hits", "first_seen"]))
+    return _winner(header_orders(txn), signatures)
 
 
-def via_matches(txn: DataFrame, proxies=infra.VIA_PROXIES) -> DataFrame:
-    hops = header_values(txn, ["via"]).select(
-        "hits", "first_seen", F.explode(F.transform(F.split("value", ","), lambda h: F.trim(h))).alias("hop")
+def _winner(orders: DataFrame, signatures) -> DataFrame:
+    best = _votes(orders, signatures).orderBy(F.col("votes").desc(), "rank").limit(1)
+    best = best.withColumn("total", orders.agg(F.sum("n").alias("n")).scalar())
+    text = F.format_string("Header ordering matched %s in %d/%d responses", "component", "votes", "total")
+    return best.where((F.col("total") >= 3) & (F.col("votes") / F.col("total") >= 0.5)).select(
+        "component", "category", F.lit("header_order").alias("source"), text.alias("detail"), "confidence",
+        F.lit("").alias("version"), F.lit(1).cast("long").alias("hits"), "first_seen",
     )
-    detail = F.concat(F.lit("Via: "), "hop")
-    hits = [F.when(F.lower("hop").contains(p), _hit(p, "proxy", "via_header", detail, 0.80)) for p in proxies]
-    return _sum_up(_explode_hits(hops, hits, ["hits", "first_seen"]))
-
-
-# ---- Bodies and URLs ---------------------------------------------------
 
 
-def error_page_matches(txn: DataFrame, signatures=infra.ERROR_PAGES) -> DataFrame:
-    status, body = F.col("response_status"), F.col("response_body")
-    hits = [
-        F.when(
-            status.between(low, high) & body.rlike(p),
-            _hit(comp, cat, "error_page", F.format_string(f"HTTP %d body matches {comp}", status), conf),
-        )
-        for comp, cat, p, conf, (low, high) in signatures
-    ]
-    rows = _explode_hits(txn.where(status >= 400), hits, ["ts", "id"])
-    return _sum_up(rows.withColumns({"hits": F.lit(1), "first_seen": F.struct("ts", "id")}))
+# ---- DNS, bodies and URLs ----------------------------------------------
 
 
 def cname_matches(dns: DataFrame, signatures=infra.CNAMES) -> DataFrame:
     """``dns``: host, cname. The first pattern that fits names the component."""
-    detail = F.concat("host", F.lit(" → "), "cname")
-    first = F.coalesce(
-        *[F.when(F.col("cname").rlike(p), _hit(comp, cat, "dns_cname", detail, 0.85)) for comp, cat, p in signatures]
-    )
-    return dns.where(F.col("host") != F.col("cname")).select("host", first.alias("hit")).where("hit IS NOT NULL").select("host", "hit.*")
+    arms = [(f"cname RLIKE {sql_text(p)}", _hit(comp, cat, "dns_cname", "concat(host, ' → ', cname)", 0.85)) for comp, cat, p in signatures]
+    rows = dns.where(F.col("host") != F.col("cname")).select("host", F.get(F.expr(_arms(arms)), F.lit(0)).alias("hit"))
+    return rows.where("hit IS NOT NULL").select("host", "hit.*")
 
 
 def body_key(body: Column) -> Column:
@@ -211,67 +233,78 @@ def soft_404_bodies(txn: DataFrame, least: int = SOFT_404_COUNT) -> DataFrame:
     return rows.groupBy("body_hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def page_matches(
-    txn: DataFrame, meta=tech.META_TAGS, scripts=tech.SCRIPT_SOURCES, bodies=tech.BODIES
-) -> DataFrame:
-    """Meta, script, link and markup hits of HTML pages, each body once."""
-    page = F.col("response_body")
-    pages = txn.where((F.col("response_status") < 400) & F.lower("response_content_type").contains("html"))
-    pages = pages.select("ts", "id", "response_body", body_key(page).alias("body_hash")).where("body_hash <> ''")
-
-    def tag_hits(tags: Column) -> Column:
-        return F.flatten(F.transform(tags, lambda t: F.array_compact(F.array(*[
-            F.when(
-                (t["name"] == name) & t["content"].rlike(p),
-                _hit(comp, cat, "meta_tag", F.concat(t["name"], F.lit('="'), t["content"], F.lit('"')), conf, _version(t["content"], p, g)),
-            ) for comp, cat, name, p, conf, g in meta
-        ]))))
-
-    def source_hits(refs: Column, source: str) -> Column:
-        return F.flatten(F.transform(refs, lambda r: F.array_compact(F.array(*[
-            F.when(r.rlike(p), _hit(comp, cat, source, F.substring(r, 1, 120), conf, _version(r, p, g)))
+def _page_sql(meta, scripts, bodies) -> str:
+    """Meta, script, link and markup hits of one HTML body."""
+    tags = _arms([
+        (f"t.name = {sql_text(name)} AND t.content RLIKE {sql_text(p)}",
+         _hit(comp, cat, "meta_tag", "concat(t.name, '=\"', t.content, '\"')", conf, _version("t.content", p, g)))
+        for comp, cat, name, p, conf, g in meta
+    ])
+
+    def refs(column: str, source: str) -> str:
+        arms = _arms([
+            (f"r RLIKE {sql_text(p)}", _hit(comp, cat, source, "substring(r, 1, 120)", conf, _version("r", p, g)))
             for comp, cat, p, conf, g in scripts
-        ]))))
+        ])
+        return f"flatten(transform({column}, r -> {arms}))"
 
-    markup = F.array_compact(F.array(*[
-        F.when(page.rlike(p), _hit(comp, cat, "body", F.substring(F.regexp_extract(page, p, 0), 1, 80), conf))
+    markup = _arms([
+        (f"response_body RLIKE {sql_text(p)}", _hit(comp, cat, "body", f"substring(regexp_extract(response_body, {sql_text(p)}, 0), 1, 80)", conf))
         for comp, cat, p, conf in bodies
-    ]))
-    hits = F.concat(
-        tag_hits(html.meta_tags(page)),
-        source_hits(html.all_matches(page, html.SCRIPT_SRC), "script_src"),
-        source_hits(html.all_matches(page, html.LINK_HREF), "link_href"),
-        markup,
-    )
-    rows = pages.select("ts", "id", "body_hash", F.explode(hits).alias("h")).select("ts", "id", "body_hash", "h.*")
-    # one row per (hit, body): a body repeated on many URLs counts once
+    ])
+    return f"concat(flatten(transform(meta, t -> {tags})), {refs('srcs', 'script_src')}, {refs('hrefs', 'link_href')}, {markup})"
+
+
+def _url_sql(signatures) -> str:
+    return _arms([
+        (f"request_url RLIKE {sql_text(p)}", _hit(comp, cat, "url_path", "substring(request_url, 1, 120)", conf))
+        for comp, cat, p, conf in signatures
+    ])
+
+
+def _pages(txn: DataFrame) -> DataFrame:
+    """HTML responses worth a look, with the tags the signatures read."""
+    page = F.col("response_body")
+    rows = txn.where((F.col("response_status") < 400) & F.lower("response_content_type").contains("html"))
+    rows = rows.withColumn("body_hash", body_key(page)).where("body_hash <> ''")
+    return rows.withColumns({
+        "meta": html.meta_tags(page), "srcs": html.all_matches(page, html.SCRIPT_SRC), "hrefs": html.all_matches(page, html.LINK_HREF),
+    })
+
+
+def _good(txn: DataFrame) -> DataFrame:
+    rows = txn.where(F.col("response_status").between(200, 399))
+    return rows.select("ts", "id", "request_url", body_key(F.col("response_body")).alias("body_hash"))
+
+
+def _without_soft_404(rows: DataFrame, txn: DataFrame) -> DataFrame:
+    """Evidence without the bodies of soft-404 groups.
+
+    Rows are summed per (hit, body) first. A page hit counts a body once, a
+    URL hit counts every response.
+    """
     keys = ["component", "category", "source", "detail", "confidence", "version", "body_hash"]
-    once = rows.groupBy(*keys).agg(F.min(F.struct("ts", "id")).alias("first_seen"))
-    real = once.join(soft_404_bodies(txn).select("body_hash"), "body_hash", "left_anti")
-    return _sum_up(real.withColumn("hits", F.lit(1)))
+    summed = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("first_seen"))
+    real = summed.join(soft_404_bodies(txn).select("body_hash"), "body_hash", "left_anti")
+    return _sum_up(real.withColumn("hits", F.when(F.col("source") == "url_path", F.col("n")).otherwise(1)))
+
+
+def page_matches(txn: DataFrame, meta=tech.META_TAGS, scripts=tech.SCRIPT_SOURCES, bodies=tech.BODIES) -> DataFrame:
+    """Meta, script, link and markup hits of HTML pages, each body once."""
+    return _without_soft_404(_opened(_pages(txn), _page_sql(meta, scripts, bodies), "ts", "id", "body_hash"), txn)
 
 
 def url_path_matches(txn: DataFrame, signatures=tech.URL_PATHS) -> DataFrame:
     """URL hits on successful responses that are no soft 404."""
-    url = F.col("request_url")
-    hits = [F.when(url.rlike(p), _hit(comp, cat, "url_path", F.substring(url, 1, 120), conf)) for comp, cat, p, conf in signatures]
-    good = txn.where(F.col("response_status").between(200, 399)).select("ts", "id", "request_url", body_key(F.col("response_body")).alias("body_hash"))
-    rows = _explode_hits(good, hits, ["ts", "id", "body_hash"])
-    keys = ["component", "category", "source", "detail", "confidence", "version", "body_hash"]
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("hits"), F.min(F.struct("ts", "id")).alias("first_seen"))
-    return _sum_up(counted.join(soft_404_bodies(txn).select("body_hash"), "body_hash", "left_anti"))
+    return _without_soft_404(_opened(_good(txn), _url_sql(signatures), "ts", "id", "body_hash"), txn)
 
 
 def favicon_matches(txn: DataFrame, icons=tech.FAVICONS) -> DataFrame:
     """MD5 of icon bodies looked up in the icon table."""
     rows = txn.where((F.col("response_status") == 200) & F.col("request_url").rlike(tech.FAVICON_URL))
     rows = rows.where(F.octet_length("response_body") >= 16).select("ts", "id", F.md5("response_body").alias("md5"))
-    hits = [
-        F.when(F.col("md5") == digest, _hit(comp, cat, "favicon_hash", F.lit(f"md5={digest} ({comp})"), conf))
-        for digest, comp, cat, conf in icons
-    ]
-    found = _explode_hits(rows, hits, ["ts", "id"])
-    return _sum_up(found.withColumns({"hits": F.lit(1), "first_seen": F.struct("ts", "id")}))
+    arms = [(f"md5 = {sql_text(d)}", _hit(comp, cat, "favicon_hash", sql_text(f"md5={d} ({comp})"), conf)) for d, comp, cat, conf in icons]
+    return _sum_up(_counted(_opened(rows, _arms(arms), "ts", "id")))
 
 
 # ---- Cross-row inference -----------------------------------------------
@@ -279,17 +312,18 @@ def favicon_matches(txn: DataFrame, icons=tech.FAVICONS) -> DataFrame:
 
 def load_balancer(txn: DataFrame) -> DataFrame:
     """Evidence row when more than one Server value answers; five shown."""
-    values = header_values(txn, ["server"])
-    top = values.orderBy(F.col("hits").desc(), "value").limit(5).select(
-        F.struct((-F.col("hits")).alias("o"), F.col("value").alias("v"), F.format_string("%s (%dx)", "value", "hits").alias("t")).alias("s"),
-        F.lit(0).cast("long").alias("variants"), "first_seen",
+    values = _entries(txn, ["server"]).groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("first_seen"))
+    return _balancer(values)
+
+
+def _balancer(values: DataFrame) -> DataFrame:
+    """``values``: value, n, first_seen."""
+    total = values.agg(F.count("*").alias("variants")).scalar()
+    top = values.orderBy(F.col("n").desc(), "value").limit(5).withColumn("variants", total)
+    shown = F.transform(
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", F.format_string("%s (%dx)", "value", "n").alias("t")))), lambda s: s["t"]
     )
-    count = values.agg(F.count("*").alias("variants"), F.min("first_seen").alias("first_seen"))
-    rows = top.unionByName(count.select(F.lit(None).cast(top.schema["s"].dataType).alias("s"), "variants", "first_seen"))
-    one = rows.agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), ", ").alias("shown"),
-        F.max("variants").alias("variants"), F.min("first_seen").alias("first_seen"),
-    ).where("variants > 1")
+    one = top.groupBy("variants").agg(F.array_join(shown, ", ").alias("shown"), F.min("first_seen").alias("first_seen")).where("variants > 1")
     return one.select(
         F.lit("inferred_lb").alias("component"), F.lit("load_balancer").alias("category"), F.lit("server_diversity").alias("source"),
         F.concat(F.lit("Multiple Server headers detected: "), "shown").alias("detail"), F.lit(0.70).alias("confidence"),
@@ -308,15 +342,18 @@ def cache_topology(txn: DataFrame) -> DataFrame:
     ).withColumn("hit_ratio", F.try_divide("cache_hits", F.col("cache_hits") + F.col("cache_misses")))
 
 
-def cache_evidence(txn: DataFrame) -> DataFrame:
-    c = cache_topology(txn)
-    total = F.col("cache_hits") + F.col("cache_misses")
-    text = F.format_string("X-Cache: %d HITs / %d total", "cache_hits", total)
-    hits = [
-        F.when(total > 0, _hit("cache_layer", "cdn", "cache", text, 0.60)),
-        F.when(F.col("age_seen"), _hit("cache_layer", "cdn", "cache", F.lit("Age header present"), 0.50)),
+def _cache_evidence(c: DataFrame) -> DataFrame:
+    """``c``: cache_hits, cache_misses, age_seen, first_seen."""
+    text = "concat('X-Cache: ', cache_hits, ' HITs / ', cache_hits + cache_misses, ' total')"
+    arms = [
+        ("cache_hits + cache_misses > 0", _hit("cache_layer", "cdn", "cache", text, 0.60)),
+        ("age_seen", _hit("cache_layer", "cdn", "cache", "'Age header present'", 0.50)),
     ]
-    return _explode_hits(c, hits, ["first_seen"]).withColumn("hits", F.lit(1).cast("long")).select(*EVIDENCE)
+    return _opened(c, _arms(arms), "first_seen").withColumn("hits", F.lit(1).cast("long")).select(*EVIDENCE)
+
+
+def cache_evidence(txn: DataFrame) -> DataFrame:
+    return _cache_evidence(cache_topology(txn))
 
 
 # ---- Fusion ------------------------------------------------------------
@@ -340,16 +377,52 @@ def fuse(evidence: DataFrame) -> DataFrame:
 
 
 def infra_evidence(txn: DataFrame) -> DataFrame:
-    """Header-stage evidence of every kind, stacked."""
-    parts = [
-        header_matches(txn), header_prefix_matches(txn), header_presence_matches(txn), cookie_matches(txn),
-        via_matches(txn), error_page_matches(txn), load_balancer(txn), header_order_winner(txn), cache_evidence(txn),
-    ]
-    return _stack(parts)
+    """Header-stage evidence of every kind from two scans and one shuffle.
+
+    Facts for the cross-row inferences travel as rows of their own, marked by
+    a source that starts with ``~``; the summed table is written once and read
+    by each inference.
+    """
+    def fact(when: str, source: str, detail: str) -> str:
+        return _arms([(when, _hit("", "", source, detail, 0.0))])
+
+    names = sorted({s[2] for s in infra.HEADERS} | {"set-cookie", "via", "server", "x-cache", "age"})
+    x = "upper(value)"
+    per_entry = ", ".join([
+        _header_sql(infra.HEADERS), _cookie_sql(infra.COOKIES), _via_sql(infra.VIA_PROXIES),
+        fact("name = 'server'", "~server", "value"),
+        fact(f"name = 'x-cache' AND contains({x}, 'HIT')", "~cache", "'hit'"),
+        fact(f"name = 'x-cache' AND contains({x}, 'MISS') AND NOT contains({x}, 'HIT')", "~cache", "'miss'"),
+        fact("name = 'age'", "~cache", "'age'"),
+    ])
+    entries = _opened(_with_cookies(_entries(txn, names)), f"concat({per_entry})", "ts", "id")
+    rows = _named(txn)
+    rows = rows.withColumn("sequence", _standard_order(rows))
+    per_row = ", ".join([
+        _prefix_sql(infra.HEADER_PREFIXES), _presence_sql(infra.HEADER_PRESENCE), _error_sql(infra.ERROR_PAGES),
+        fact("sequence IS NOT NULL", "~order", "sequence"),
+    ])
+    whole = _opened(rows, f"concat({per_row})", "ts", "id")
+    summed = cut_lineage(_sum_up(_counted(entries.unionByName(whole))))
+    servers = summed.where("source = '~server'").select(F.col("detail").alias("value"), F.col("hits").alias("n"), "first_seen")
+    orders = summed.where("source = '~order'").select(F.col("detail").alias("sequence"), F.col("hits").alias("n"), "first_seen")
+
+    def seen(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("detail") == kind, F.col("hits"))), F.lit(0))
+
+    cache = summed.where("source = '~cache'").agg(
+        seen("hit").alias("cache_hits"), seen("miss").alias("cache_misses"), (seen("age") > 0).alias("age_seen"), F.min("first_seen").alias("first_seen")
+    )
+    direct = summed.where(~F.col("source").startswith("~"))
+    return _stack([direct, _balancer(servers), _winner(orders, infra.HEADER_ORDERS), _cache_evidence(cache)])
 
 
 def tech_evidence(txn: DataFrame) -> DataFrame:
-    return _stack([page_matches(txn), url_path_matches(txn), favicon_matches(txn)])
+    """Page, URL and icon evidence; soft-404 groups are found once."""
+    keep = ["ts", "id", "body_hash"]
+    pages = _opened(_pages(txn), _page_sql(tech.META_TAGS, tech.SCRIPT_SOURCES, tech.BODIES), *keep)
+    paths = _opened(_good(txn), _url_sql(tech.URL_PATHS), *keep)
+    return _stack([_without_soft_404(pages.unionByName(paths), txn), favicon_matches(txn)])
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:

@@ -229,8 +229,7 @@ def infra_detections(spark, sf):
 
 
 def tech_detections(spark, sf):
-    rows = html_rows(spark, sf)
-    return fp.fuse(fp._stack([fp.page_matches(rows), fp.url_path_matches(rows)]))
+    return fp.fuse(fp.tech_evidence(html_rows(spark, sf)))
 
 
 @query("agg_07_evidence_fusion", "SELECT component, category, round(confidence, 6) AS confidence, hit_count, evidence_count, version FROM infra_det")
