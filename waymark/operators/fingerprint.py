@@ -62,21 +62,27 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"hits": F.lit(1), "first_seen": F.struct("ts", "id")})
 
 
-# ---- Header entries ----------------------------------------------------
+# ---- Header values -----------------------------------------------------
 
 
-def _entries(txn: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per response header of interest, name in lower case."""
+def header_values(txn: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Distinct (name, value) of the headers of interest: count, first arrival.
+
+    Most header values repeat, so they are combined before any regex runs.
+    """
     rows = txn.select("ts", "id", F.explode("response_headers").alias("_name", "value"))
-    return rows.select("ts", "id", F.lower("_name").alias("name"), "value").where(F.col("name").isin(list(names)) & (F.col("value") != ""))
+    rows = rows.select("ts", "id", F.lower("_name").alias("name"), "value").where(F.col("name").isin(list(names)) & (F.col("value") != ""))
+    return rows.groupBy("name", "value").agg(F.count("*").alias("hits"), F.min(F.struct("ts", "id")).alias("first_seen"))
 
 
 def _header_sql(signatures) -> str:
+    """Arms grouped by header name, so a value meets only its own patterns."""
     detail = "concat(name, ': ', substring(value, 1, 80))"
-    return _arms([
-        (f"name = {sql_text(h)} AND value RLIKE {sql_text(p)}", _hit(comp, cat, "header", detail, conf, _version("value", p, g)))
-        for comp, cat, h, p, conf, g in signatures
-    ])
+    by_name: dict[str, list] = {}
+    for comp, cat, h, p, conf, g in signatures:
+        by_name.setdefault(h, []).append((f"value RLIKE {sql_text(p)}", _hit(comp, cat, "header", detail, conf, _version("value", p, g))))
+    cases = " ".join(f"WHEN {sql_text(h)} THEN {_arms(arms)}" for h, arms in by_name.items())
+    return f"CASE name {cases} ELSE CAST(array() AS {HIT}) END"
 
 
 def _cookie_sql(signatures) -> str:
@@ -90,37 +96,46 @@ def _cookie_sql(signatures) -> str:
 
 def _via_sql(proxies) -> str:
     arms = [(f"contains(lower(hop), {sql_text(p)})", _hit(p, "proxy", "via_header", "concat('Via: ', hop)", 0.80)) for p in proxies]
-    return f"CASE WHEN name = 'via' THEN flatten(transform(transform(split(value, ','), h -> trim(h)), hop -> {_arms(arms)})) ELSE CAST(array() AS {HIT}) END"
+    return f"flatten(transform(transform(split(value, ','), h -> trim(h)), hop -> {_arms(arms)}))"
+
+
+KEPT = ["hits", "first_seen"]
 
 
-def _with_cookies(entries: DataFrame) -> DataFrame:
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    return entries.withColumn("cookies", F.when(F.col("name") == "set-cookie", classify.cookie_pairs(F.col("value"))).otherwise(none))
+def _from_headers(values: DataFrame, signatures) -> DataFrame:
+    return _opened(values, _header_sql(signatures), *KEPT)
+
+
+def _from_cookies(values: DataFrame, signatures) -> DataFrame:
+    rows = values.where("name = 'set-cookie'").withColumn("cookies", classify.cookie_pairs(F.col("value")))
+    return _opened(rows, _cookie_sql(signatures), *KEPT)
+
+
+def _from_via(values: DataFrame, proxies) -> DataFrame:
+    return _opened(values.where("name = 'via'"), _via_sql(proxies), *KEPT)
 
 
 def header_matches(txn: DataFrame, signatures=infra.HEADERS) -> DataFrame:
-    rows = _entries(txn, sorted({s[2] for s in signatures}))
-    return _sum_up(_counted(_opened(rows, _header_sql(signatures), "ts", "id")))
+    return _sum_up(_from_headers(header_values(txn, sorted({s[2] for s in signatures})), signatures))
 
 
 def cookie_matches(txn: DataFrame, signatures=infra.COOKIES) -> DataFrame:
-    rows = _with_cookies(_entries(txn, ["set-cookie"]))
-    return _sum_up(_counted(_opened(rows, _cookie_sql(signatures), "ts", "id")))
+    return _sum_up(_from_cookies(header_values(txn, ["set-cookie"]), signatures))
 
 
 def via_matches(txn: DataFrame, proxies=infra.VIA_PROXIES) -> DataFrame:
-    return _sum_up(_counted(_opened(_entries(txn, ["via"]), _via_sql(proxies), "ts", "id")))
+    return _sum_up(_from_via(header_values(txn, ["via"]), proxies))
 
 
 # ---- Whole responses ---------------------------------------------------
 
 
 def _named(txn: DataFrame) -> DataFrame:
-    """Adds the header names in order, lower case, and the entries."""
+    """Adds the header entries in order, names in lower case."""
     entries = F.transform(
         F.map_entries("response_headers"), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value"))
     )
-    return txn.withColumn("entries", entries).withColumn("names", F.transform("entries", lambda e: e["name"]))
+    return txn.withColumn("entries", entries)
 
 
 def _prefix_sql(signatures) -> str:
@@ -154,8 +169,15 @@ def header_prefix_matches(txn: DataFrame, signatures=infra.HEADER_PREFIXES) -> D
     return _sum_up(_counted(_opened(_named(txn), _prefix_sql(signatures), "ts", "id")))
 
 
+def name_sequences(txn: DataFrame) -> DataFrame:
+    """Distinct sequences of header names with count and first arrival."""
+    joined = F.array_join(F.transform(F.map_keys("response_headers"), F.lower), ",")
+    rows = txn.groupBy(joined.alias("joined")).agg(F.count("*").alias("hits"), F.min(F.struct("ts", "id")).alias("first_seen"))
+    return rows.withColumn("names", F.split("joined", ","))
+
+
 def header_presence_matches(txn: DataFrame, signatures=infra.HEADER_PRESENCE) -> DataFrame:
-    return _sum_up(_counted(_opened(_named(txn), _presence_sql(signatures), "ts", "id")))
+    return _sum_up(_opened(name_sequences(txn), _presence_sql(signatures), *KEPT))
 
 
 def error_page_matches(txn: DataFrame, signatures=infra.ERROR_PAGES) -> DataFrame:
@@ -166,17 +188,15 @@ def error_page_matches(txn: DataFrame, signatures=infra.ERROR_PAGES) -> DataFram
 # ---- Header order ------------------------------------------------------
 
 
-def _standard_order(rows: DataFrame) -> Column:
-    """Comma-joined standard headers in order; null when fewer than two."""
-    seq = F.filter("names", lambda h: h.isin(infra.STANDARD_HEADERS))
-    return F.when(F.size(seq) >= 2, F.array_join(seq, ","))
-
-
 def header_orders(txn: DataFrame) -> DataFrame:
     """Distinct sequences of standard headers (two or more) with counts."""
-    rows = _named(txn)
-    rows = rows.select("ts", "id", _standard_order(rows).alias("sequence")).where("sequence IS NOT NULL")
-    return rows.groupBy("sequence").agg(F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("first_seen"))
+    return _orders(name_sequences(txn))
+
+
+def _orders(sequences: DataFrame) -> DataFrame:
+    seq = F.filter("names", lambda h: h.isin(infra.STANDARD_HEADERS))
+    rows = sequences.withColumn("seq", seq).where(F.size("seq") >= 2)
+    return rows.groupBy(F.array_join("seq", ",").alias("sequence")).agg(F.sum("hits").alias("n"), F.min("first_seen").alias("first_seen"))
 
 
 def _votes(orders: DataFrame, signatures) -> DataFrame:
@@ -312,12 +332,12 @@ def favicon_matches(txn: DataFrame, icons=tech.FAVICONS) -> DataFrame:
 
 def load_balancer(txn: DataFrame) -> DataFrame:
     """Evidence row when more than one Server value answers; five shown."""
-    values = _entries(txn, ["server"]).groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("ts", "id")).alias("first_seen"))
-    return _balancer(values)
+    return _balancer(header_values(txn, ["server"]))
 
 
 def _balancer(values: DataFrame) -> DataFrame:
-    """``values``: value, n, first_seen."""
+    """``values``: value, hits, first_seen."""
+    values = values.withColumnRenamed("hits", "n")
     total = values.agg(F.count("*").alias("variants")).scalar()
     top = values.orderBy(F.col("n").desc(), "value").limit(5).withColumn("variants", total)
     shown = F.transform(
@@ -377,44 +397,32 @@ def fuse(evidence: DataFrame) -> DataFrame:
 
 
 def infra_evidence(txn: DataFrame) -> DataFrame:
-    """Header-stage evidence of every kind from two scans and one shuffle.
+    """Header-stage evidence of every kind.
 
-    Facts for the cross-row inferences travel as rows of their own, marked by
-    a source that starts with ``~``; the summed table is written once and read
-    by each inference.
+    The distinct header values and name sequences are written once and feed
+    all header detectors and inferences; prefixes and error pages share a scan.
     """
-    def fact(when: str, source: str, detail: str) -> str:
-        return _arms([(when, _hit("", "", source, detail, 0.0))])
-
     names = sorted({s[2] for s in infra.HEADERS} | {"set-cookie", "via", "server", "x-cache", "age"})
-    x = "upper(value)"
-    per_entry = ", ".join([
-        _header_sql(infra.HEADERS), _cookie_sql(infra.COOKIES), _via_sql(infra.VIA_PROXIES),
-        fact("name = 'server'", "~server", "value"),
-        fact(f"name = 'x-cache' AND contains({x}, 'HIT')", "~cache", "'hit'"),
-        fact(f"name = 'x-cache' AND contains({x}, 'MISS') AND NOT contains({x}, 'HIT')", "~cache", "'miss'"),
-        fact("name = 'age'", "~cache", "'age'"),
-    ])
-    entries = _opened(_with_cookies(_entries(txn, names)), f"concat({per_entry})", "ts", "id")
-    rows = _named(txn)
-    rows = rows.withColumn("sequence", _standard_order(rows))
-    per_row = ", ".join([
-        _prefix_sql(infra.HEADER_PREFIXES), _presence_sql(infra.HEADER_PRESENCE), _error_sql(infra.ERROR_PAGES),
-        fact("sequence IS NOT NULL", "~order", "sequence"),
-    ])
-    whole = _opened(rows, f"concat({per_row})", "ts", "id")
-    summed = cut_lineage(_sum_up(_counted(entries.unionByName(whole))))
-    servers = summed.where("source = '~server'").select(F.col("detail").alias("value"), F.col("hits").alias("n"), "first_seen")
-    orders = summed.where("source = '~order'").select(F.col("detail").alias("sequence"), F.col("hits").alias("n"), "first_seen")
+    values = cut_lineage(header_values(txn, names))
+    sequences = cut_lineage(name_sequences(txn))
+    x = F.upper("value")
+    hit = (F.col("name") == "x-cache") & x.contains("HIT")
+    miss = (F.col("name") == "x-cache") & ~x.contains("HIT") & x.contains("MISS")
 
-    def seen(kind: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("detail") == kind, F.col("hits"))), F.lit(0))
+    def total(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("hits"))), F.lit(0))
 
-    cache = summed.where("source = '~cache'").agg(
-        seen("hit").alias("cache_hits"), seen("miss").alias("cache_misses"), (seen("age") > 0).alias("age_seen"), F.min("first_seen").alias("first_seen")
+    cache = values.where(F.col("name").isin("x-cache", "age")).agg(
+        total(hit).alias("cache_hits"), total(miss).alias("cache_misses"), (total(F.col("name") == "age") > 0).alias("age_seen"),
+        F.min("first_seen").alias("first_seen"),
     )
-    direct = summed.where(~F.col("source").startswith("~"))
-    return _stack([direct, _balancer(servers), _winner(orders, infra.HEADER_ORDERS), _cache_evidence(cache)])
+    direct = _from_headers(values, infra.HEADERS).unionByName(_from_cookies(values, infra.COOKIES)).unionByName(_from_via(values, infra.VIA_PROXIES))
+    direct = direct.unionByName(_opened(sequences, _presence_sql(infra.HEADER_PRESENCE), *KEPT))
+    whole = _opened(_named(txn), f"concat({_prefix_sql(infra.HEADER_PREFIXES)}, {_error_sql(infra.ERROR_PAGES)})", "ts", "id")
+    summed = _sum_up(direct.unionByName(_counted(whole).drop("ts", "id")))
+    return _stack([
+        summed, _balancer(values.where("name = 'server'")), _winner(_orders(sequences), infra.HEADER_ORDERS), _cache_evidence(cache),
+    ])
 
 
 def tech_evidence(txn: DataFrame) -> DataFrame:

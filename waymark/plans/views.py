@@ -11,7 +11,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BASE = ["events", "pages", "documents", "conversations", "supplier", "nation", "part", "customer"]
+BASE = ["events", "pages", "supplier"]
+TABLE_MARK = r"@(" + "|".join(BASE) + r")\b"
 
 
 def _s(x: str) -> str:
@@ -192,7 +193,7 @@ SELECT src, dst, min(event_id) AS seq FROM (SELECT event_id, concat('n', {_s('us
 
 
 def _plain(text: str) -> str:
-    return re.sub(r"@(\w+)", r"\1", text)
+    return re.sub(TABLE_MARK, r"\1", text)
 
 
 DUCK: dict[str, str] = {name: _plain(text) for name, text in COMMON.items()}
@@ -207,6 +208,26 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SPREAD: dict[tuple, str] = {}
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """View name of a driver table, read by at least as many tasks as cores.
+
+    A table of many files keeps its splits; one that fits a single split is
+    dealt out once, since the views do real work per row.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _SPREAD:
+        rows = base(spark, sf_dir, name)
+        cores = spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() * 2 <= cores:
+            rows = rows.repartition(cores)
+        _SPREAD[key] = f"waymark_{name}_{len(_SPREAD)}"
+        rows.createOrReplaceTempView(_SPREAD[key])
+    return _SPREAD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, **replaced: str) -> DataFrame:
     """A COMMON view as a Spark DataFrame over the driver's files.
 
@@ -225,9 +246,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, **replaced: str) -> DataF
     visit(name)
     def real(text: str) -> str:
         def source(m: re.Match) -> str:
-            return replaced.get(m.group(1)) or f"parquet.`{sf_dir}/{m.group(1)}.parquet`"
+            return replaced.get(m.group(1)) or spread(spark, sf_dir, m.group(1))
 
-        return re.sub(r"@(\w+)", source, text)
+        return re.sub(TABLE_MARK, source, text)
     ctes = ", ".join(f"{n} AS ({real(COMMON[n])})" for n in order)
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}")
 
