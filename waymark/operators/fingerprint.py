@@ -46,7 +46,13 @@ def _version(value: str, pattern: str, group: int) -> str:
 
 
 def _opened(rows: DataFrame, hits: str, *keep: str) -> DataFrame:
-    return rows.select(*keep, F.explode(F.expr(hits)).alias("hit")).select(*keep, "hit.*")
+    """One row per hit.
+
+    The arms are evaluated inside a lambda: dozens of regex arms generate a
+    method too large for the JVM to compile, and the lambda is not generated.
+    """
+    inside = f"flatten(transform(array(0), one_ -> {hits}))"
+    return rows.select(*keep, F.explode(F.expr(inside)).alias("hit")).select(*keep, "hit.*")
 
 
 def _sum_up(rows: DataFrame) -> DataFrame:
