@@ -25,7 +25,7 @@ TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
 BLOCK_WORDS = 256
 #: Documents of a source that one window orders at once, and slots that one row of the schedule makes.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 256
 CHUNK_SLOTS = 65_536
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contentsort, mixing, sql
-from .batches import table
+from . import contentsort, langid, linedup, mixing, sql, toxicity
+from .batches import held_out, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -17,3 +17,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_source_schedule", sql.SOURCE_SCHEDULE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_hash_index", sql.LINE_HASH_INDEX)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.identify(docs, model).withColumn("held_out", held_out())
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = toxicity.score(docs, model).withColumn("held_out", held_out())
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))

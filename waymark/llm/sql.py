@@ -37,3 +37,20 @@ WITH d AS (
 SELECT d.doc_id, d.size, g.source_size, g.target, t.taken
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN t ON t.doc_id IS NOT DISTINCT FROM d.doc_id
 """
+
+LINE_HASH_INDEX = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), often AS (
+  SELECT k, max(doc_id) AS owner FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT keyed.*, coalesce(often.owner <> doc_id, false) AS gone FROM keyed LEFT JOIN often ON keyed.k = often.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
