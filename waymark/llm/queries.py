@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contentsort, langid, linedup, mixing, sql, toxicity
+from ..cluster import scratch_path
+from . import contentsort, dartminhash, langid, linedup, mixing, sql, tokencount, tokenfiles, toxicity
 from .batches import held_out, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 @query("op10_content_sort", sql.CONTENT_SORT)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,3 +42,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     scored = toxicity.score(docs, model).withColumn("held_out", held_out())
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write_files(table(spark, sf_dir, "documents"), path, WORD_BPE)
+    return tokenfiles.read_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op2_dart_minhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_classes(table(spark, sf_dir, "documents"))

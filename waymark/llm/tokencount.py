@@ -24,30 +24,28 @@ import regex
 from pyspark.sql import DataFrame
 
 from .batches import text_slices
-from .vocabulary import PIECES, REMEMBERED, SEPARATORS, chunks, load, merges
+from .vocabulary import PIECES, REMEMBERED, SEPARATORS, byte_letters, chunks, load, merges, one_word
 
 LIMIT = 2048
 END = "</w>"
 #: Pairs of tokens that a task remembers.
-REMEMBERED_PAIRS = 1_000_000
-
-
-@lru_cache(maxsize=1)
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable bytes for themselves, the others from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
+REMEMBERED_PAIRS = 500_000
 
 
 class PrefixCounter:
     """Prefix counts of chunks of text for one vocabulary file, remembered per task."""
 
     def __init__(self, path: str):
-        ranks, self._vocabulary = merges(path)
+        ranks, vocabulary = merges(path)
         self._rank = ranks
         self._made = {a + b: (rank, a, b) for (a, b), rank in ranks.items()}
-        self._longest = max(map(len, self._vocabulary))
+        # beginning of a token -> 1 if it is one, 2 if it is one at the end of a word, 3 if both, 0 if neither
+        self._starts: dict[str, int] = {}
+        for token in vocabulary:
+            body, bit = (token[:-len(END)], 2) if token.endswith(END) else (token, 1)
+            for i in range(1, len(body)):
+                self._starts.setdefault(body[:i], 0)
+            self._starts[body] = self._starts.get(body, 0) | bit
         tokenizer = load(path)
         self._normal = tokenizer.normalizer.normalize_str
         self._special = regex.compile("|".join(regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
@@ -62,9 +60,6 @@ class PrefixCounter:
         that met at the border must not have had a merge that came earlier.
         """
         key = (left, right)
-        known = self._pairs.get(key)
-        if known is not None:
-            return known
         bound = len(self._rank) + 1
         fits = True
         while True:
@@ -85,25 +80,27 @@ class PrefixCounter:
         return fits
 
     def _steps(self, symbols: str) -> list[int]:
-        """Tokens of every non-empty prefix of a word of byte letters, each as a finished word."""
-        vocabulary, fits, longest = self._vocabulary, self._fits, self._longest
-        last: list[str] = [""]
-        count, finished = [0], []
-        for i in range(1, len(symbols) + 1):
-            found, done = "", 0
-            for j in range(max(0, i - longest), i):
+        """Tokens of every non-empty prefix of a word of byte letters, each as a finished word.
+
+        Tokens are tried from where they begin, as long as some token goes on.
+        """
+        size, starts, pairs, fits = len(symbols), self._starts, self._pairs, self._fits
+        last: list = [None] * (size + 1)
+        count, finished = [0] * (size + 1), [0] * (size + 1)
+        for j in range(size):
+            left, n = last[j], count[j] + 1
+            for i in range(j + 1, size + 1):
                 token = symbols[j:i]
-                if not found and token in vocabulary and (j == 0 or fits(last[j], token)):
-                    found = token
-                    count.append(count[j] + 1)
-                token += END
-                if not done and token in vocabulary and (j == 0 or fits(last[j], token)):
-                    done = count[j] + 1
-                if found and done:
+                kind = starts.get(token)
+                if kind is None:
                     break
-            last.append(found)
-            finished.append(done)
-        return finished
+                if kind & 1 and last[i] is None and (left is None or (fits(left, token) if (known := pairs.get((left, token))) is None else known)):
+                    last[i], count[i] = token, n
+                if kind & 2 and not finished[i]:
+                    token += END
+                    if left is None or (fits(left, token) if (known := pairs.get((left, token))) is None else known):
+                        finished[i] = n
+        return finished[1:]
 
     def word(self, piece: str) -> tuple[bytes, int]:
         """(counts after each character as unsigned 32-bit numbers, count of the whole) of one normalised piece."""
@@ -128,9 +125,10 @@ class PrefixCounter:
 
     def chunk(self, chunk: str) -> bytes:
         """Counts after each character of a chunk without white space, from 0 at its start."""
-        low = chunk.lower()
-        if low.isascii() and low.isalpha():
-            return self.word(low)[0]
+        simple = one_word(chunk)
+        if simple:
+            steps, whole = self.word(simple[0])
+            return steps + (whole + self.word(simple[1])[1]).to_bytes(4, "little") if simple[1] else steps
         counts, at, base = [], 0, 0
         for special in self._special.finditer(chunk):
             head = self._plain(chunk[at:special.start()])
@@ -182,6 +180,12 @@ class Chunks(dict):
         return counts
 
 
+@lru_cache(maxsize=1)
+def counted_chunks(path: str) -> Chunks:
+    """The memory of this worker process for one vocabulary; tasks that follow use it too."""
+    return Chunks(PrefixCounter(path))
+
+
 @lru_cache(maxsize=2)
 def _spaces(ascii_only: bool) -> np.ndarray:
     """Code point -> whether ``chunks`` cuts there."""
@@ -234,7 +238,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, keep_coun
     """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Chunks(PrefixCounter(vocabulary))
+        known = counted_chunks(vocabulary)
         for batch in batches:
             for first, texts in text_slices(batch):
                 counts, length = prefix_counts(texts, known)

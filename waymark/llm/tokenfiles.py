@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..cluster import scratch_path
 from .batches import text_slices
-from .vocabulary import ChunkIds, chunks, vocabulary_size
+from .vocabulary import chunk_ids, chunks, vocabulary_size
 
 END_ID = 2
 
@@ -50,21 +50,16 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return octets.view("<u4").reshape(-1)
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
-
-
-def _half(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u2").tobytes()
+def id_width(vocabulary: str, end_id: int) -> int:
+    return 4 if max(vocabulary_size(vocabulary), end_id + 1) > 1 << 16 else 2
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, ids (two bytes each, or four for a vocabulary above 65,536), n_tokens with the end id."""
-    wide = vocabulary_size(vocabulary) > 1 << 16 or end_id >= 1 << 16
-    pack, width = (pack_ids, 4) if wide else (_half, 2)
+    width = id_width(vocabulary, end_id)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = ChunkIds(vocabulary, pack), pack([end_id])
+        known, end = chunk_ids(vocabulary, width), end_id.to_bytes(width, "little")
         for batch in batches:
             for first, texts in text_slices(batch):
                 ids = [b"".join(map(known.__getitem__, chunks(t))) + end for t in texts]
@@ -103,7 +98,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
     sort, so no task holds more than its range; one row per range is added up.
     """
     spark = docs.sparkSession
-    width = 4 if vocabulary_size(vocabulary) > 1 << 16 or end_id >= 1 << 16 else 2
+    width = id_width(vocabulary, end_id)
     raw = scratch_path(spark, "token-ids")
     encode(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(raw)
     encoded = spark.read.parquet(raw)

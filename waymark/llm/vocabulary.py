@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -21,6 +23,35 @@ def load(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def chunk_ids(path: str, width: int) -> ChunkIds:
+    """The memory of this worker process for one vocabulary; tasks that follow use it too."""
+    return ChunkIds(path, lambda ids: np.array(ids, dtype=f"<u{width}").tobytes())
+
+
+@lru_cache(maxsize=1)
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable bytes for themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
+
+
+def one_word(chunk: str) -> tuple[str, str] | None:
+    """(letters, sign or nothing) of a chunk that is one run of letters, lower-cased, with at most one ASCII sign after it.
+
+    None for all other chunks, and for those that normalising may change otherwise.
+    """
+    low = chunk.lower()
+    if not low.isascii() and (len(low) != len(chunk) or "\u03a3" in chunk or not unicodedata.is_normalized("NFC", chunk)):
+        return None
+    if low.isalpha():
+        return low, ""
+    if low[:-1].isalpha() and "!" <= low[-1] <= "~" and low[-1] != "'" and not low[-1].isalnum():
+        return low[:-1], low[-1]
+    return None
+
+
 class ChunkIds(dict):
     """Chunk of text without ASCII white space -> its ids as bytes, filled on demand.
 
@@ -33,20 +64,20 @@ class ChunkIds(dict):
         self._tokenizer, self._pack, self._limit = load(path), pack, limit
         self._model = self._tokenizer.model
         self._words: dict[str, list[int]] = {}
+        self._letters = byte_letters()
 
     def _ids(self, chunk: str) -> list[int]:
-        body = chunk.lower() if chunk.isascii() else ""
-        if body.isalpha():
-            return self._word(body)
-        if body[:-1].isalpha() and "!" <= body[-1] <= "~" and not body[-1].isalnum():
-            return self._word(body[:-1]) + self._word(body[-1])
+        simple = one_word(chunk)
+        if simple:
+            return self._word(simple[0]) + self._word(simple[1]) if simple[1] else self._word(simple[0])
         return self._tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def _word(self, word: str) -> list[int]:
-        """A run of lower-case ASCII letters or one sign needs no normalising and is one word of the model."""
+        """Ids of normalised letters or one sign: one word of the library's model."""
         ids = self._words.get(word)
         if ids is None:
-            ids = [t.id for t in self._model.tokenize(word)]
+            mapped = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
+            ids = [t.id for t in self._model.tokenize(mapped)]
             if len(self._words) < self._limit:
                 self._words[word] = ids
         return ids
