@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import scratch_path
-from . import contentsort, dartminhash, langid, linedup, mixing, sql, tokencount, tokenfiles, toxicity
+from . import contentsort, dartminhash, langid, linedup, mixing, qgram, sql, tokencount, tokenfiles, toxicity
 from .batches import held_out, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -59,3 +59,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_dart_minhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op4_qgram_lemma")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qgram.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
