@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import scratch_path
-from . import contentsort, dartminhash, langid, linedup, mixing, qgram, sql, tokencount, tokenfiles, toxicity
+from . import contentsort, dartminhash, langid, linedup, mixing, pseudolm, qgram, sql, tokencount, tokenfiles, toxicity
 from .batches import held_out, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -65,3 +65,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = qgram.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", F.lit(True))
+
+
+@query("op3_pseudo_likelihood")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudolm.score(docs, *pseudolm.fit(docs))
