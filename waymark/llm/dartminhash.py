@@ -245,6 +245,11 @@ def near_classes(docs: DataFrame, **kw) -> DataFrame:
       (or of null ids only) one is kept.
     - An empty table gives an empty result.
     """
+    return _classes(docs, **kw).drop("_key")
+
+
+def _classes(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of near_classes with the key of their text."""
     texts, nodes, links = near_links(docs, **kw)
     component = connected(links.select("a", "b")).join(nodes.select("_key", "node"), "node").select("_key", "component")
     own = texts.select("_key", "doc_id", "n_rows").join(component, "_key", "left")
@@ -259,4 +264,14 @@ def near_classes(docs: DataFrame, **kw) -> DataFrame:
     rows = rows.withColumn("_first", same).withColumn("_class", F.when(same, F.coalesce(F.col("_component").cast("string"), F.hex("_key"))))
     firsts = rows.where("_first").withColumn("kept", F.row_number().over(pick) == 1)
     rest = rows.where("NOT _first").withColumn("kept", F.lit(False))
-    return firsts.unionByName(rest).select("doc_id", "class_id", "class_size", "kept")
+    return firsts.unionByName(rest).select("doc_id", "class_id", "class_size", "kept", "_key")
+
+
+def near_distinct(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_classes`` keeps: one of each class."""
+    kept = _classes(docs, **kw).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_kept")).distinct()
+    rows = docs.withColumn("_key", text_key(F.col("text"))).withColumn("_own", F.col("doc_id").cast("long"))
+    rows = rows.join(kept, rows["_own"].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_kept"]), "left_semi")
+    # rows that repeat both id and text
+    twin = Window.partitionBy("_own", "_key").orderBy(F.lit(0))
+    return rows.withColumn("_n", F.row_number().over(twin)).where("_n = 1").select(docs.columns)

@@ -162,3 +162,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(apply, f"doc_id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score below ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_slices(batch):
+                yield batch.slice(first, len(texts)).filter(pa.array(sent.value.score(texts) < threshold))
+
+    return docs.mapInArrow(apply, docs.schema)
