@@ -270,8 +270,8 @@ def _classes(docs: DataFrame, **kw) -> DataFrame:
 def near_distinct(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs``, all columns, that ``near_classes`` keeps: one of each class."""
     kept = _classes(docs, **kw).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_kept")).distinct()
-    rows = docs.withColumn("_key", text_key(F.col("text"))).withColumn("_own", F.col("doc_id").cast("long"))
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), text_key(F.col("text")).alias("_key"), F.col("doc_id").cast("long").alias("_own"))
     rows = rows.join(kept, rows["_own"].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_kept"]), "left_semi")
     # rows that repeat both id and text
     twin = Window.partitionBy("_own", "_key").orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(twin)).where("_n = 1").select(docs.columns)
+    return rows.withColumn("_n", F.row_number().over(twin)).where("_n = 1").select("_all.*")

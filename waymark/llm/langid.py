@@ -61,6 +61,8 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, posterior) per text: sparse rows of n-gram counts times the matrix."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         codes, lengths = letters(texts)
         total = np.zeros((len(texts), len(self.langs)))
         seen = np.zeros(len(texts), dtype=np.int64)
@@ -72,8 +74,6 @@ class Model:
             some = np.flatnonzero(n)
             if len(some):
                 total[some] += np.add.reduceat(self.matrix[bucket], (np.cumsum(n) - n)[some], axis=0)
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         total += self.prior
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -111,7 +111,7 @@ def fit(labelled: DataFrame, orders=ORDERS, bits: int = BUCKET_BITS, smoothing:
                                              names=["lang", "bucket", "n"])
 
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((size, len(langs)))
     docs = np.zeros(len(langs))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..cluster import cut_lineage
 from .batches import ODD, words_column
@@ -110,10 +110,11 @@ def schedule(spark, blocks: list[int]) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_row``, which tells rows apart by id, text and source, then by count."""
+    """_row, which tells rows apart by id, text and source, then by count; _all holds the whole row."""
     twin = Window.partitionBy("doc_id", "_text").orderBy("source")
-    rows = docs.withColumn("_text", F.xxhash64("text")).withColumn("_n", F.row_number().over(twin))
-    return rows.withColumn("_row", F.struct("doc_id", "_text", "_n")).drop("_text", "_n")
+    text = F.col("text") if docs.schema["text"].dataType == T.LongType() else F.xxhash64("text")
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), "doc_id", "source", text.alias("_text"))
+    return rows.select("_all", F.struct("doc_id", "_text", F.row_number().over(twin).alias("_n")).alias("_row"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS,
@@ -136,7 +137,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, max_epochs
     row per chunk goes through the window that adds the chunks up.
     """
     spark = docs.sparkSession
-    sized = cut_lineage(keyed(docs).select("_row", "doc_id", "source", text_size(F.col("text")).alias("size")))
+    rows = keyed(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("text")))
+    sized = cut_lineage(rows.select("_row", "_all.doc_id", "_all.source", "_all.size"))
     goals = targets(sized, weights, share, max_epochs)
     documents = sized.join(F.broadcast(goals), sized["source"].eqNullSafe(goals["source"])).drop(goals["source"])
 
@@ -176,9 +178,11 @@ def mixed_texts(docs: DataFrame, **kw) -> DataFrame:
     """
     _, pieces = mix(docs, **kw)
     took = pieces.groupBy("_row", "epoch").agg(F.sum("n_words").alias("_n"), F.max(F.col("first_word") + F.col("n_words")).alias("_to"))
-    size = text_size(F.col("text"))
-    cut = F.concat_ws(" ", F.slice(words_column(F.col("text")), F.lit(1), F.col("_n").cast("int")))
-    rows = keyed(docs).join(took, "_row").withColumn("text", F.when(F.col("_n") < size, cut).otherwise(F.col("text")))
+    text = F.col("_all.text")
+    cut = F.concat_ws(" ", F.slice(words_column(text), F.lit(1), F.col("_n").cast("int")))
+    final = F.when(F.col("_n") < text_size(text), cut).otherwise(text)
+    rows = keyed(docs).join(took, "_row").withColumn("_text", final)
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+        changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col(f"_all.`{c}`")).alias(c) for c in docs.columns])

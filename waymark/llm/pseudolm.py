@@ -223,7 +223,7 @@ class Scorer:
                 part = new[at:at + 65_536]
                 self.logs[self.used + at:self.used + at + len(part)] = self.network.forward(Network.unpack(part))[1]
             self.used += len(new)
-        return lengths, np.bincount(segment_index(lengths), self.logs[self.row[context], target], minlength=len(texts))
+        return lengths, np.bincount(segment_index(lengths), self.logs[self.row[context], target], minlength=len(texts)).astype(np.float64)
 
 
 def score(docs: DataFrame, table: np.ndarray, network: Network) -> DataFrame:
