@@ -20,7 +20,7 @@ from .batches import ODD, segment_index, text_slices, within
 
 #: A document is contaminated by 64 normalised characters of an item within 5
 #: edits, or by all of a shorter item within a share of edits.
-WINDOW, EDITS, Q = 64, 5, 10
+WINDOW, EDITS, Q = 64, 5, 8
 BAND = 16
 #: Normalised benchmark characters that one pass over the documents carries.
 BLOCK_CHARS = 4_000_000
@@ -42,6 +42,10 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = codes != 32
     if len(codes):
         keep[1:] |= (codes[:-1] != 32) & (owner[1:] == owner[:-1])
+        # no space at the end of a text
+        place = np.flatnonzero(keep)
+        last = place[np.append(owner[place[1:]] != owner[place[:-1]], True)] if len(place) else place
+        keep[last[codes[last] == 32]] = False
     return codes[keep], np.bincount(owner[keep], minlength=len(texts)), within(lengths)[keep]
 
 
@@ -108,8 +112,12 @@ class Benchmark:
         diagonal = i - j
         band = diagonal // self.band
         low = diagonal - band * self.band < self.edits  # also in the band below, which reaches over by as much
-        doc, item, i, j = (np.concatenate([x, x[low]]) for x in (doc, item, i, j))
-        band = np.concatenate([band, band[low] - 1])
+        # most bands hold a few chance hits: counts by hash drop them before they are sorted
+        slots = [((doc * 31 + item) * 1_000_003 + b & (1 << 20) - 1) for b in (band, band - 1)]
+        full = np.bincount(slots[0], minlength=1 << 20) + np.bincount(slots[1][low], minlength=1 << 20)
+        own, under = full[slots[0]] >= self.needed[item], low & (full[slots[1]] >= self.needed[item])
+        doc, item, i, j = (np.concatenate([x[own], x[under]]) for x in (doc, item, i, j))
+        band = np.concatenate([band[own], band[under] - 1])
         order = np.lexsort((j, band, item, doc))
         doc, item, band, j = doc[order], item[order], band[order], j[order]
         found = []
@@ -125,7 +133,10 @@ class Benchmark:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
     def align(self, codes, lengths, doc, item, band, start) -> tuple[np.ndarray, np.ndarray]:
-        """(edits, end in the text) of the item's window at ``start``, against the text on the diagonals of one band."""
+        """(edits, end in the text) of the item's window at ``start``, against the text on the diagonals of one band.
+
+        Windows that pass their budget on the way keep a large number.
+        """
         edits, end = np.full(len(doc), 1 << 30), np.zeros(len(doc), dtype=np.int64)
         first = np.cumsum(lengths) - lengths
         padded = np.concatenate([codes, np.zeros(1, codes.dtype)])
@@ -133,15 +144,18 @@ class Benchmark:
             own = np.flatnonzero(self.window[item] == m)
             width = self.band + self.edits
             offset = (start[own] + band[own] * self.band)[:, None] + np.arange(width)
+            letters = self.first[item[own]] + start[own]
+            text, size = first[doc[own]][:, None], lengths[doc[own]][:, None]
             cost = np.zeros((len(own), width), dtype=np.int32)
             steps = np.arange(width, dtype=np.int32)
             for r in range(m):
+                if r % 8 == 0:  # the least cost of a row never falls again
+                    open_ = cost.min(axis=1) <= self.budget[item[own]]
+                    own, offset, letters, text, size, cost = (x[open_] for x in (own, offset, letters, text, size, cost))
                 at = offset + r
-                inside = (at >= 0) & (at < lengths[doc[own]][:, None])
-                letter = padded[np.where(inside, first[doc[own]][:, None] + at, len(codes))]
-                wanted = self.codes[self.first[item[own]] + start[own] + r][:, None]
+                letter = padded[np.where((at >= 0) & (at < size), text + at, len(codes))]
                 # a step along the diagonal, or a letter of the item without one in the text
-                step = cost + (letter != wanted)
+                step = cost + (letter != self.codes[letters + r][:, None])
                 step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
                 # letters of the text without one in the item
                 cost = np.minimum.accumulate(step - steps, axis=1) + steps
@@ -176,8 +190,12 @@ class Benchmark:
         if left.any():
             n = (high - low + 1)[left]
             rows = np.repeat(np.flatnonzero(left), n)
-            tries = np.unique(np.stack([doc[rows], item[rows], band[rows], low[rows] + within(n)]), axis=1)
-            verify(tuple(tries))
+            start = low[rows] + within(n)
+            same = np.lexsort((start, band[rows], key[rows]))
+            rows, start = rows[same], start[same]
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = (key[rows[1:]] != key[rows[:-1]]) | (band[rows[1:]] != band[rows[:-1]]) | (start[1:] != start[:-1])
+            verify((doc[rows[new]], item[rows[new]], band[rows[new]], start[new]))
         return [(d, int(self.ids[m]), *rest) for (d, m), rest in sorted(out.items())]
 
 
@@ -235,7 +253,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, edits: in
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs``, all columns, that match no item. Rows are told by id and text."""
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_text"))
     slim = docs.select(F.struct("doc_id", F.xxhash64("text").alias("_text")).alias("doc_id"), "text")
     bad = leaks(slim, benchmark, **kw).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._text").alias("_hash")).distinct()
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_text"] == bad["_hash"]), "left_anti").drop("_text")
+    return keyed.join(bad, keyed["_own"].eqNullSafe(bad["_id"]) & (keyed["_text"] == bad["_hash"]), "left_anti").select("_all.*")
