@@ -16,7 +16,7 @@ BUCKET_BITS = 20
 #: Labelled documents of each label that the classifier is fitted on, taken in hash order of the id.
 SAMPLE = {1: 4_000, 0: 8_000}
 #: Buckets with the clearest ratios that become features.
-FEATURES = 4_096
+FEATURES = 2_048
 SMOOTHING = 1.0
 RIDGE = 3.0
 THRESHOLD = 0.7
@@ -57,7 +57,10 @@ def log_ratios(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_ne
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Bias and coefficients of a ridge logistic regression, by accelerated gradient descent."""
+    """Bias and coefficients of a ridge logistic regression, by accelerated gradient descent.
+
+    ``x`` is float32 and never copied; only vectors are made beside it.
+    """
     n = max(len(y), 1)
     rate = y.mean() if len(y) else 0.5
     bias, w = float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), np.zeros(x.shape[1], dtype=np.float64)
@@ -65,14 +68,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 40
     v = np.ones(x.shape[1]) / np.sqrt(max(x.shape[1], 1))
     norm = 1.0
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = x.T @ (x @ v.astype(np.float32))
         norm = float(np.linalg.norm(v)) or 1.0
         v = v / norm
     step = 1 / (0.25 * (norm + n) / n + ridge / n)
     zb, zw, past_b, past_w, t = bias, w, bias, w, 1.0
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(x @ zw + zb, -500, 500))) - y
-        bias, w = zb - step * error.sum() / n, zw - step * (x.T @ error + ridge * zw) / n
+        error = 1 / (1 + np.exp(-np.clip(x @ zw.astype(np.float32) + zb, -500, 500))) - y
+        bias, w = zb - step * error.sum() / n, zw - step * (x.T @ error.astype(np.float32) + ridge * zw) / n
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         zb, zw = bias + (t - 1) / t_next * (bias - past_b), w + (t - 1) / t_next * (w - past_w)
         past_b, past_w, t = bias, w, t_next
@@ -109,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-2, -1]])), pa.array(np.concatenate([sums[at], n]))], names=["bucket", "n"])
 
-    found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     n0, n1 = (int(found.loc[found["bucket"] == k, "n"].sum()) for k in (-2, -1))
     if not n0 or not n1:
         return Model(-20.0 if n0 or not n1 else 20.0, np.zeros(size), orders, bits)
@@ -137,9 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
                 packed = np.packbits(grid, axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([r.tobytes() for r in packed], pa.binary())], names=["toxic", "bits"])
 
-    table = rows.mapInArrow(bitsets, "toxic int, bits binary").toPandas().sort_values(["toxic", "bits"])
-    x = np.unpackbits(np.frombuffer(b"".join(table["bits"]), np.uint8).reshape(len(table), -1), axis=1, count=len(kept))
-    bias, w = logistic(x.astype(np.float32) * ratio[kept].astype(np.float32), table["toxic"].to_numpy(dtype=np.float64))
+    table = rows.mapInArrow(bitsets, "toxic int, bits binary").toArrow().to_pandas().sort_values(["toxic", "bits"])
+    x = np.unpackbits(np.frombuffer(b"".join(table["bits"]), np.uint8).reshape(len(table), -1), axis=1, count=len(kept)).astype(np.float32)
+    x *= ratio[kept].astype(np.float32)
+    bias, w = logistic(x, table["toxic"].to_numpy(dtype=np.float64))
     weights = np.zeros(size)
     weights[kept] = w * ratio[kept]
     return Model(bias, weights, orders, bits)
