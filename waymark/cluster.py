@@ -1,9 +1,10 @@
-"""Settings read from the session: the shared folder and size limits."""
+"""The shared folder of the session, and what is stored in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in spark.checkpoint.dir.
 
-    Only a session that names none (tests, a laptop) falls back to a new
-    temporary folder, which is then remembered for the session.
+    Only a local session that names none (tests, a laptop) falls back to a new
+    temporary folder, which is then remembered for the session. On a cluster
+    executors would not see such a folder, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     named = named or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -37,3 +41,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files in ``source``, written once per application and read from then on."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

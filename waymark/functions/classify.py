@@ -299,7 +299,7 @@ def name_type(name: Column) -> Column:
 
 def infer_type(name: Column, samples: Column) -> Column:
     """Name hint, else majority of the sample types, ties to the type seen first."""
-    votes = F.array_compact(F.transform(F.slice(samples, 1, 10), value_type))
+    votes = F.array_compact(F.transform(samples, value_type))
     ranked = F.transform(
         F.array_distinct(votes),
         lambda t: F.struct(

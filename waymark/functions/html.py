@@ -34,7 +34,7 @@ def links(html: Column, base: Column) -> Column:
         lambda t: F.struct(
             F.lower(F.regexp_extract(t, r"^([A-Za-z]+)", 1)).alias("tag"),
             attribute(t, "href").alias("href"),
-            F.substring(F.trim(F.regexp_extract(t, r"(?s)>([^<]*)</", 1)), 1, 100).alias("text"),
+            F.trim(F.regexp_extract(t, r"(?s)>([^<]*)</", 1)).alias("text"),
         ),
     )
     kept = F.filter(found, lambda l: ~l["href"].rlike(SKIPPED_LINKS))

@@ -30,7 +30,7 @@ DEFINITIONS = {
         f"'{_URL}', 4), '&+$', '')) <> '' THEN concat('?', trim(regexp_replace(regexp_extract(url, '{_URL}', 4), '&+$', ''))) ELSE '' END)"
     ),
     "html_structure(body STRING)": (
-        "substring(sha2(array_join(transform(slice(regexp_extract_all(body, '<([A-Za-z0-9_]+)([^>]*)>', 1), 1, 200), t -> lower(t)), '>'), 256), 1, 12)"
+        "substring(sha2(array_join(transform(regexp_extract_all(body, '<([A-Za-z0-9_]+)([^>]*)>', 1), t -> lower(t)), '>'), 256), 1, 12)"
     ),
     "status_page_type(status INT, location STRING)": (
         "CASE WHEN status BETWEEN 300 AND 399 THEN CASE WHEN location RLIKE '(?i)login|signin|sign-in|auth|sso|cas/' THEN 'auth_required' ELSE 'redirect' END "

@@ -11,7 +11,6 @@ SIGNATURE_HEADERS = [
     "server", "x-powered-by", "x-aspnet-version", "x-generator",
     "content-type", "x-frame-options", "x-content-type-options",
 ]
-SKELETON_TAGS = 200
 TAG_PATTERN = r"<([A-Za-z0-9_]+)([^>]*)>"
 
 
@@ -48,7 +47,7 @@ def header_signature(headers: Column) -> Column:
 
 
 def html_hash(body: Column) -> Column:
-    tags = F.slice(F.regexp_extract_all(body, F.lit(TAG_PATTERN), 1), 1, SKELETON_TAGS)
+    tags = F.regexp_extract_all(body, F.lit(TAG_PATTERN), 1)
     return digest(F.array_join(F.transform(tags, F.lower), ">"), 12)
 
 
@@ -61,7 +60,7 @@ def json_skeleton(body: Column) -> Column:
 
 def json_hash(body: Column) -> Column:
     return F.coalesce(
-        digest(json_skeleton(body), 12), digest(F.substring(body.cast("binary"), 1, 1024), 12)
+        digest(json_skeleton(body), 12), digest(body, 12)
     )
 
 

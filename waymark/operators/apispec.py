@@ -2,7 +2,7 @@
 
 Documents are parsed once to VARIANT; maps are opened with
 ``variant_explode`` and references are followed by keyed joins, one level per
-round, for a bounded number of rounds.
+round, until nothing is left to open.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from ..cluster import cut_lineage
 
 HTTP_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
 LOCATIONS = ["query", "header", "path", "cookie"]
-MAX_DEPTH = 5
 
 
 def parse(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -83,12 +82,13 @@ def declared_parameters(ops: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
-def body_parameters(ops: DataFrame, named: DataFrame, rounds: int = MAX_DEPTH + 1) -> DataFrame:
+def body_parameters(ops: DataFrame, named: DataFrame) -> DataFrame:
     """Body fields with dotted names; references and arrays opened level by level.
 
     Work rows are (operation, prefix, schema node, refs taken). Each round
     resolves a reference, emits scalar properties, and passes nested objects
-    on; a reference already taken on the way is not entered again.
+    on, until none are left; a reference already taken on the way is not entered
+    again, which also ends cycles.
     """
     key = ["url", "path", "method"]
     body = ops.select(*key, _get("details", "$.requestBody", "variant").alias("rb"))
@@ -97,7 +97,7 @@ def body_parameters(ops: DataFrame, named: DataFrame, rounds: int = MAX_DEPTH +
     work = media.select(*key, F.lit("").alias("prefix"), _get("m", "$.schema", "variant").alias("node"), F.array().cast("array<string>").alias("taken"))
     out = None
     named = cut_lineage(named)
-    for _ in range(rounds):
+    while True:
         work = cut_lineage(work)
         if out is not None and work.isEmpty():
             break
@@ -117,7 +117,8 @@ def body_parameters(ops: DataFrame, named: DataFrame, rounds: int = MAX_DEPTH +
             F.array_contains("req", F.col("prop")).alias("required"),
         )
         out = found if out is None else out.unionByName(found)
-        deeper = props.where(nested).select(*key, F.col("full").alias("prefix"), F.col("target").alias("node"), "taken")
+        deeper = props.where(nested & ~F.array_contains("taken", F.col("ref"))).select(
+            *key, F.col("full").alias("prefix"), F.col("target").alias("node"), F.array_append("taken", F.col("ref")).alias("taken"))
         arrays = work.where(kind == "array").select(
             *key, F.when(F.col("prefix") == "", "items[]").otherwise(F.concat("prefix", F.lit("[]"))).alias("prefix"),
             _get("node", "$.items", "variant").alias("node"), "taken",
@@ -164,31 +165,34 @@ def wsdl_services(txn: DataFrame) -> DataFrame:
 
 # ---- GraphQL -----------------------------------------------------------
 
-# type references nest to at most four levels in an introspection answer
-_TYPE = "struct<kind:string,name:string,ofType:struct<kind:string,name:string,ofType:struct<kind:string,name:string,ofType:struct<kind:string,name:string>>>>"
+# type references nest to any depth, so they stay JSON text
 _TYPES = (
-    f"array<struct<name:string,kind:string,fields:array<struct<name:string,args:array<struct<name:string,type:{_TYPE}>>>>,"
-    f"inputFields:array<struct<name:string,type:{_TYPE}>>>>"
+    "array<struct<name:string,kind:string,fields:array<struct<name:string,args:array<struct<name:string,type:string>>>>,"
+    "inputFields:array<struct<name:string,type:string>>>>"
 )
 GRAPHQL = f"struct<data:struct<__schema:struct<queryType:struct<name:string>,mutationType:struct<name:string>,subscriptionType:struct<name:string>,types:{_TYPES}>>>"
 
 
-def type_text(ref: Column, depth: int = 4) -> Column:
+def _levels(ref: Column) -> Column:
+    """Number of types nested in a type reference."""
+    return F.regexp_count(ref, F.lit(r'"ofType"\s*:\s*\{'))
+
+
+def _at_level(ref: Column, level: Column, member: str) -> Column:
+    return F.call_function("get_json_object", ref, F.concat(F.lit("$"), F.repeat(F.lit(".ofType"), level), F.lit(f".{member}")))
+
+
+def type_text(ref: Column) -> Column:
     """``[String!]!`` style text of a nested type reference."""
-    if depth == 1:
-        return F.coalesce(ref["name"], F.lit("unknown"))
-    inner = type_text(ref["ofType"], depth - 1)
-    return (
-        F.when(ref["kind"] == "NON_NULL", F.concat(inner, F.lit("!")))
-        .when(ref["kind"] == "LIST", F.concat(F.lit("["), inner, F.lit("]")))
-        .otherwise(F.coalesce(ref["name"], F.lit("unknown")))
+    kinds = F.transform(F.sequence(F.lit(0), _levels(ref)), lambda i: _at_level(ref, i, "kind"))
+    return F.aggregate(
+        F.reverse(kinds), F.coalesce(innermost(ref), F.lit("unknown")),
+        lambda inner, kind: F.when(kind == "NON_NULL", F.concat(inner, F.lit("!"))).when(kind == "LIST", F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner),
     )
 
 
-def innermost(ref: Column, depth: int = 4) -> Column:
-    if depth == 1:
-        return ref["name"]
-    return F.when(ref["kind"].isin("NON_NULL", "LIST"), innermost(ref["ofType"], depth - 1)).otherwise(ref["name"])
+def innermost(ref: Column) -> Column:
+    return _at_level(ref, _levels(ref), "name")
 
 
 def flatten_graphql(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -213,5 +217,5 @@ def flatten_graphql(docs: DataFrame, body: str = "body") -> DataFrame:
     return out.select(
         "url", "operation", "field", F.col("p.name").alias("name"),
         F.when(F.col("p.name").isNotNull(), type_text(F.col("p.type"))).alias("param_type"),
-        F.coalesce(F.col("p.type.kind") == "NON_NULL", F.lit(False)).alias("required"),
+        F.coalesce(F.get_json_object("p.type", "$.kind") == "NON_NULL", F.lit(False)).alias("required"),
     )

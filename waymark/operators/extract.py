@@ -69,12 +69,13 @@ def candidate_urls(slots: DataFrame, energy: DataFrame, seen: DataFrame) -> Data
     ))
     version = F.regexp_extract("first_url", r"/v([0-9]{1,6})/", 1)
     number = F.nullif(version, F.lit("")).cast("int")
-    siblings = F.filter(F.sequence(F.lit(1), F.lit(9)), lambda v: (v < F.least(number + 3, F.lit(10))) & (v != number))
+    # what lies beyond the energy is cut below, so no more versions are listed than that
+    siblings = F.filter(F.sequence(F.lit(1), F.least(number + 2, F.col("energy") + 1)), lambda v: v != number)
     versioned = F.when(
         number.isNotNull(),
         F.transform(siblings, lambda v: F.replace(F.col("first_url"), F.concat(F.lit("/v"), version, F.lit("/")), F.concat(F.lit("/v"), v.cast("string"), F.lit("/")))),
     ).otherwise(F.array().cast("array<string>"))
-    rows = slots.where(F.size("slots") > 0).join(energy.select("template", "energy"), "template")
+    rows = slots.where(F.size("slots") > 0).join(energy.select("template", "energy"), "template").where(F.col("energy") > 0)
     rows = rows.select("template", F.posexplode(F.slice(F.concat(filled, versioned), 1, F.col("energy"))).alias("rank", "url"))
     return rows.join(seen.select("url"), "url", "left_anti").select("template", "rank", "url")
 

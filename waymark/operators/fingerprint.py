@@ -83,7 +83,7 @@ def header_values(txn: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def _header_sql(signatures) -> str:
     """Arms grouped by header name, so a value meets only its own patterns."""
-    detail = "concat(name, ': ', substring(value, 1, 80))"
+    detail = "concat(name, ': ', value)"
     by_name: dict[str, list] = {}
     for comp, cat, h, p, conf, g in signatures:
         by_name.setdefault(h, []).append((f"value RLIKE {sql_text(p)}", _hit(comp, cat, "header", detail, conf, _version("value", p, g))))
@@ -149,7 +149,7 @@ def _prefix_sql(signatures) -> str:
     arms = []
     for comp, cat, prefix, conf in signatures:
         first = f"get(filter(entries, e -> startswith(e.name, {sql_text(prefix)})), 0)"
-        arms.append((f"{first} IS NOT NULL", _hit(comp, cat, "header_prefix", f"concat({first}.name, ': ', substring({first}.value, 1, 80))", conf)))
+        arms.append((f"{first} IS NOT NULL", _hit(comp, cat, "header_prefix", f"concat({first}.name, ': ', {first}.value)", conf)))
     return _arms(arms)
 
 
@@ -269,13 +269,13 @@ def _page_sql(meta, scripts, bodies) -> str:
 
     def refs(column: str, source: str) -> str:
         arms = _arms([
-            (f"r RLIKE {sql_text(p)}", _hit(comp, cat, source, "substring(r, 1, 120)", conf, _version("r", p, g)))
+            (f"r RLIKE {sql_text(p)}", _hit(comp, cat, source, "r", conf, _version("r", p, g)))
             for comp, cat, p, conf, g in scripts
         ])
         return f"flatten(transform({column}, r -> {arms}))"
 
     markup = _arms([
-        (f"response_body RLIKE {sql_text(p)}", _hit(comp, cat, "body", f"substring(regexp_extract(response_body, {sql_text(p)}, 0), 1, 80)", conf))
+        (f"response_body RLIKE {sql_text(p)}", _hit(comp, cat, "body", f"regexp_extract(response_body, {sql_text(p)}, 0)", conf))
         for comp, cat, p, conf in bodies
     ])
     return f"concat(flatten(transform(meta, t -> {tags})), {refs('srcs', 'script_src')}, {refs('hrefs', 'link_href')}, {markup})"
@@ -283,7 +283,7 @@ def _page_sql(meta, scripts, bodies) -> str:
 
 def _url_sql(signatures) -> str:
     return _arms([
-        (f"request_url RLIKE {sql_text(p)}", _hit(comp, cat, "url_path", "substring(request_url, 1, 120)", conf))
+        (f"request_url RLIKE {sql_text(p)}", _hit(comp, cat, "url_path", "request_url", conf))
         for comp, cat, p, conf in signatures
     ])
 
@@ -337,7 +337,7 @@ def favicon_matches(txn: DataFrame, icons=tech.FAVICONS) -> DataFrame:
 
 
 def load_balancer(txn: DataFrame) -> DataFrame:
-    """Evidence row when more than one Server value answers; five shown."""
+    """Evidence row when more than one Server value answers, most frequent first."""
     return _balancer(header_values(txn, ["server"]))
 
 
@@ -345,7 +345,7 @@ def _balancer(values: DataFrame) -> DataFrame:
     """``values``: value, hits, first_seen."""
     values = values.withColumnRenamed("hits", "n")
     total = values.agg(F.count("*").alias("variants")).scalar()
-    top = values.orderBy(F.col("n").desc(), "value").limit(5).withColumn("variants", total)
+    top = values.withColumn("variants", total)
     shown = F.transform(
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", F.format_string("%s (%dx)", "value", "n").alias("t")))), lambda s: s["t"]
     )

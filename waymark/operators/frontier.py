@@ -227,19 +227,18 @@ def endpoint_clusters(endpoints: DataFrame, params: DataFrame, boundaries: DataF
     })
 
 
-def coverage_gaps(hints: DataFrame, unspidered: DataFrame, boundaries: DataFrame, post: DataFrame, roles: Sequence[str], k: int = 100) -> DataFrame:
-    """Untested methods, unspidered endpoints, unretried boundaries, thin templates."""
-    def gap(rows: DataFrame, rank: int, kind: str, url: Column, detail: Column, most: int | None = None) -> DataFrame:
-        out = rows.select(F.lit(rank).alias("rank"), F.lit(kind).alias("gap_type"), url.alias("url"), detail.alias("detail"))
-        return out if most is None else out.orderBy("url", "detail").limit(most)
+def coverage_gaps(hints: DataFrame, unspidered: DataFrame, boundaries: DataFrame, post: DataFrame, roles: Sequence[str], k: int | None = None) -> DataFrame:
+    """Untested methods, unspidered endpoints, unretried boundaries, thin templates; the first ``k`` when given."""
+    def gap(rows: DataFrame, rank: int, kind: str, url: Column, detail: Column) -> DataFrame:
+        return rows.select(F.lit(rank).alias("rank"), F.lit(kind).alias("gap_type"), url.alias("url"), detail.alias("detail"))
 
     c = F.col
     out = gap(hints, 1, "untested_method", c("request_url"), c("detail"))
-    out = out.unionByName(gap(unspidered, 2, "unspidered", c("url"), F.concat_ws(" ", "method", "url", F.lit("discovered by"), "source_module", F.lit("but never spidered")), 30))
+    out = out.unionByName(gap(unspidered, 2, "unspidered", c("url"), F.concat_ws(" ", "method", "url", F.lit("discovered by"), "source_module", F.lit("but never spidered"))))
     if roles:
         fresh = boundaries.where(F.coalesce("auth_status", F.lit(0)) == 0)
         out = out.unionByName(gap(fresh, 3, "auth_boundary", c("url"), F.concat(F.lit("Auth boundary ("), "boundary_type", F.lit(") not re-tested with credentials"))))
     thin = post.where((c("beta") > 5) & (c("alpha") <= 1))
     tried = F.format_string("Template tried %d times but only %d new coverage hits", c("alpha") + c("beta") - 2, c("alpha") - 1)
     out = out.unionByName(gap(thin, 4, "low_coverage", c("template"), tried))
-    return out.orderBy("rank", "url", "detail").limit(k)
+    return out if k is None else out.orderBy("rank", "url", "detail").limit(k)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..cluster import cut_lineage
 from ..functions import urls
 
 
-def reachable(edges: DataFrame, start: str, max_rounds: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, start: str) -> DataFrame:
     """Nodes reachable from ``start`` along ``edges`` (src, dst).
 
     One keyed join per round; lineage is cut in the shared folder and the loop
@@ -18,17 +20,16 @@ def reachable(edges: DataFrame, start: str, max_rounds: int = 50) -> DataFrame:
     links = cut_lineage(links)
     frontier = links.where(F.col("src") == start).select(F.col("dst").alias("node"), F.lit(1).alias("hops")).distinct()
     visited = frontier = cut_lineage(frontier)
-    for hop in range(2, max_rounds + 1):
+    for hop in itertools.count(2):
         step = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         fresh = cut_lineage(step.join(visited.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
         if fresh.isEmpty():
             return visited
         visited = cut_lineage(visited.unionByName(fresh))
         frontier = fresh
-    raise RuntimeError(f"still finding nodes after {max_rounds} rounds")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """Edges of the shortest path, in order; empty when there is none.
 
     ``edges``: src, dst, seq. Among paths of equal length the one with the
@@ -42,7 +43,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 50)
     frontier = links.where((F.col("src") == start) & (F.col("dst") != start)).select(F.col("dst").alias("node"), F.array(item).alias("path"))
     frontier = cut_lineage(frontier)
     visited = frontier.select("node").union(links.sparkSession.createDataFrame([(start,)], "node string"))
-    for _ in range(max_rounds):
+    while True:
         hit = frontier.where(F.col("node") == goal)
         if not hit.isEmpty():
             steps = hit.select(F.posexplode("path").alias("i", "e"))
@@ -54,7 +55,6 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 50)
         best = step.join(visited, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         frontier = cut_lineage(best)
         visited = cut_lineage(visited.union(frontier.select("node")))
-    raise RuntimeError(f"no answer after {max_rounds} rounds")
 
 
 def site_graph(endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -80,8 +80,8 @@ def collapse_paths(entries: DataFrame, threshold: int = COLLAPSE_CHILDREN) -> Da
     return entries.join(kept.unionByName(leaves), ["host", "key"], "left_semi")
 
 
-def collapsed_endpoints(feeds: DataFrame, target_host: str) -> tuple[DataFrame, DataFrame]:
-    """(kept entries, typed parameters with three samples) of passive feeds."""
+def collapsed_endpoints(feeds: DataFrame, target_host: str, samples: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(kept entries, typed parameters) of passive feeds; ``samples`` values are shown per parameter."""
     from pyspark.sql import Window
 
     entries, params = path_entries(feeds, target_host)
@@ -89,9 +89,9 @@ def collapsed_endpoints(feeds: DataFrame, target_host: str) -> tuple[DataFrame,
     mine = params.join(kept.select("host", "key"), ["host", "key"], "left_semi")
     kinds = parameter_types(mine, ["host", "key", "name"])
     w = Window.partitionBy("host", "key", "name").orderBy("value")
-    samples = mine.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 3)
-    samples = samples.groupBy("host", "key", "name").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
-    return kept, kinds.join(samples, ["host", "key", "name"])
+    shown = mine.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples)
+    shown = shown.groupBy("host", "key", "name").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    return kept, kinds.join(shown, ["host", "key", "name"])
 
 
 def sitemap(endpoints: DataFrame) -> DataFrame:

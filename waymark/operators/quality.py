@@ -211,13 +211,13 @@ def tech_coverage(tables: dict[str, DataFrame], selected: Sequence[str] = ()) ->
     return warn.unionByName(rest)
 
 
-def scope_efficiency(tables: dict[str, DataFrame], top: int = 20, least: int = 20) -> DataFrame:
+def scope_efficiency(tables: dict[str, DataFrame], least: int = 20) -> DataFrame:
     """Endpoints per request, and URL templates asked for too often."""
     play = "P6_scope"
     txn = tables["transactions"]
     template = F.regexp_replace(F.substring_index("request_url", "?", 1), "/[0-9]+", "/{id}")
-    busiest = txn.groupBy(template.alias("template")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "template").limit(top).where(F.col("n") > least)
-    listed = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "template", "n"))), 1, 10), lambda r: F.concat_ws("=", r["template"], r["n"].cast("string")))
+    busiest = txn.groupBy(template.alias("template")).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "template", "n"))), lambda r: F.concat_ws("=", r["template"], r["n"].cast("string")))
     over = busiest.agg(F.count("*").alias("oversampled"), F.array_join(listed, ",").alias("templates"))
     counts = _measure("endpoints", tables["endpoints"]).union(_measure("total", txn))
     s = _wide(counts, ["endpoints", "total"])

@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import html, urls
 from . import filters
 
-MAX_SCRIPT_BYTES = 5_000_000
-MIN_INLINE_CHARS = 100
-
 # What the passes look for.
 QUOTED = r"(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`)"
 ARGUMENT = rf"((?:[A-Za-z_$][A-Za-z0-9_$]*\s*\+\s*)?{QUOTED}|[A-Za-z_$][A-Za-z0-9_$]*)"
@@ -44,20 +41,22 @@ SECRET_NAMES = [
 SECRET_ASSIGN = (
     r"(?i)(?<![A-Za-z0-9_$-])[\"']?(?:" + "|".join(SECRET_NAMES) + r")[\"']?\]?\s*[:=]\s*(\"[^\"\n]{8,}\"|'[^'\n]{8,}'|`[^`]{8,}`)"
 )
-MAX_SECRET_CHARS = 200
 
 
-def script_table(txn: DataFrame) -> DataFrame:
-    """Script files (one per URL) and inline scripts over 100 characters."""
-    order = F.struct("ts", "id")
-    files = txn.where(
-        F.col("response_content_type").contains("javascript") & (F.octet_length("response_body") <= MAX_SCRIPT_BYTES)
-    ).groupBy("request_url").agg(F.min_by("response_body", order).alias("source"))
-    files = files.select(F.col("request_url").alias("source_url"), F.lit(0).alias("script_no"), "source")
+def script_table(txn: DataFrame, least: int = 1) -> DataFrame:
+    """Script files (one per URL) and inline scripts of at least ``least`` characters.
+
+    The first response of a URL is found on slim rows; only its body is read again.
+    """
+    def first_bodies(rows: DataFrame) -> DataFrame:
+        first = rows.groupBy("request_url").agg(F.min_by("id", F.struct("ts", "id")).alias("id"))
+        return rows.join(first.select("id"), "id", "left_semi")
+
+    files = first_bodies(txn.where(F.col("response_content_type").contains("javascript")))
+    files = files.select(F.col("request_url").alias("source_url"), F.lit(0).alias("script_no"), F.col("response_body").alias("source"))
     pages = txn.where(F.col("response_content_type").contains("html") & (F.col("page_type") == "real_content"))
     pages = pages.where(F.col("response_body").contains("<script") | F.col("response_body").contains("<SCRIPT"))
-    pages = pages.groupBy("request_url").agg(F.min_by("response_body", order).alias("body"))
-    return files.unionByName(inline_scripts(pages, "request_url", "body", MIN_INLINE_CHARS + 1))
+    return files.unionByName(inline_scripts(first_bodies(pages), "request_url", "response_body", least))
 
 
 def inline_scripts(pages: DataFrame, url: str, body: str, least: int = 1) -> DataFrame:
@@ -181,7 +180,7 @@ def secrets(scripts: DataFrame, text: str = "source") -> DataFrame:
     line = _line("_src", "s.value")
     rows = rows.select("source_url", "s.rank", "s.kind", "s.value", line.alias("line"))
     first = rows.groupBy("source_url", "value").agg(F.min(F.struct("rank", "kind", "line")).alias("f"))
-    return first.select("source_url", "f.kind", F.substring("value", 1, MAX_SECRET_CHARS).alias("value"), "f.line")
+    return first.select("source_url", "f.kind", "value", "f.line")
 
 
 def _tag(values: Column, rank: int, kind: str) -> Column:

@@ -8,13 +8,13 @@ from ..functions import classify, urls
 
 
 def query_parameters(rows: DataFrame, url: str = "url") -> DataFrame:
-    """One row per query name of each URL with its first three values."""
+    """One row per query name of each URL with all its values, in order."""
     named = rows.withColumn("_pairs", urls.query_pairs(F.col(url)))
     named = named.withColumn("name", F.explode(F.array_distinct(F.transform("_pairs", lambda p: p["name"]))))
     values = F.transform(
         F.filter("_pairs", lambda p: p["name"] == F.col("name")), lambda p: p["value"]
     )
-    return named.withColumn("sample_values", F.slice(values, 1, 3)).drop("_pairs")
+    return named.withColumn("sample_values", values).drop("_pairs")
 
 
 # ---- Technologies ------------------------------------------------------
@@ -236,11 +236,18 @@ def distinct_schemas(schemas: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def require_auth(endpoints: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Sets requires_auth where the URL has a boundary."""
-    bounded = boundaries.select("url").distinct().withColumn("requires_auth", F.lit(True))
-    return endpoints.drop("requires_auth").join(bounded, "url", "left").withColumn(
-        "requires_auth", F.coalesce("requires_auth", F.lit(False))
-    )
+    """Sets requires_auth where the URL has a boundary, or its path where a boundary names a path.
+
+    A flag that is set stays set.
+    """
+    known = F.coalesce("requires_auth", F.lit(False)) if "requires_auth" in endpoints.columns else F.lit(False)
+    names = boundaries.select(F.col("url").alias("_bound")).distinct()
+    rows = endpoints.withColumns({"_path": urls.path(F.col("url")), "requires_auth": known})
+    by_url = names.withColumn("_by_url", F.lit(True))
+    by_path = names.where(F.col("_bound").startswith("/")).select(F.col("_bound").alias("_path"), F.lit(True).alias("_by_path"))
+    rows = rows.join(by_url, rows["url"] == by_url["_bound"], "left").join(by_path, "_path", "left")
+    bounded = F.coalesce("_by_url", "_by_path", F.lit(False))
+    return rows.withColumn("requires_auth", F.col("requires_auth") | bounded).drop("_bound", "_path", "_by_url", "_by_path")
 
 
 def unbounded_auth_endpoints(endpoints: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -252,12 +259,20 @@ def unbounded_auth_endpoints(endpoints: DataFrame, boundaries: DataFrame) -> Dat
 DEBUG_TAGS = ["debug", "actuator", "phpinfo"]
 
 
+def is_open_admin() -> Column:
+    return (F.col("page_type") == "admin") & ~F.col("requires_auth")
+
+
+def is_exposed_debug() -> Column:
+    return F.arrays_overlap("tags", F.array(*[F.lit(t) for t in DEBUG_TAGS]))
+
+
 def open_admin(endpoints: DataFrame) -> DataFrame:
-    return endpoints.where((F.col("page_type") == "admin") & ~F.col("requires_auth"))
+    return endpoints.where(is_open_admin())
 
 
 def exposed_debug(endpoints: DataFrame) -> DataFrame:
-    return endpoints.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in DEBUG_TAGS])))
+    return endpoints.where(is_exposed_debug())
 
 
 def entity_counts(**tables: DataFrame) -> DataFrame:
@@ -271,12 +286,18 @@ def entity_counts(**tables: DataFrame) -> DataFrame:
 
 def risk_summary(endpoints: DataFrame, vectors: DataFrame, boundaries: DataFrame, secrets: DataFrame) -> DataFrame:
     """Counts and the 0 to 100 score as one row."""
-    counts = entity_counts(
-        total_endpoints=endpoints, total_input_vectors=vectors,
-        high_risk_vectors=vectors.where(F.size("risk_indicators") > 0), auth_boundaries_found=boundaries,
-        unprotected_admin_paths=open_admin(endpoints), exposed_debug_endpoints=exposed_debug(endpoints),
-        secrets_found=secrets, unbounded=unbounded_auth_endpoints(endpoints, boundaries),
+    def counted(rows: DataFrame, **conditions: Column | None) -> DataFrame:
+        """(entity, n) rows: all counts of one table in one aggregate."""
+        one = rows.agg(*[(F.count("*") if c is None else F.count_if(c)).alias(n) for n, c in conditions.items()])
+        return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("entity"), F.col(n).alias("n")) for n in conditions]))).select("col.*")
+
+    bounded = boundaries.select("url").distinct().withColumn("_bounded", F.lit(True))
+    counts = counted(
+        endpoints.join(bounded, "url", "left"), total_endpoints=None, unprotected_admin_paths=is_open_admin(),
+        exposed_debug_endpoints=is_exposed_debug(), unbounded=F.col("requires_auth") & F.col("_bounded").isNull(),
     )
+    counts = counts.unionByName(counted(vectors, total_input_vectors=None, high_risk_vectors=F.size("risk_indicators") > 0))
+    counts = counts.unionByName(counted(boundaries, auth_boundaries_found=None)).unionByName(counted(secrets, secrets_found=None))
     names = ["total_endpoints", "total_input_vectors", "high_risk_vectors", "auth_boundaries_found",
              "unprotected_admin_paths", "exposed_debug_endpoints", "secrets_found", "unbounded"]
     row = counts.agg(*[F.max(F.when(F.col("entity") == n, F.col("n"))).alias(n) for n in names])
@@ -308,13 +329,16 @@ def high_risk_findings(endpoints: DataFrame, vectors: DataFrame, secrets: DataFr
 PASSIVE_TAGS = ["wayback", "commoncrawl", "otx"]
 
 
-def report_tables(endpoints: DataFrame, vectors: DataFrame, crawled: int = 50, passive: int = 30, risky: int = 30) -> DataFrame:
-    """The report's top rows: crawled and passive endpoints, risky vectors."""
+def report_tables(endpoints: DataFrame, vectors: DataFrame, crawled: int | None = None, passive: int | None = None, risky: int | None = None) -> DataFrame:
+    """The report's rows: crawled and passive endpoints, risky vectors; only the first of each when a number is given."""
+    def first(rows: DataFrame, most: int | None, *order: str) -> DataFrame:
+        return rows if most is None else rows.orderBy(*order).limit(most)
+
     is_passive = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in PASSIVE_TAGS]))
     key = F.concat_ws(" ", "method", "url").alias("key")
-    out = endpoints.where(~is_passive).orderBy("seq").limit(crawled).select(F.lit("crawled").alias("section"), key)
-    out = out.union(endpoints.where(is_passive).orderBy("seq").limit(passive).select(F.lit("passive"), key))
-    top = vectors.where(F.size("risk_indicators") > 0).orderBy("endpoint_url", "name", "location").limit(risky)
+    out = first(endpoints.where(~is_passive), crawled, "seq").select(F.lit("crawled").alias("section"), key)
+    out = out.union(first(endpoints.where(is_passive), passive, "seq").select(F.lit("passive"), key))
+    top = first(vectors.where(F.size("risk_indicators") > 0), risky, "endpoint_url", "name", "location")
     return out.union(top.select(F.lit("risky"), F.concat_ws(" ", "endpoint_url", "name", "location")))
 
 

@@ -20,7 +20,7 @@ def pages(spark, sf):
 
 @query("ext_01_links", f"""
 WITH t AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<((?:a|link|area)\\s[^>]*?href\\s*=\\s*(?:"[^"]*"|''[^'']*'')[^>]*>(?:[^<]*</a>)?)', 1)) AS tag FROM page_x),
-l AS (SELECT url, lower(regexp_extract(tag, '^([A-Za-z]+)', 1)) AS tag, regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']([^"'']*)["'']', 1) AS href, substr(trim(regexp_extract(tag, '>([^<]*)</', 1)), 1, 100) AS text FROM t)
+l AS (SELECT url, lower(regexp_extract(tag, '^([A-Za-z]+)', 1)) AS tag, regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']([^"'']*)["'']', 1) AS href, trim(regexp_extract(tag, '>([^<]*)</', 1)) AS text FROM t)
 SELECT url AS page_url, {ORIGIN} || href AS url, text, tag FROM l WHERE href <> '' AND NOT starts_with(href, '#')""")
 def ext_01(spark, sf):
     return extract.links(pages(spark, sf))
@@ -48,9 +48,9 @@ def ext_04(spark, sf):
 
 
 @query("ext_05_inline_scripts", """
-SELECT source_url, trim(s) AS source FROM (SELECT url AS source_url, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.+?)</script>', 1)) AS s FROM page_x) WHERE length(trim(s)) > 100""")
+SELECT source_url, trim(s) AS source FROM (SELECT url AS source_url, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.+?)</script>', 1)) AS s FROM page_x) WHERE length(trim(s)) > 0""")
 def ext_05(spark, sf):
-    return scripts.inline_scripts(pages(spark, sf), "url", "html", scripts.MIN_INLINE_CHARS + 1).select("source_url", "source")
+    return scripts.inline_scripts(pages(spark, sf), "url", "html").select("source_url", "source")
 
 
 def script_rows(spark, sf):
@@ -102,7 +102,7 @@ _DOC_SECRET = "(?i)(?:^|[^A-Za-z0-9_$-])[\"'']?(?:api_key|apikey|api-key|secret|
 @query("ext_10_secrets", f"""
 SELECT source_url, kind, value, 1::bigint AS line FROM script_secret_v
 UNION ALL
-SELECT source_url, arg_min(kind, rank) AS kind, substr(value, 1, 200), min(length(head) - length(replace(head, chr(10), '')) + 1) FROM (
+SELECT source_url, arg_min(kind, rank) AS kind, value, min(length(head) - length(replace(head, chr(10), '')) + 1) FROM (
   SELECT source_url, kind, rank, value, substr(text, 1, instr(text, value)) AS head FROM (
     SELECT 'doc' || doc_id AS source_url, text, 'aws_access_key' AS kind, 0 AS rank, unnest(regexp_extract_all(text, '(AKIA[A-Z0-9]{{16}})', 1)) AS value FROM documents
     UNION ALL SELECT 'doc' || doc_id, text, 'jwt_token', 1, unnest(regexp_extract_all(text, '(eyJ[a-zA-Z0-9_-]{{10,}}[.][a-zA-Z0-9_-]{{10,}}[.][a-zA-Z0-9_-]{{10,}})', 1)) FROM documents
@@ -134,9 +134,7 @@ def ext_12(spark, sf):
 
 @query("ext_12_openapi_parameters", """
 SELECT s.url, '/items' || page_id AS path, p.* FROM spec s, (VALUES ('GET', 'id', 'query', 'integer', true), ('GET', 'X-T', 'header', 'string', false),
-  ('POST', 'name', 'body', 'string', true), ('POST', 'size', 'body', 'integer', false), ('POST', 'owner.mail', 'body', 'string', true)) p(method, name, location, param_type, required)
-UNION ALL SELECT s.url, '/items' || page_id, 'POST', x.name, 'body', x.t, x.r FROM spec s, (VALUES ('owner.parent.name', 'string', true), ('owner.parent.size', 'integer', false),
-  ('owner.parent.owner.mail', 'string', true), ('owner.parent.owner.parent.name', 'string', true), ('owner.parent.owner.parent.size', 'integer', false), ('owner.parent.owner.parent.owner.mail', 'string', true)) x(name, t, r)""")
+  ('POST', 'name', 'body', 'string', true), ('POST', 'size', 'body', 'integer', false), ('POST', 'owner.mail', 'body', 'string', true)) p(method, name, location, param_type, required)""")
 def ext_12_params(spark, sf):
     _, params = apispec.flatten_openapi(views.table(spark, sf, "spec"))
     return params.select("url", "path", "method", "name", "location", "param_type", "required")

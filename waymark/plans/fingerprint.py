@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import stored
 from ..operators import fingerprint as fp, surface
 from ..signatures import infra, tech
 from . import sqlkit as q, views
@@ -23,10 +24,10 @@ def _sum(inner: str, distinct: str = "count(*)") -> str:
 
 DUCK = views.DUCK
 DUCK["hdr_l"] = "SELECT h.id, h.pos, lower(h.name) AS name, h.value, strftime(t.ts, '%Y%m%d%H%M%S%f') || lpad(cast(t.id AS varchar), 12, '0') AS seen FROM hdr h JOIN txn t USING (id)"
-DUCK["ev_header"] = _sum(f"""SELECT s.component, s.category, h.name || ': ' || substr(h.value, 1, 80) AS detail, s.confidence::double AS confidence,
+DUCK["ev_header"] = _sum(f"""SELECT s.component, s.category, h.name || ': ' || h.value AS detail, s.confidence::double AS confidence,
   CASE WHEN s.grp = 1 THEN regexp_extract(h.value, s.pattern, 1) ELSE '' END AS version, h.seen
   FROM hdr_l h JOIN {q.values(infra.HEADERS, "s(component, category, header, pattern, confidence, grp)")} ON h.name = s.header AND regexp_matches(h.value, s.pattern)""")
-DUCK["ev_prefix"] = _sum(f"""SELECT s.component, s.category, h.name || ': ' || substr(h.value, 1, 80) AS detail, s.confidence::double AS confidence, '' AS version, h.seen
+DUCK["ev_prefix"] = _sum(f"""SELECT s.component, s.category, h.name || ': ' || h.value AS detail, s.confidence::double AS confidence, '' AS version, h.seen
   FROM hdr_l h JOIN {q.values(infra.HEADER_PREFIXES, "s(component, category, prefix, confidence)")} ON starts_with(h.name, s.prefix)
   QUALIFY row_number() OVER (PARTITION BY h.id, s.component ORDER BY h.pos) = 1""")
 
@@ -63,7 +64,7 @@ DUCK["order_votes"] = f"""SELECT component, category, confidence::double AS conf
 DUCK["ev_order"] = """SELECT component, category, 'Header ordering matched ' || component || ' in ' || votes || '/' || total || ' responses' AS detail, confidence, '' AS version, 1::bigint AS hits
   FROM (SELECT *, (SELECT count(*) FROM ordered_names) AS total FROM order_votes ORDER BY votes DESC, rank LIMIT 1) w WHERE total >= 3 AND votes * 1.0 / total >= 0.5"""
 DUCK["ev_lb"] = """SELECT 'inferred_lb' AS component, 'load_balancer' AS category, 'Multiple Server headers detected: ' || string_agg(value || ' (' || c || 'x)', ', ' ORDER BY c DESC, value) AS detail,
-  0.70::double AS confidence, '' AS version, 1::bigint AS hits FROM (SELECT value, count(*) AS c FROM hdr_l WHERE name = 'server' GROUP BY 1 ORDER BY c DESC, value LIMIT 5) s HAVING count(*) > 1"""
+  0.70::double AS confidence, '' AS version, 1::bigint AS hits FROM (SELECT value, count(*) AS c FROM hdr_l WHERE name = 'server' GROUP BY 1 ) s HAVING count(*) > 1"""
 DUCK["cache_v"] = """SELECT count(*) FILTER (WHERE contains(upper(coalesce(h_x_cache, '')), 'HIT')) AS cache_hits,
   count(*) FILTER (WHERE NOT contains(upper(coalesce(h_x_cache, '')), 'HIT') AND contains(upper(coalesce(h_x_cache, '')), 'MISS')) AS cache_misses, bool_or(h_age IS NOT NULL) AS age_seen FROM txn"""
 DUCK["ev_cache"] = """SELECT 'cache_layer' AS component, 'cdn' AS category, 'X-Cache: ' || cache_hits || ' HITs / ' || (cache_hits + cache_misses) || ' total' AS detail, 0.60::double AS confidence, '' AS version, 1::bigint AS hits FROM cache_v WHERE cache_hits + cache_misses > 0
@@ -83,16 +84,16 @@ SELECT component, category, source, detail, confidence, version, count(DISTINCT
     FROM (SELECT body, unnest(regexp_extract_all(body, '(?is){_META}')) AS tag FROM uniq_page)) m
   JOIN {q.values(tech.META_TAGS, "s(component, category, name, pattern, confidence, grp)")} ON m.name = s.name AND regexp_matches(m.content, s.pattern)
   UNION ALL
-  SELECT s.component, s.category, r.source, substr(r.ref, 1, 120), s.confidence::double, CASE WHEN grp = 1 THEN regexp_extract(r.ref, s.pattern, 1) ELSE '' END, body
+  SELECT s.component, s.category, r.source, r.ref, s.confidence::double, CASE WHEN grp = 1 THEN regexp_extract(r.ref, s.pattern, 1) ELSE '' END, body
   FROM (SELECT body, 'script_src' AS source, unnest(regexp_extract_all(body, '(?i)<script\\s[^>]*?src=["'']([^"'']+)["'']', 1)) AS ref FROM uniq_page
     UNION ALL SELECT body, 'link_href', unnest(regexp_extract_all(body, '(?i)<link\\s[^>]*?href=["'']([^"'']+)["'']', 1)) FROM uniq_page) r
   JOIN {q.values(tech.SCRIPT_SOURCES, "s(component, category, pattern, confidence, grp)")} ON regexp_matches(r.ref, s.pattern)
   UNION ALL
-  SELECT s.component, s.category, 'body', substr(regexp_extract(body, s.pattern, 0), 1, 80), s.confidence::double, '', body
+  SELECT s.component, s.category, 'body', regexp_extract(body, s.pattern, 0), s.confidence::double, '', body
   FROM uniq_page JOIN {q.values(tech.BODIES, "s(component, category, pattern, confidence)")} ON regexp_matches(body, s.pattern)) e GROUP BY 1, 2, 3, 4, 5, 6"""
 DUCK["path_txn"] = """SELECT 'p' || page_id AS id, CASE page_id % 4 WHEN 0 THEN 'https://a.example.com/wp-admin/x' WHEN 1 THEN 'https://a.example.com/actuator/health' WHEN 2 THEN 'https://a.example.com/graphql?q=1' ELSE url END AS request_url,
   200 AS response_status, html AS response_body FROM page_x UNION ALL SELECT 't' || id, request_url, response_status, response_body FROM txn"""
-DUCK["ev_path"] = f"""SELECT s.component, s.category, 'url_path' AS source, substr(request_url, 1, 120) AS detail, s.confidence::double AS confidence, '' AS version, count(*) AS hits
+DUCK["ev_path"] = f"""SELECT s.component, s.category, 'url_path' AS source, request_url AS detail, s.confidence::double AS confidence, '' AS version, count(*) AS hits
   FROM path_txn JOIN {q.values(tech.URL_PATHS, "s(component, category, pattern, confidence)")} ON regexp_matches(request_url, s.pattern)
   WHERE response_status BETWEEN 200 AND 399 AND md5(response_body) NOT IN (SELECT body_hash FROM soft404) GROUP BY 1, 2, 4, 5"""
 
@@ -289,7 +290,8 @@ def tech_rows(spark, sf):
 
 
 def tech_table(spark, sf):
-    return surface.merge_tech(tech_rows(spark, sf))
+    """Built once per input, then read from the shared folder."""
+    return stored(spark, sf, "tech", lambda: surface.merge_tech(tech_rows(spark, sf)))
 
 
 @query("agg_04_tech_merge", "SELECT name, category, version, round(confidence, 6) AS confidence, evidence_count FROM tech_v")

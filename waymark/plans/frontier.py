@@ -80,9 +80,9 @@ def top_05(spark, sf):
 
 
 @query("top_06_report_tables", """
-SELECT * FROM (SELECT 'crawled' AS section, method || ' ' || url AS key FROM endpoint_v WHERE NOT list_has_any(tags, ['wayback', 'commoncrawl', 'otx']) ORDER BY seq LIMIT 50) a
-UNION ALL SELECT * FROM (SELECT 'passive', method || ' ' || url FROM endpoint_v WHERE list_has_any(tags, ['wayback', 'commoncrawl', 'otx']) ORDER BY seq LIMIT 30) b
-UNION ALL SELECT * FROM (SELECT 'risky', endpoint_url || ' ' || name || ' ' || location FROM vector_v WHERE len(risks) > 0 ORDER BY endpoint_url, name, location LIMIT 30) c""")
+SELECT * FROM (SELECT 'crawled' AS section, method || ' ' || url AS key FROM endpoint_v WHERE NOT list_has_any(tags, ['wayback', 'commoncrawl', 'otx'])) a
+UNION ALL SELECT * FROM (SELECT 'passive', method || ' ' || url FROM endpoint_v WHERE list_has_any(tags, ['wayback', 'commoncrawl', 'otx'])) b
+UNION ALL SELECT * FROM (SELECT 'risky', endpoint_url || ' ' || name || ' ' || location FROM vector_v WHERE len(risks) > 0) c""")
 def top_06(spark, sf):
     return surface.report_tables(endpoints(spark, sf), vectors(spark, sf))
 
@@ -140,10 +140,10 @@ def agg_23(spark, sf):
 @query("set_01_coverage_gaps", """
 WITH g AS (SELECT 1 AS rank, 'untested_method' AS gap_type, request_url AS url, detail FROM insight_v WHERE insight_type = 'method_hint'
   UNION ALL SELECT * FROM (SELECT 2, 'unspidered', url, method || ' ' || url || ' discovered by ' || source_module || ' but never spidered' AS detail FROM (SELECT * FROM endpoint_v WHERE url NOT IN (SELECT request_url FROM txn WHERE source_module = 's_crawl')
-    QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1) u ORDER BY url, detail LIMIT 30) u2
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1) u) u2
   UNION ALL SELECT 3, 'auth_boundary', url, 'Auth boundary (' || boundary_type || ') not re-tested with credentials' FROM boundary_v WHERE auth_status = 0
   UNION ALL SELECT 4, 'low_coverage', template, 'Template tried ' || (alpha + beta - 2) || ' times but only ' || (alpha - 1) || ' new coverage hits' FROM posterior_v WHERE beta > 5 AND alpha <= 1)
-SELECT gap_type, url, detail FROM g ORDER BY rank, url, detail LIMIT 100""")
+SELECT gap_type, url, detail FROM g""")
 def set_01(spark, sf):
     txn = views.transactions(spark, sf)
     hints = coverage.method_hints(coverage.insights(txn))

@@ -71,8 +71,8 @@ def dq_04(spark, sf):
 
 
 @query("dq_06_scope_efficiency", """
-WITH t AS (SELECT regexp_replace(split_part(request_url, '?', 1), '/[0-9]+', '/{id}', 'g') AS template, count(*) AS n FROM txn GROUP BY 1 ORDER BY n DESC, template LIMIT 20), o AS (SELECT * FROM t WHERE n > 20),
-c AS (SELECT (SELECT count(*) FROM endpoint_v) AS eps, (SELECT count(*) FROM txn) AS total, (SELECT count(*) FROM o) AS k, (SELECT string_agg(template || '=' || n, ',' ORDER BY n DESC, template) FROM (SELECT * FROM o ORDER BY n DESC, template LIMIT 10) x) AS list)
+WITH t AS (SELECT regexp_replace(split_part(request_url, '?', 1), '/[0-9]+', '/{id}', 'g') AS template, count(*) AS n FROM txn GROUP BY 1), o AS (SELECT * FROM t WHERE n > 20),
+c AS (SELECT (SELECT count(*) FROM endpoint_v) AS eps, (SELECT count(*) FROM txn) AS total, (SELECT count(*) FROM o) AS k, (SELECT string_agg(template || '=' || n, ',' ORDER BY n DESC, template) FROM o) AS list)
 SELECT 'P6_scope' AS play, 'warn' AS severity, k || ' over-sampled URL templates' AS title, 'oversampled=' || list AS facts FROM c WHERE k > 0
 UNION ALL SELECT 'P6_scope', 'info', printf('Scope efficiency: %.1f%%', eps * 100.0 / total), 'efficiency=' || round(eps / total, 4) || ';total_requests=' || total || ';unique_endpoints=' || eps FROM c""")
 def dq_06(spark, sf):

@@ -63,7 +63,7 @@ WITH u AS (SELECT DISTINCT request_url || '&ref=a&ref=b&blank=&plus=a+b%20c' AS
 p AS (SELECT url, unnest(list_filter(string_split({q.qs('url')}, '&'), lambda p: regexp_matches(p, '(?s)^[^=]*=.'))) AS pair,
   unnest(range(1, len(list_filter(string_split({q.qs('url')}, '&'), lambda p: regexp_matches(p, '(?s)^[^=]*=.'))) + 1)) AS i FROM u)
 SELECT url, url_decode(replace(split_part(pair, '=', 1), '+', ' ')) AS name,
-  array_to_string(list_slice(list(url_decode(replace(regexp_extract(pair, '(?s)^[^=]*=(.*)', 1), '+', ' ')) ORDER BY i), 1, 3), '|') AS samples
+  array_to_string(list(url_decode(replace(regexp_extract(pair, '(?s)^[^=]*=(.*)', 1), '+', ' ')) ORDER BY i), '|') AS samples
 FROM p GROUP BY 1, 2""")
 def scl_05(spark, sf):
     from ..operators import surface

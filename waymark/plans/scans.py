@@ -47,6 +47,9 @@ def src_03(spark, sf):
     return sources.html_responses(views.transactions(spark, sf)).select("id", "request_url", "response_body")
 
 
+LIST_ROWS = 500
+
+
 def feed(spark, sf, tag):
     return views.table(spark, sf, "passive_url").where(F.col("tag") == tag)
 
@@ -58,10 +61,11 @@ def read_feeds(spark, sf):
     feed(spark, sf, "wayback").select(F.concat_ws(" ", "url", dash("status"), dash("mime")).alias("value")).write.text(index)
     good = feed(spark, sf, "commoncrawl").select(F.to_json(F.struct("url", "status", "mime")).alias("value"))
     good.union(feed(spark, sf, "otx").select(F.lit("{broken").alias("value"))).write.text(lines)
-    # many documents of bounded size, each with its own url_list
-    shard = (F.xxhash64("url") % 64).alias("shard")
+    # documents of about LIST_ROWS urls each, however many there are
+    listed = feed(spark, sf, "otx")
+    shard = F.pmod(F.xxhash64("url", "status", F.monotonically_increasing_id()), F.lit(listed.count() // LIST_ROWS + 1)).alias("shard")
     entry = F.struct("url", F.col("status").alias("httpcode"))
-    docs = feed(spark, sf, "otx").groupBy(shard).agg(F.collect_list(entry).alias("url_list")).drop("shard")
+    docs = listed.groupBy(shard).agg(F.collect_list(entry).alias("url_list")).drop("shard")
     docs.repartition(8).write.option("maxRecordsPerFile", 1).json(lists)
     return (
         sources.read_text_index(spark, index), sources.read_crawl_index(spark, lines), sources.read_url_list(spark, lists),

@@ -83,6 +83,6 @@ def any_of(x: str, patterns) -> str:
 def text_hash(x: str) -> str:
     """Structural hash of HTML text."""
     return (
-        f"substr(sha256(array_to_string(list_transform(list_slice(regexp_extract_all({x}, "
-        f"'<([A-Za-z0-9_]+)([^>]*)>', 1), 1, 200), lambda t: lower(t)), '>')), 1, 12)"
+        f"substr(sha256(array_to_string(list_transform(regexp_extract_all({x}, "
+        f"'<([A-Za-z0-9_]+)([^>]*)>', 1), lambda t: lower(t)), '>')), 1, 12)"
     )

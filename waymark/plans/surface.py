@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import stored
 from ..functions import classify as C, urls as U
 from ..operators import access, filters, scripts, surface
 from . import fingerprint as fpq, sqlkit as q, views
@@ -62,6 +63,12 @@ SELECT value, arg_min(kind, (source_url, kind)) AS kind, min(source_url) AS sour
 # ---- Shared tables -----------------------------------------------------
 
 
+def entity(build):
+    """An entity table: built once per input, then read from the shared folder."""
+    return lambda spark, sf: stored(spark, sf, build.__name__, lambda: build(spark, sf))
+
+
+@entity
 def endpoints(spark, sf):
     return surface.merge_endpoints(views.observations(spark, sf))
 
@@ -73,15 +80,18 @@ def _observed_with_body(spark, sf):
     )
 
 
+@entity
 def params(spark, sf):
     return surface.endpoint_parameters(_observed_with_body(spark, sf), body="body")
 
 
+@entity
 def vectors(spark, sf):
     found = surface.classify_vectors(params(spark, sf), views.transactions(spark, sf), fpq.tech_table(spark, sf))
     return surface.merge_vectors(found)
 
 
+@entity
 def boundaries(spark, sf):
     return surface.merge_boundaries(access.boundary_sightings(views.transactions(spark, sf)))
 
@@ -90,11 +100,13 @@ def secured(spark, sf):
     return surface.require_auth(endpoints(spark, sf), boundaries(spark, sf))
 
 
+@entity
 def script_secrets(spark, sf):
     found = scripts.secrets(scripts.script_table(views.transactions(spark, sf)))
     return found.withColumn("seq", F.struct("source_url", "kind"))
 
 
+@entity
 def secrets(spark, sf):
     return surface.distinct_secrets(script_secrets(spark, sf))
 

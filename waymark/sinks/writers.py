@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls
 from ..operators.filters import by_host
@@ -15,19 +15,23 @@ OPENAPI_TYPES = {
 }
 OPENAPI_LOCATIONS = ["query", "header", "cookie", "path"]
 WITH_BODY = ["POST", "PUT", "PATCH"]
+FILES_PER_HOST = 8
 
 
 # ---- Transactions and entities -----------------------------------------
 
 
 def append_transactions(rows: DataFrame, path: str) -> None:
-    """Insert rows whose id is not stored yet, partitioned by host."""
+    """Insert rows whose id is not stored yet, the first by time of each id, partitioned by host."""
     spark = rows.sparkSession
-    fresh = by_host(rows.dropDuplicates(["id"]), "request_url")
+    first = Window.partitionBy("id").orderBy("timestamp")
+    fresh = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    fresh = by_host(fresh, "request_url")
     if _exists(spark, path):
         stored = spark.read.parquet(path).select("id")
         fresh = fresh.join(stored, "id", "left_anti")
-    fresh.write.mode("append").partitionBy("host").parquet(path)
+    # the rows of a host meet in few files; a hot host is dealt out by id
+    fresh.repartition("host", F.pmod(F.xxhash64("id"), F.lit(FILES_PER_HOST))).write.mode("append").partitionBy("host").parquet(path)
 
 
 def _exists(spark, path: str) -> bool:
@@ -222,12 +226,8 @@ def postman_items(endpoints: DataFrame) -> DataFrame:
 
 
 def write_postman(endpoints: DataFrame, path: str) -> None:
-    """Items as text lines below one folder each; a single folder stays flat."""
-    items = postman_items(endpoints)
-    if items.select("folder").distinct().limit(2).count() < 2:
-        items.select("item").write.mode("overwrite").text(path)
-    else:
-        items.write.mode("overwrite").partitionBy("folder").text(path)
+    """Items as text lines below one folder each."""
+    postman_items(endpoints).write.mode("overwrite").partitionBy("folder").text(path)
 
 
 def proxy_items(endpoints: DataFrame, comment: str = "recorded by") -> DataFrame:

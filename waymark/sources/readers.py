@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema
 
@@ -43,7 +43,7 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     Partition pruning on host and column pruning of the bodies come from the
     Parquet layout; sort at the sink if arrival order is wanted.
     """
-    rows = spark.read.schema(schema.TRANSACTIONS.add("host", "string")).parquet(path)
+    rows = spark.read.schema(T.StructType([*schema.TRANSACTIONS.fields, T.StructField("host", T.StringType())])).parquet(path)
     return rows.withColumns({
         "ts": F.col("timestamp"),
         "response_body": text_of(F.col("response_body")),
