@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks of text between ASCII white space that a task remembers. Most chunks
-#: beyond this many occur once, so what is not remembered costs little.
+#: Words that a task remembers, and half the chunks of text. Most words beyond
+#: this many occur once, so what is not remembered costs little.
 REMEMBERED = 300_000
 
 #: How the vocabulary's pre-tokeniser cuts (fixed values of the vocabulary file).
@@ -26,7 +26,7 @@ def load(path: str) -> Tokenizer:
 @lru_cache(maxsize=2)
 def chunk_ids(path: str, width: int) -> ChunkIds:
     """The memory of this worker process for one vocabulary; tasks that follow use it too."""
-    return ChunkIds(path, lambda ids: np.array(ids, dtype=f"<u{width}").tobytes())
+    return ChunkIds(path, width)
 
 
 @lru_cache(maxsize=1)
@@ -59,32 +59,31 @@ class ChunkIds(dict):
     special string crosses it, so the ids of a text are those of its chunks.
     """
 
-    def __init__(self, path: str, pack, limit: int = REMEMBERED):
+    def __init__(self, path: str, width: int):
         super().__init__()
-        self._tokenizer, self._pack, self._limit = load(path), pack, limit
+        self._tokenizer, self._type = load(path), {2: "H", 4: "I"}[width]
         self._model = self._tokenizer.model
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}
         self._letters = byte_letters()
 
-    def _ids(self, chunk: str) -> list[int]:
-        simple = one_word(chunk)
-        if simple:
-            return self._word(simple[0]) + self._word(simple[1]) if simple[1] else self._word(simple[0])
-        return self._tokenizer.encode(chunk, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Ids of normalised letters or one sign: one word of the library's model."""
-        ids = self._words.get(word)
-        if ids is None:
-            mapped = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
-            ids = [t.id for t in self._model.tokenize(mapped)]
-            if len(self._words) < self._limit:
-                self._words[word] = ids
-        return ids
+        mapped = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
+        packed = array(self._type, [t.id for t in self._model.tokenize(mapped)]).tobytes()
+        if len(self._words) < REMEMBERED:
+            self._words[word] = packed
+        return packed
 
     def __missing__(self, chunk: str) -> bytes:
-        packed = self._pack(self._ids(chunk))
-        if len(self) < self._limit:
+        simple = one_word(chunk)
+        if simple:
+            word, sign = simple
+            packed = self._words.get(word) or self._word(word)
+            if sign:
+                packed += self._words.get(sign) or self._word(sign)
+        else:
+            packed = array(self._type, self._tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(self) < 2 * REMEMBERED:
             self[chunk] = packed
         return packed
 
