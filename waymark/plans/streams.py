@@ -34,10 +34,10 @@ def str_01(spark, sf):
     return spark.read.parquet(out).select("id", "request_url", "response_status")
 
 
-@query("str_02_dedup", f"SELECT {q.digest(_FP)} AS fingerprint, 1 AS n FROM txn WHERE request_body <> '' GROUP BY 1")
+@query("str_02_dedup", f"SELECT {q.digest(_FP)} AS fingerprint, 1 AS n FROM txn GROUP BY 1")
 def str_02(spark, sf):
     out, checkpoint = live.places(spark, "dedup")
-    finish(live.deduplicate(arriving(spark, sf).where("request_body <> ''"), out, checkpoint, keep_for="90 days"))
+    finish(live.deduplicate(arriving(spark, sf), out, checkpoint, keep_for="90 days"))
     return spark.read.parquet(out).groupBy("fingerprint").agg(F.count("*").cast("int").alias("n"))
 
 

@@ -20,12 +20,16 @@ from ..operators import coverage
 from ..sinks import writers
 
 
-def _start(rows: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+#: What has arrived, then stop. Pass {"processingTime": "10 seconds"} to keep a query running.
+ONCE = {"availableNow": True}
 
 
-def _start_files(rows: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
-    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
+def _start(rows: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append", trigger: dict = ONCE) -> StreamingQuery:
+    return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(batch).start()
+
+
+def _start_files(rows: DataFrame, checkpoint: str, path: str, trigger: dict = ONCE) -> StreamingQuery:
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**trigger).format("parquet").start(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,28 +37,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
 
 
-def ingest(txn: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def ingest(txn: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Insert-or-ignore of arriving transactions."""
-    return _start(txn, checkpoint, lambda rows, _: writers.append_transactions(rows, path))
+    return _start(txn, checkpoint, lambda rows, _: writers.append_transactions(rows, path), trigger=trigger)
 
 
-def deduplicate(txn: DataFrame, path: str, checkpoint: str, keep_for: str = "1 day") -> StreamingQuery:
+def deduplicate(txn: DataFrame, path: str, checkpoint: str, keep_for: str = "1 day", trigger: dict = ONCE) -> StreamingQuery:
     """First request per fingerprint; a fingerprint is remembered for ``keep_for``."""
     c = F.col
     fp = urls.request_fingerprint(c("request_url"), c("request_method"), c("request_body"), c("auth_role"))
     rows = txn.select("id", "ts", fp.alias("fingerprint")).withWatermark("ts", keep_for)
-    return _start_files(rows.dropDuplicatesWithinWatermark(["fingerprint"]), checkpoint, path)
+    return _start_files(rows.dropDuplicatesWithinWatermark(["fingerprint"]), checkpoint, path, trigger=trigger)
 
 
-def insights(txn: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def insights(txn: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Insight rows as responses arrive; no state."""
-    return _start_files(coverage.insights(txn), checkpoint, path)
+    return _start_files(coverage.insights(txn), checkpoint, path, trigger=trigger)
 
 
 # ---- Coverage ----------------------------------------------------------
 
 
-def coverage_stream(txn: DataFrame, state: str, checkpoint: str, frame: int = coverage.SATURATION_WINDOW) -> StreamingQuery:
+def coverage_stream(txn: DataFrame, state: str, checkpoint: str, frame: int = coverage.SATURATION_WINDOW, trigger: dict = ONCE) -> StreamingQuery:
     """Flags every arriving response as new coverage or not.
 
     Below ``state``: ``seen`` (coverage keys), ``flags`` (one row per response)
@@ -82,7 +86,7 @@ def coverage_stream(txn: DataFrame, state: str, checkpoint: str, frame: int = co
         last = tail.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= frame).drop("rn")
         last.write.mode("overwrite").parquet(f"{state}/tail/batch={batch}")
 
-    return _start(txn, checkpoint, one_batch)
+    return _start(txn, checkpoint, one_batch, trigger=trigger)
 
 
 def coverage_flags(spark: SparkSession, state: str) -> DataFrame:
@@ -100,9 +104,9 @@ def live_saturation(spark: SparkSession, state: str, frame: int = coverage.SATUR
 # ---- Running aggregates ------------------------------------------------
 
 
-def _upserts(rows: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def _upserts(rows: DataFrame, keys: list[str], path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Changed groups of each batch, stored under the batch number."""
-    return _start(rows, checkpoint, lambda out, batch: out.write.mode("overwrite").parquet(f"{path}/batch={batch}"), "update")
+    return _start(rows, checkpoint, lambda out, batch: out.write.mode("overwrite").parquet(f"{path}/batch={batch}"), "update", trigger=trigger)
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -112,12 +116,12 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-def posterior_stream(flags: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def posterior_stream(flags: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """alpha and beta per template from the flag rows of the coverage stream."""
-    return _upserts(coverage.posterior(flags), ["template"], path, checkpoint)
+    return _upserts(coverage.posterior(flags), ["template"], path, checkpoint, trigger)
 
 
-def crawl_stats(txn: DataFrame, path: str, checkpoint: str, width: str = "1 minute", late: str = "10 minutes") -> StreamingQuery:
+def crawl_stats(txn: DataFrame, path: str, checkpoint: str, width: str = "1 minute", late: str = "10 minutes", trigger: dict = ONCE) -> StreamingQuery:
     """Completed, failed, error and rate-limited counts per window and crawl."""
     status = F.col("response_status")
     rows = txn.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "crawl_id").agg(
@@ -129,11 +133,11 @@ def crawl_stats(txn: DataFrame, path: str, checkpoint: str, width: str = "1 minu
                     ["window_start", "crawl_id"], path, checkpoint)
 
 
-def domain_backoff(txn: DataFrame, path: str, checkpoint: str, width: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> StreamingQuery:
+def domain_backoff(txn: DataFrame, path: str, checkpoint: str, width: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes", trigger: dict = ONCE) -> StreamingQuery:
     """429 answers per domain in sliding windows."""
     hits = txn.where(F.col("response_status") == 429).withColumn("domain", urls.authority(F.col("request_url")))
     rows = hits.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "domain").agg(F.count("*").alias("backoffs"))
-    return _upserts(rows.select(F.col("w.start").alias("window_start"), "domain", "backoffs"), ["window_start", "domain"], path, checkpoint)
+    return _upserts(rows.select(F.col("w.start").alias("window_start"), "domain", "backoffs"), ["window_start", "domain"], path, checkpoint, trigger)
 
 
 def places(spark: SparkSession, label: str) -> tuple[str, str]:
