@@ -130,7 +130,7 @@ def crawl_stats(txn: DataFrame, path: str, checkpoint: str, width: str = "1 minu
         F.approx_count_distinct("request_url").alias("endpoints_estimate"),
     )
     return _upserts(rows.select(F.col("w.start").alias("window_start"), "crawl_id", "completed", "failed", "errors", "rate_limited", "endpoints_estimate"),
-                    ["window_start", "crawl_id"], path, checkpoint)
+                    ["window_start", "crawl_id"], path, checkpoint, trigger)
 
 
 def domain_backoff(txn: DataFrame, path: str, checkpoint: str, width: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes", trigger: dict = ONCE) -> StreamingQuery:
