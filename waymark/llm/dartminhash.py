@@ -27,7 +27,7 @@ from .components import connected
 from .shingles import WORDS, shingle_sets
 
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -78,9 +78,10 @@ def _throw(elements, weights, owner, bound, t, signature) -> None:
     rank = (cell[dart_at] + _uniform(mix64(seed ^ np.uint64(0x5851F42D4C957F2D)))) / width[row]
     doc = owner[at[row]]
     inside = rank < bound[doc]
-    split = slab[row] > 0  # a first slab of full width needs no test
-    across = low[row] + width[row] * _uniform(mix64(seed ^ np.uint64(0x14057B7EF767814F)))
-    inside &= np.where(split | (weights[at[row]] < 1), across < weights[at[row]], True)
+    # only a slab that the weight fills in part needs the place across
+    part = np.flatnonzero(inside & (weights[at[row]] < low[row] + width[row]))
+    across = low[row[part]] + width[row[part]] * _uniform(mix64(seed[part] ^ np.uint64(0x14057B7EF767814F)))
+    inside[part] = across < weights[at[row[part]]]
     seed, doc, rank = seed[inside], doc[inside], rank[inside]
     packed = rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | seed & np.uint64(0xFFFFFFFF)
     np.minimum.at(signature, doc * t + (seed >> np.uint64(40)).astype(np.int64) % t, packed)
@@ -148,11 +149,11 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     Not all pairs of a bucket are compared. A bucket has a leader: in even bands
     the node that shares most bands with others, in odd bands one at random.
-    Members are compared with it; those that are not similar enough choose a
-    leader among themselves, until none are left. As distance is a metric, what
-    this may miss is a link between a member that the leader holds and one it
-    refused by no more than twice the distance; where those two lie in different
-    components at the end, they are compared as well.
+    Members are compared with it; those that are not similar enough choose
+    leaders among themselves, twice as many each time, until none are left. As
+    distance is a metric, what this may miss is a link between a member that a
+    leader holds and one it refused by no more than twice the distance; where
+    those two lie in different components at the end, they are compared as well.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "near")
@@ -194,17 +195,20 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     refused = None
     while True:
-        led = left.groupBy("band", "h").agg(F.max_by("node", "rank").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        if led.isEmpty():
+        best = Window.partitionBy("band", "h").orderBy(F.desc("rank"), "node")
+        leaders = left.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 1 << step)
+        stars = left.join(leaders.select("band", "h", F.col("node").alias("leader")), ["band", "h"]).where("node <> leader")
+        stars = stored(stars.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")), f"stars{step}")
+        if stars.isEmpty():
             break
-        stars = stored(left.join(led.drop("n"), ["band", "h"]).where("node <> leader")
-                       .withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")), f"stars{step}")
         found = compare(stars.select("a", "b").distinct(), f"pairs{step}")
         tested = found if tested is None else tested.union(found)
-        judged = stars.join(tested, ["a", "b"])
+        judged = stored(stars.join(tested, ["a", "b"]).select("band", "h", "leader", "node", "rank", "similarity"), f"judged{step}")
         sides = judged.select("band", "h", "leader", "node", "similarity")
         refused = sides if refused is None else refused.union(sides)
-        left = stored(judged.where(F.col("similarity") < similarity).select("band", "h", "node", "rank"), f"left{step + 1}")
+        rest = judged.groupBy("band", "h", "node", "rank").agg(F.max("similarity").alias("best")).where(F.col("best") < similarity)
+        rest = rest.join(judged.select("band", "h", F.col("leader").alias("node")).distinct(), ["band", "h", "node"], "left_anti")
+        left = stored(rest.select("band", "h", "node", "rank"), f"left{step + 1}")
         step += 1
 
     empty = spark.createDataFrame([], "a long, b long, similarity double")
