@@ -179,21 +179,26 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     tested, step = None, 0
 
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
+    def compare(pairs: DataFrame, name: int) -> DataFrame:
         """a, b, similarity of pairs that are not compared yet; sizes too far apart need no look at the sets."""
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         one, two = (sizes.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
-        sized = pairs.join(one, "a").join(two, "b")
+        sized = stored(pairs.join(one, "a").join(two, "b"), f"sized/step={name}")
         bound = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
         near = sized.where(bound >= similarity)
-        sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+        # of the sets only those that this round needs are moved
+        here = sets.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node", "left_semi")
+        sa, sb = (here.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         common = F.size(F.array_intersect("s_a", "s_b"))
         exact = near.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity"))
         far = sized.where(bound < similarity).select("a", "b", bound.alias("similarity"))
-        return stored(exact.union(far), name)
+        return stored(exact.union(far), f"pairs/step={name}")
+
+    def all_steps(name: str) -> DataFrame:
+        """The rows of every step so far, as one folder."""
+        return spark.read.parquet(f"{folder}/{name}").drop("step")
 
-    refused = None
     while True:
         best = Window.partitionBy("band", "h").orderBy(F.desc("rank"), "node")
         leaders = left.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 1 << step)
@@ -201,11 +206,9 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         stars = stored(stars.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")), f"stars{step}")
         if stars.isEmpty():
             break
-        found = compare(stars.select("a", "b").distinct(), f"pairs{step}")
-        tested = found if tested is None else tested.union(found)
-        judged = stored(stars.join(tested, ["a", "b"]).select("band", "h", "leader", "node", "rank", "similarity"), f"judged{step}")
-        sides = judged.select("band", "h", "leader", "node", "similarity")
-        refused = sides if refused is None else refused.union(sides)
+        found = compare(stars.select("a", "b").distinct(), step)
+        tested = all_steps("pairs")
+        judged = stored(stars.join(tested, ["a", "b"]).select("band", "h", "leader", "node", "rank", "similarity"), f"judged/step={step}")
         rest = judged.groupBy("band", "h", "node", "rank").agg(F.max("similarity").alias("best")).where(F.col("best") < similarity)
         rest = rest.join(judged.select("band", "h", F.col("leader").alias("node")).distinct(), ["band", "h", "node"], "left_anti")
         left = stored(rest.select("band", "h", "node", "rank"), f"left{step + 1}")
@@ -215,6 +218,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     if tested is None:
         return texts, nodes, empty
     links = tested.where(F.col("similarity") >= similarity)
+    refused = all_steps("judged").select("band", "h", "leader", "node", "similarity")
     while True:
         # what a leader holds against what it refused by little, across components
         component = connected(links.select("a", "b"))
@@ -224,9 +228,9 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         held = placed.where(F.col("similarity") >= similarity).select("band", "h", "leader", F.col("node").alias("x"), F.col("similarity").alias("s_x"), F.col("component").alias("c_x"))
         other = placed.where(F.col("similarity") < similarity).select("band", "h", "leader", F.col("node").alias("y"), F.col("similarity").alias("s_y"), F.col("component").alias("c_y"))
         both = held.join(other, ["band", "h", "leader"]).where((F.col("c_x") != F.col("c_y")) & (F.col("s_x") - F.col("s_y") <= 1 - similarity))
-        found = compare(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"pairs{step}")
+        found = compare(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), step)
         step += 1
-        tested = tested.union(found)
+        tested = all_steps("pairs")
         more = found.where(F.col("similarity") >= similarity)
         if more.isEmpty():
             return texts, nodes, links
