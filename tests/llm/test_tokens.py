@@ -64,10 +64,12 @@ def test_count_edges(spark, library):
 
 def test_coding_round_trip():
     r = np.random.default_rng(5)
-    for n in (0, 1, 3, 4, 5, 1000):
-        ranks = (r.integers(0, 1 << 32, n) >> r.integers(0, 32, n)).astype(np.uint32)
-        control, data = tokenfiles.encode_ranks(ranks)
-        assert len(control) == -(-n // 4) and (tokenfiles.decode_ranks(control, data, n) == ranks).all()
+    counts = np.array([0, 1, 3, 0, 4, 5, 1000, 2])
+    ranks = (r.integers(0, 1 << 32, counts.sum()) >> r.integers(0, 32, counts.sum())).astype(np.uint32)
+    control, data = tokenfiles.encode_ranks(ranks, counts)
+    assert [len(c) for c in control] == [-(-n // 4) for n in counts.tolist()]
+    assert (tokenfiles.decode_ranks(control, data, counts) == ranks).all()
+    assert tokenfiles.encode_ranks(ranks[:0], counts[:0]) == ([], [])
 
 
 def test_token_files_of_given_documents(spark, library):

@@ -21,35 +21,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..cluster import scratch_path
-from .batches import text_slices
+from .batches import text_slices, within
 from .vocabulary import chunk_ids, chunks, vocabulary_size
 
 END_ID = 2
 
 #: For each control byte: the lengths of its four ids.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-
-
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of one document's ranks (unsigned, below 2^32)."""
-    n = len(ranks)
-    size = 1 + (ranks >= 1 << 8).astype(np.int64) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    padded = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    padded[:n] = size - 1
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    octets = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), octets[np.arange(4) < size[:, None]].tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """Ranks of one document: lengths by table lookup, then one gather of bytes."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    octets = np.zeros((n, 4), dtype=np.uint8)
-    octets[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
+
+#: Ids that a task turns into numpy arrays at once.
+SLICE_IDS = 500_000
+
+
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(controls, data) of documents whose ranks (unsigned, below 2^32) stand one after another."""
+    size = (1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)).astype(np.uint8)
+    quads = -(-counts // 4)
+    slots = np.zeros(4 * int(quads.sum()), dtype=np.uint8)
+    slots[np.repeat(4 * (np.cumsum(quads) - quads), counts) + within(counts)] = size - 1
+    control = np.bitwise_or.reduce(slots.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1).tobytes()
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    return _cut(control, quads), _cut(data, np.diff(_ends(size)[_ends(counts)]))
+
+
+def decode_ranks(controls: list[bytes], data: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Ranks of documents, one after another: lengths by table lookup, then one gather of bytes."""
+    quads = np.fromiter(map(len, controls), np.int64, len(controls))
+    lengths = LENGTHS[np.frombuffer(b"".join(controls), np.uint8)].reshape(-1)
+    size = lengths[np.repeat(4 * (np.cumsum(quads) - quads), counts) + within(counts)]
+    octets = np.zeros((len(size), 4), dtype=np.uint8)
+    octets[np.arange(4) < size[:, None]] = np.frombuffer(b"".join(data), np.uint8)
     return octets.view("<u4").reshape(-1)
 
 
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def _cut(data: bytes, counts: np.ndarray) -> list[bytes]:
+    """Consecutive parts of the given lengths."""
+    at = _ends(counts).tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def _spans(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of at most SLICE_IDS ids; a longer document is a range of its own."""
+    first, held = 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if i > first and held + n > SLICE_IDS:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(counts):
+        yield first, len(counts)
+
+
 def id_width(vocabulary: str, end_id: int) -> int:
     return 4 if max(vocabulary_size(vocabulary), end_id + 1) > 1 << 16 else 2
 
@@ -77,8 +103,9 @@ def rank_ids(encoded: DataFrame, width: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                n = np.bincount(np.frombuffer(value.as_py(), f"<u{width}"), minlength=len(sums))
+            for first in range(0, batch.num_rows, 200):
+                ids = np.frombuffer(b"".join(batch.column(0).slice(first, 200).to_pylist()), f"<u{width}")
+                n = np.bincount(ids, minlength=len(sums))
                 n[:len(sums)] += sums
                 sums = n
         at = np.flatnonzero(sums)
@@ -111,9 +138,12 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [encode_ranks(sent.value[np.frombuffer(v.as_py(), f"<u{width}")]) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()),
-                                              batch.column(2)], names=["doc_id", "control", "data", "n_tokens"])
+            counts = batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in _spans(counts):
+                ids = np.frombuffer(b"".join(batch.column(1).slice(a, b - a).to_pylist()), f"<u{width}")
+                controls, data = encode_ranks(sent.value[ids], counts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(controls, pa.binary()), pa.array(data, pa.binary()),
+                                                  batch.column(2).slice(a, b - a)], names=["doc_id", "control", "data", "n_tokens"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     coded = encoded.mapInArrow(code, f"doc_id {kind}, control binary, data binary, n_tokens long")
@@ -149,9 +179,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            control, data, n = (batch.column(i) for i in (2, 3, 4))
-            ids = [sent.value[decode_ranks(c.as_py(), d.as_py(), k)].tobytes() for c, d, k in zip(control, data, n.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+            counts = batch.column(4).to_numpy(zero_copy_only=False)
+            for a, b in _spans(counts):
+                part = batch.slice(a, b - a)
+                ids = sent.value[decode_ranks(part.column(2).to_pylist(), part.column(3).to_pylist(), counts[a:b])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(_cut(ids.tobytes(), 4 * counts[a:b]), pa.binary())],
+                                                 names=["doc_id", "start", "n_tokens", "ids"])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
     placed = stored.join(F.broadcast(spark.read.parquet(f"{path}/parts")), "part")
