@@ -123,3 +123,29 @@ def test_pseudo_likelihood_edges(spark):
     assert out[7] == again[7]
     empty = pseudolm.fit(edge(spark, []), rounds=1)
     assert pseudolm.score(edge(spark, []), *empty).count() == 0 and pseudolm.score(docs, *empty).count() == 14
+
+
+def test_every_character_counts_in_the_pseudo_likelihood(spark):
+    r = np.random.default_rng(5)
+    signs = "".join(chr(0x4E00 + i) for i in range(600))
+    texts = [prose(i, 100) + " fjord quiz 57 Ж" for i in range(6)] + ["".join(r.choice(list(signs[:40]), 60)) + signs for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = pseudolm.vocabulary(docs)
+    known = {c for t in texts for c in t.lower()}
+    assert len({int(tokens[ord(c)]) for c in known}) == len(known) and pseudolm.OTHER not in tokens[[ord(c) for c in known]]
+    counted = pseudolm.window_counts(docs, tokens, 3)
+    assert counted.columns == ["k0", "k1", "n"]  # more than 63 bits
+    want = {}
+    for t in texts:
+        padded = "\0" * 3 + t.lower() + "\0" * 3
+        for i in range(len(t)):
+            want[padded[i:i + 7]] = want.get(padded[i:i + 7], 0) + 1
+    rows = counted.toPandas()
+    near = pseudolm.unpack([rows["k0"].to_numpy(), rows["k1"].to_numpy()], int(tokens.max()) + 1, 3)
+    back = {int(tokens[ord(c)]): c for c in known} | {0: "\0"}
+    assert {"".join(back[int(x)] for x in w): int(n) for w, n in zip(near, rows["n"], strict=True)} == want
+    scorer = pseudolm.Scorer(*pseudolm.fit(docs, rounds=1, steps=20, parts=2, side=3))
+    swapped = ["a fjord quiz", "a qjord fuiz", "57", "75", "line\nbreak", "line break", signs[:30], "".join(r.permutation(list(signs[:30]))), "ajbcd", "aqbcd"]
+    _, total = scorer.score(swapped)
+    assert all(a != pytest.approx(b, abs=1e-4) for a, b in zip(total[::2], total[1::2], strict=True))
+    assert scorer.score(swapped)[1].tolist() == total.tolist()

@@ -1,10 +1,10 @@
 """Document scores by masked pseudo-likelihood.
 
 A network sees the tokens on both sides of a masked one and predicts it. Tokens
-are characters (the most frequent of the corpus, all others as one). Every
-window of the corpus is counted, the counts train the network in numpy, and a
-document's score is the sum of the log-probabilities of its tokens, each given
-its true neighbours.
+are lower-cased characters; every character of the corpus has its own. All
+windows of the corpus are counted into a Spark table, tasks train the network on
+partitions of its rows, and a document's score is the sum of the
+log-probabilities of its tokens, each given its true neighbours.
 """
 
 from __future__ import annotations
@@ -17,39 +17,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..cluster import scratch_path
-from .batches import segment_index, text_slices
+from .batches import ODD, mix64, segment_index, text_slices
 
-TOKENS = 32  # a power of two: windows are packed in bits
-EDGE, OTHER = 0, 1
+EDGE, OTHER = 0, 1  # beyond a text; a character that the fitted corpus lacks
 SIDE = 2  # tokens on each side
 HIDDEN = 48
 PARTS, ROUNDS, STEPS, BATCH = 16, 5, 100, 2048
 RATE = 0.02
-_BITS = TOKENS.bit_length() - 1
+#: Windows that one task trains on, and that a counting task holds at once.
+PART_ROWS, HELD = 1 << 20, 1 << 23
+#: Cells of the largest softmax made at once, weights that are averaged as one row, log-probabilities that a scoring task remembers.
+CELLS, BLOCK, CACHE_BITS = 1 << 22, 1 << 16, 22
 
 
 def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, characters per text): lower-cased, white space as a space, digits as 0."""
+    """(code points, characters per text), lower-cased."""
     lowered = [t.lower() for t in texts]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    codes[(codes >= 9) & (codes <= 13)] = 32
-    codes[(codes >= 48) & (codes <= 57)] = 48
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     return codes, np.fromiter(map(len, lowered), np.int64, len(lowered))
 
 
-def windows(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, target, characters per text): the tokens around each token, packed, and the token."""
+def layout(tokens: int, side: int) -> tuple[int, list[range]]:
+    """(bits a token, positions per 64-bit key): how a window of 2 side + 1 tokens is packed."""
+    bits = max(tokens - 1, 1).bit_length()
+    n, per = 2 * side + 1, 63 // bits
+    return bits, [range(at, min(at + per, n)) for at in range(0, n, per)]
+
+
+def windows(texts: list[str], table: np.ndarray, side: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys, characters per text): the window around each token, packed into one or more columns."""
     codes, lengths = characters(texts)
-    target = table[np.minimum(codes, len(table) - 1)]
-    owner = segment_index(lengths)
-    context = np.zeros(len(target), dtype=np.int64)
-    for step in (*range(-SIDE, 0), *range(1, SIDE + 1)):
-        near = np.full(len(target), EDGE, dtype=np.int64)
-        if len(target) > abs(step):
-            here, there = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
-            near[here] = np.where(owner[here] == owner[there], target[there], EDGE)
-        context = context << _BITS | near
-    return context, target, lengths
+    bits, columns = layout(int(table.max()) + 1, side)
+    at = np.arange(len(codes)) + side * (segment_index(lengths) + 1)
+    padded = np.full(len(codes) + side * (len(texts) + 1), EDGE, dtype=np.int64)
+    padded[at] = table[np.minimum(codes, len(table) - 1)]
+    first, keys = at - side, []
+    n = max(len(padded) - 2 * side, 0)
+    for positions in columns:
+        key = np.zeros(n, dtype=np.int64)
+        for k in positions:
+            key <<= bits
+            key |= padded[k:k + n]
+        keys.append(key[first])
+    return keys, lengths
+
+
+def unpack(keys: list[np.ndarray], tokens: int, side: int) -> np.ndarray:
+    """One row of 2 side + 1 tokens per window; the masked one is column ``side``."""
+    bits, columns = layout(tokens, side)
+    return np.stack([key >> bits * (len(p) - 1 - i) & (1 << bits) - 1 for key, p in zip(keys, columns, strict=True) for i in range(len(p))], axis=1)
+
+
+def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct windows in order, count of each)."""
+    if len(keys) == 1:
+        one, n = np.unique(keys[0], return_counts=True)
+        return [one], n
+    order = np.lexsort(keys[::-1])
+    ordered = [k[order] for k in keys]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in ordered], axis=0)
+    at = np.flatnonzero(fresh)
+    return [k[at] for k in ordered], np.diff(np.append(at, len(order)))
 
 
 class Network:
@@ -58,18 +87,22 @@ class Network:
     def __init__(self, inner: np.ndarray, inner_bias: np.ndarray, outer: np.ndarray, outer_bias: np.ndarray):
         self.parts = [inner, inner_bias, outer, outer_bias]
 
+    @property
+    def side(self) -> int:
+        return len(self.parts[0]) // 2
+
+    @property
+    def tokens(self) -> int:
+        return self.parts[0].shape[1]
+
     @classmethod
-    def start(cls, seed: int = 7) -> Network:
+    def start(cls, tokens: int, side: int = SIDE, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
-        return cls(r.normal(0, 0.1, (2 * SIDE, TOKENS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
-                   r.normal(0, 0.1, (HIDDEN, TOKENS)).astype(np.float32), np.zeros(TOKENS, np.float32))
-
-    @staticmethod
-    def unpack(context: np.ndarray) -> np.ndarray:
-        return np.stack([context >> _BITS * (2 * SIDE - 1 - k) & TOKENS - 1 for k in range(2 * SIDE)], axis=1)
+        return cls(r.normal(0, 0.1, (2 * side, tokens, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
+                   r.normal(0, 0.1, (HIDDEN, tokens)).astype(np.float32), np.zeros(tokens, np.float32))
 
     def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden, log-probabilities) of unpacked contexts."""
+        """(hidden, log-probabilities) of contexts: one row of neighbours each."""
         inner, inner_bias, outer, outer_bias = self.parts
         hidden = np.tanh(sum(inner[k][near[:, k]] for k in range(near.shape[1])) + inner_bias)
         z = hidden @ outer + outer_bias
@@ -77,32 +110,45 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return hidden, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def gradients(self, near: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-        """Of the mean negative log-probability of the counted targets."""
+    def log_probs(self, keys: list[np.ndarray]) -> np.ndarray:
+        """Log-probability of the masked token of each window."""
+        out, rows = np.zeros(len(keys[0]), dtype=np.float32), max(1, CELLS // self.tokens)
+        for at in range(0, len(out), rows):
+            all_ = unpack([k[at:at + rows] for k in keys], self.tokens, self.side)
+            logs = self.forward(np.delete(all_, self.side, axis=1))[1]
+            out[at:at + rows] = logs[np.arange(len(all_)), all_[:, self.side]]
+        return out
+
+    def gradients(self, near: np.ndarray, target: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Of the mean negative log-probability of the targets, each counted ``n`` times."""
         inner, _, outer, _ = self.parts
         hidden, logs = self.forward(near)
-        total = counts.sum(axis=1, keepdims=True)
-        error = (np.exp(logs) * total - counts) / total.sum()
+        error = np.exp(logs)
+        error[np.arange(len(near)), target] -= 1
+        error *= (n / n.sum())[:, None]
         back = (error @ outer.T) * (1 - hidden * hidden)
         rows = np.zeros_like(inner)
         for k in range(near.shape[1]):
-            hot = np.zeros((len(near), TOKENS), dtype=np.float32)
-            hot[np.arange(len(near)), near[:, k]] = 1
-            rows[k] = hot.T @ back
+            some, where = np.unique(near[:, k], return_inverse=True)
+            hot = np.zeros((len(near), len(some)), dtype=np.float32)
+            hot[np.arange(len(near)), where] = 1
+            rows[k][some] = hot.T @ back
         return [rows, back.sum(axis=0), hidden.T @ error, error.sum(axis=0)]
 
-    def train(self, context: np.ndarray, counts: np.ndarray, steps: int, rate: float, seed: int) -> None:
-        """Adam over batches of contexts in random order, pass after pass."""
-        near = self.unpack(context)
-        order, r = np.arange(len(near)), np.random.default_rng(seed)
+    def train(self, keys: list[np.ndarray], counts: np.ndarray, steps: int, rate: float, seed: int) -> None:
+        """Adam over batches of windows in random order, pass after pass: ``steps`` at least, and every window once at least."""
+        order, r = np.arange(len(counts)), np.random.default_rng(seed)
         first, second = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts]
-        per_pass = -(-len(order) // BATCH)
-        for step in range(1, steps + 1):
-            at = (step - 1) % per_pass * BATCH
+        batch = max(1, min(BATCH, CELLS // self.tokens))
+        per_pass = -(-len(order) // batch)
+        for step in range(1, max(steps, per_pass) + 1):
+            at = (step - 1) % per_pass * batch
             if at == 0:
                 r.shuffle(order)
-            pick = order[at:at + BATCH]
-            for p, g, a, b in zip(self.parts, self.gradients(near[pick], counts[pick]), first, second, strict=True):
+            pick = order[at:at + batch]
+            all_ = unpack([k[pick] for k in keys], self.tokens, self.side)
+            found = self.gradients(np.delete(all_, self.side, axis=1), all_[:, self.side], counts[pick])
+            for p, g, a, b in zip(self.parts, found, first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 p -= (rate * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
@@ -111,9 +157,9 @@ class Network:
         return b"".join(p.astype("<f4").tobytes() for p in self.parts)
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Network:
+    def from_bytes(cls, data: bytes, tokens: int, side: int) -> Network:
         flat, out, at = np.frombuffer(data, "<f4"), [], 0
-        for shape in ((2 * SIDE, TOKENS, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,)):
+        for shape in ((2 * side, tokens, HIDDEN), (HIDDEN,), (HIDDEN, tokens), (tokens,)):
             n = int(np.prod(shape))
             out.append(flat[at:at + n].reshape(shape).copy())
             at += n
@@ -121,7 +167,7 @@ class Network:
 
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Code point -> token, from the counts of all characters of all texts; ties go to the smaller code point."""
+    """Code point -> token for every character of all texts, the most frequent first; ties go to the smaller code point."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, dtype=np.int64)
@@ -134,96 +180,122 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["code", "n"])
 
     counts = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    best = [r["code"] for r in counts.orderBy(F.desc("n"), "code").limit(TOKENS - 2).collect()]
-    table = np.full(max(best, default=0) + 2, OTHER, dtype=np.int64)
-    table[best] = np.arange(2, 2 + len(best))
+    # one row per code point, so Unicode bounds what comes to the driver
+    found = counts.toPandas().sort_values(["n", "code"], ascending=[False, True])["code"].to_numpy()
+    table = np.full(int(found.max(initial=0)) + 2, OTHER, dtype=np.int64)
+    table[found] = np.arange(2, 2 + len(found))
     return table
 
 
-def window_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """context, target, n: how often each window occurs in all texts."""
+def window_counts(docs: DataFrame, table: np.ndarray, side: int = SIDE) -> DataFrame:
+    """k0, k1, ... (the packed window), n: how often each window occurs in all texts."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
+    names = [f"k{i}" for i in range(len(layout(int(table.max()) + 1, side)[1]))]
+
+    def rows(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, n = distinct([np.concatenate(column) for column in zip(*held, strict=True)])
+        for at in range(0, len(n), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in (*keys, n)], names=[*names, "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        held, size = [], 0
         for batch in batches:
             for _, texts in text_slices(batch):
-                context, target, _ = windows(texts, sent.value)
-                new, n = np.unique(context << _BITS | target, return_counts=True)
-                both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                codes, sums = both, np.bincount(where, np.concatenate([sums, n]), minlength=len(both)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes >> _BITS), pa.array((codes & TOKENS - 1).astype(np.int32)), pa.array(sums)],
-                                         names=["context", "target", "n"])
+                held.append(windows(texts, sent.value, side)[0])
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield from rows(held)
+                    held, size = [], 0
+        if size:
+            yield from rows(held)
 
-    found = docs.select("text").mapInArrow(count, "context long, target int, n long")
-    return found.groupBy("context", "target").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(count, ", ".join(f"{k} long" for k in (*names, "n")))
+    return found.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def _learner(sent, number: int, steps: int, rate: float):
-    """Trains a copy of the network on one share of the windows."""
+def _learner(sent, tokens: int, side: int, number: int, steps: int, rate: float):
+    """Trains a copy of the network on one share of the windows; gives its weights in blocks."""
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        context, where = np.unique(pdf["context"].to_numpy(), return_inverse=True)
-        counts = np.zeros((len(context), TOKENS), dtype=np.float32)
-        counts[where, pdf["target"].to_numpy()] = pdf["n"].to_numpy()
-        own = Network.from_bytes(sent.value)
-        own.train(context, counts, steps, rate / (1 + number), number)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "seen": [float(counts.sum(dtype=np.float64))], "weights": [own.pack()]})
+        names = [c for c in pdf.columns if c not in ("part", "n")]
+        pdf = pdf.sort_values(names)
+        own = Network.from_bytes(sent.value, tokens, side)
+        own.train([pdf[c].to_numpy() for c in names], pdf["n"].to_numpy(dtype=np.float32), steps, rate / (1 + number), number)
+        data = own.pack()
+        blocks = [data[at:at + 4 * BLOCK] for at in range(0, len(data), 4 * BLOCK)]
+        return pd.DataFrame({"block": range(len(blocks)), "part": pdf["part"].iloc[0], "seen": float(pdf["n"].sum()), "weights": blocks})
 
     return learn
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, steps: int = STEPS, parts: int = PARTS, rate: float = RATE) -> tuple[np.ndarray, Network]:
+def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of weights, averaged over the copies by the tokens that they saw."""
+    pdf = pdf.sort_values("part")
+    share = pdf["seen"].to_numpy() / pdf["seen"].sum()
+    mean = sum(np.frombuffer(w, "<f4").astype(np.float64) * x for w, x in zip(pdf["weights"], share, strict=True))
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "weights": [mean.astype("<f4").tobytes()]})
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, steps: int = STEPS, parts: int = PARTS, rate: float = RATE, side: int = SIDE) -> tuple[np.ndarray, Network]:
     """(token table, network) learned from every window of every text.
 
-    Windows are dealt by context to ``parts`` tasks, at most TOKENS^(2 SIDE) / parts
-    contexts each. In every round each task trains a copy of the network on its
-    share, and the copies are averaged by the tokens they saw.
+    Windows are dealt to ``parts`` tasks, or more where a task would get above
+    PART_ROWS. In every round each task trains a copy of the network on all rows
+    of its share, and the copies are averaged by the tokens they saw.
     """
     spark = docs.sparkSession
     table = vocabulary(docs)
     path = scratch_path(spark, "windows")
-    share = F.pmod(F.xxhash64("context"), F.lit(parts)).cast("int")
-    window_counts(docs, table).withColumn("part", share).repartition(parts, "part").write.parquet(path)
+    window_counts(docs, table, side).write.parquet(path)
     counted = spark.read.parquet(path)
-    network = Network.start()
+    parts = max(parts, -(-counted.count() // PART_ROWS))
+    dealt = counted.withColumn("part", F.pmod(F.xxhash64(*[c for c in counted.columns if c != "n"]), F.lit(parts)).cast("int"))
+    network = Network.start(int(table.max()) + 1, side)
     for number in range(rounds):
         sent = spark.sparkContext.broadcast(network.pack())
-
-        copies = counted.groupBy("part").applyInPandas(_learner(sent, number, steps, rate), "part int, seen double, weights binary").collect()
-        if not copies:
+        learn = _learner(sent, network.tokens, side, number, steps, rate)
+        copies = dealt.groupBy("part").applyInPandas(learn, "block int, part int, seen double, weights binary")
+        blocks = copies.groupBy("block").applyInPandas(_mean, "block int, weights binary").collect()
+        if not blocks:
             break
-        total = sum(r["seen"] for r in copies)
-        copies.sort(key=lambda r: r["part"])
-        mean = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["seen"] / total) for r in copies)
-        network = Network.from_bytes(mean.astype("<f4").tobytes())
+        data = b"".join(bytes(r["weights"]) for r in sorted(blocks, key=lambda r: r["block"]))
+        network = Network.from_bytes(data, network.tokens, side)
     return table, network
 
 
 class Scorer:
-    """Log-probabilities of the contexts met so far: one row of all targets each."""
+    """Log-probabilities of windows, with a table of fixed size of those met before."""
 
     def __init__(self, table: np.ndarray, network: Network):
         self.table, self.network = table, network
-        self.row = np.full(TOKENS ** (2 * SIDE), -1, dtype=np.int32)
-        self.logs = np.zeros((0, TOKENS), dtype=np.float32)
-        self.used = 0
+        columns = layout(network.tokens, network.side)[1]
+        self.keys = [np.full(1 << CACHE_BITS, -1, dtype=np.int64) for _ in columns]
+        self.logs = np.zeros(1 << CACHE_BITS, dtype=np.float32)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, summed log-probability) per text."""
-        context, target, lengths = windows(texts, self.table)
-        new = np.unique(context[self.row[context] < 0])
+        keys, lengths = windows(texts, self.table, self.network.side)
+        code = keys[0].astype(np.uint64)
+        for key in keys[1:]:
+            code = mix64(code) ^ key.astype(np.uint64)
+        slot = (code * ODD >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        known = np.ones(len(slot), dtype=bool)
+        for key, kept in zip(keys, self.keys, strict=True):
+            known &= kept[slot] == key
+        logs, new = self.logs[slot], np.flatnonzero(~known)
         if len(new):
-            if self.used + len(new) > len(self.logs):
-                grown = np.zeros((max(2 * len(self.logs), self.used + len(new)), TOKENS), dtype=np.float32)
-                grown[:self.used] = self.logs[:self.used]
-                self.logs = grown
-            self.row[new] = np.arange(self.used, self.used + len(new))
-            for at in range(0, len(new), 65_536):
-                part = new[at:at + 65_536]
-                self.logs[self.used + at:self.used + at + len(part)] = self.network.forward(Network.unpack(part))[1]
-            self.used += len(new)
-        return lengths, np.bincount(segment_index(lengths), self.logs[self.row[context], target], minlength=len(texts)).astype(np.float64)
+            # windows of one slot come together; equal ones are computed once
+            new = new[np.lexsort([*[k[new] for k in keys], slot[new]])]
+            fresh = np.ones(len(new), dtype=bool)
+            fresh[1:] = np.any([k[new[1:]] != k[new[:-1]] for k in keys], axis=0)
+            once = new[fresh]
+            found = self.network.log_probs([k[once] for k in keys])
+            logs[new] = found[np.cumsum(fresh) - 1]
+            last = np.append(slot[once[1:]] != slot[once[:-1]], True)
+            for key, kept in zip(keys, self.keys, strict=True):
+                kept[slot[once[last]]] = key[once[last]]
+            self.logs[slot[once[last]]] = found[last]
+        return lengths, np.bincount(segment_index(lengths), logs, minlength=len(texts)).astype(np.float64)
 
 
 def score(docs: DataFrame, table: np.ndarray, network: Network) -> DataFrame:

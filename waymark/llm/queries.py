@@ -70,4 +70,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pseudo_likelihood")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pseudolm.score(docs, *pseudolm.fit(docs))
+    return pseudolm.score(docs, *pseudolm.fit(docs, side=3))
