@@ -87,3 +87,15 @@ def test_token_files_hold_the_mix(stages):
 def test_run_gives_the_rows_of_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect()
     assert sorted(tuple(r) for r in got) == sorted((r[0], r[2]) for r in stages[5])
+
+
+def test_the_mix_keeps_texts_as_they_stand(spark):
+    rows = [(1, "\tone  two\n\nthree four\r\nfive six seven eight \n", "en", "b", 0), *((i, "x y\nz " * 4, "en", "a", 0) for i in range(2, 8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # source b (weight 1) holds one document of 8 words and gets 6 of them
+    kw = {"weights": (1.0, 1.0), "share": 12 / 80}
+    cut = {r["doc_id"]: r for r in mixing.mixed_texts(docs, **kw).collect()}
+    assert cut[1]["text"] == "\tone  two\n\nthree four\r\nfive six" and cut[1]["n_chars"] == len(cut[1]["text"])
+    whole = mixing.mixed_texts(docs, whole=True, **kw).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert sorted(r["doc_id"] for r in whole) == sorted(cut) and all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in whole)

@@ -61,8 +61,3 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def words_column(text: Column) -> Column:
-    """Words of a text: runs of anything but ASCII white space."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..cluster import cut_lineage
-from .batches import ODD, words_column
+from .batches import ODD
 
 #: Weights by rank of the source name, repeated in this order.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -169,18 +169,22 @@ def taken_words(docs: DataFrame, **kw) -> DataFrame:
     return documents.join(took, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, **kw) -> DataFrame:
+def mixed_texts(docs: DataFrame, whole: bool = False, **kw) -> DataFrame:
     """The mix as rows with the columns of ``docs``: one row per document and epoch that it enters.
 
     A document that the mix takes twice comes twice; one without words never.
-    Where the target of a source ends inside a document, that row holds the
-    words taken, joined by one space. A column ``n_chars`` follows the text.
+    Where the target of a source ends inside a document, that row holds the text
+    as it stands up to the last word taken; with ``whole`` it holds all of it, so
+    that the source passes its target by less than one document. A column
+    ``n_chars`` follows the text.
     """
     _, pieces = mix(docs, **kw)
-    took = pieces.groupBy("_row", "epoch").agg(F.sum("n_words").alias("_n"), F.max(F.col("first_word") + F.col("n_words")).alias("_to"))
+    took = pieces.groupBy("_row", "epoch").agg(F.sum("n_words").alias("_n"))
     text = F.col("_all.text")
-    cut = F.concat_ws(" ", F.slice(words_column(text), F.lit(1), F.col("_n").cast("int")))
-    final = F.when(F.col("_n") < text_size(text), cut).otherwise(text)
+    # each word with the white space before it
+    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("_n").cast("int")), "")
+    final = text if whole else F.when(F.col("_n") < text_size(text), cut).otherwise(text)
     rows = keyed(docs).join(took, "_row").withColumn("_text", final)
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
