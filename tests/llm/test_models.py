@@ -149,3 +149,7 @@ def test_every_character_counts_in_the_pseudo_likelihood(spark):
     _, total = scorer.score(swapped)
     assert all(a != pytest.approx(b, abs=1e-4) for a, b in zip(total[::2], total[1::2], strict=True))
     assert scorer.score(swapped)[1].tolist() == total.tolist()
+
+
+def test_toxicity_features_are_not_halved():
+    assert toxicity.FEATURES == 4_096

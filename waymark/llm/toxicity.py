@@ -16,7 +16,7 @@ BUCKET_BITS = 20
 #: Labelled documents of each label that the classifier is fitted on, taken in hash order of the id.
 SAMPLE = {1: 4_000, 0: 8_000}
 #: Buckets with the clearest ratios that become features.
-FEATURES = 2_048
+FEATURES = 4_096
 SMOOTHING = 1.0
 RIDGE = 3.0
 THRESHOLD = 0.7
