@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cluster import scratch_path
-from . import contentsort, dartminhash, langid, linedup, mixing, pseudolm, qgram, sql, tokencount, tokenfiles, toxicity
+from . import (
+    contentsort, dartminhash, langid, licenses, linedup, mixing, pseudolm, qgram, spelling, sql, tokencount, tokenfiles, toxicity, whitening,
+)
 from .batches import held_out, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -71,3 +73,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pseudolm.score(docs, *pseudolm.fit(docs, side=3))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slip=199)
+
+
+@query("op12_license_notices")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_notices(table(spark, sf_dir, "documents"))
+    phrases = [i for i, n in enumerate(licenses.NOTICES) if n.base]
+    length = F.array(*[F.lit(len(n.words)) for n in licenses.NOTICES])
+    base = F.filter("spans", lambda s: (s["edits"] == 0) & s["notice"].isin(phrases))
+    kinds = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    best = F.array_max(F.transform("spans", lambda s: 1 - s["edits"] / F.get(length, s["notice"])))
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.transform("base", lambda s: s["first_word"])).alias("first_word"),
+        F.array_max(F.transform("base", lambda s: s["first_word"])).alias("last_word"), kinds(F.col("base")).alias("base_labels"), kinds(F.col("spans")).alias("labels"),
+        F.coalesce(best, F.lit(0.0)).alias("score"),
+    )
+
+
+@query("op13_whitened_embeddings")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model, fitted = whitening.fit(vectors)
+    error = whitening.identity_error(fitted, model)
+    share = F.array(*[F.lit(float(v / model.trace)) for v in model.values]).cast("array<double>")
+    return whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, "at").alias("explained"), F.lit(error).alias("identity_error"),
+    )
