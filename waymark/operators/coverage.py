@@ -31,10 +31,10 @@ def insights(txn: DataFrame) -> DataFrame:
 KEY = ["template", "method", "status_class", "structure", "role"]
 
 
-def coverage_rows(txn: DataFrame) -> DataFrame:
-    """id, crawl, arrival and the five-part coverage key of each response."""
+def coverage_rows(txn: DataFrame, *more: str) -> DataFrame:
+    """id, crawl, arrival and the five-part coverage key of each response, with ``more`` columns as they are."""
     return txn.select(
-        "id", "ts", "crawl_id", "source_module", urls.template(F.col("request_url")).alias("template"),
+        "id", "ts", "crawl_id", "source_module", *more, urls.template(F.col("request_url")).alias("template"),
         F.upper("request_method").alias("method"), F.floor(F.col("response_status") / 100).cast("int").alias("status_class"),
         structure.structural_hash(F.col("response_body"), F.col("response_content_type")).alias("structure"),
         F.coalesce("auth_role", F.lit("")).alias("role"),
@@ -89,9 +89,23 @@ def coverage_stats(flags: DataFrame) -> DataFrame:
     )
 
 
-def coverage_estimate(txn: DataFrame) -> DataFrame:
-    """Approximate unique tuples per crawl in one pass of sketches."""
-    return coverage_rows(txn).groupBy("crawl_id").agg(F.approx_count_distinct(F.struct(*KEY)).alias("unique_coverage"))
+#: Sketches of 2^12 registers: a standard error of 1.04 / sqrt(2^12), 1.6 percent; few keys are counted exactly.
+SKETCH_BITS = 12
+
+
+def key_sketch() -> Column:
+    """Aggregate: a sketch of distinct coverage keys. Sketches of parts merge into the sketch of the whole."""
+    return F.hll_sketch_agg(F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}), SKETCH_BITS)
+
+
+def coverage_sketches(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One sketch of coverage keys per group of ``coverage_rows``."""
+    return rows.groupBy(*by).agg(key_sketch().alias("keys"))
+
+
+def sketch_estimate(sketches: DataFrame, by: list[str] = ["crawl_id"]) -> DataFrame:
+    """Estimated number of distinct coverage keys per ``by``, over any number of stored sketches each."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("coverage_estimate"))
 
 
 # ---- Template statistics -----------------------------------------------

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import urls
 from ..operators.filters import by_host
+from .keyed import KeyedTable, batches
 
 # Type and status names of the API document.
 OPENAPI_TYPES = {
@@ -21,23 +22,28 @@ FILES_PER_HOST = 8
 # ---- Transactions and entities -----------------------------------------
 
 
-def append_transactions(rows: DataFrame, path: str) -> None:
-    """Insert rows whose id is not stored yet, the first by time of each id, partitioned by host."""
+def append_transactions(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Insert rows whose id is not stored yet, the first by time of each id, partitioned by batch and host.
+
+    The ids of a store lie beside it in a keyed table (``_ids``): only its files
+    whose id range and Bloom filter may hold an arriving id are opened, and no
+    stored transaction is read. Without a number the append is the next batch;
+    a batch that is repeated under its number overwrites what it wrote.
+    """
     spark = rows.sparkSession
+    kind = T.StructType([rows.schema["id"], T.StructField("day", T.DateType())])
+    ids = KeyedTable(spark, f"{path}/_ids", ["id"], kind)
+    batch = max(batches(spark, f"{path}/_ids/live"), default=-1) + 1 if batch is None else batch
     first = Window.partitionBy("id").orderBy("timestamp")
     fresh = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    fresh = by_host(fresh, "request_url")
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).select("id")
-        fresh = fresh.join(stored, "id", "left_anti")
+    stored = ids.lookup(fresh, batch)
+    fresh = by_host(fresh.join(stored.select("id"), "id", "left_anti").select(*rows.columns), "request_url")
     # the rows of a host meet in few files; a hot host is dealt out by id
-    fresh.repartition("host", F.pmod(F.xxhash64("id"), F.lit(FILES_PER_HOST))).write.mode("append").partitionBy("host").parquet(path)
-
-
-def _exists(spark, path: str) -> bool:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hpath) and len(fs.listStatus(hpath)) > 0
+    dealt = fresh.repartition("host", F.pmod(F.xxhash64("id"), F.lit(FILES_PER_HOST)))
+    target = f"{path}/batch={batch}"
+    dealt.write.mode("overwrite").partitionBy("host").parquet(target)
+    written = spark.read.schema(rows.select("id", "timestamp").schema).parquet(target)
+    ids.put(written.select("id", F.to_date("timestamp").alias("day")), batch)
 
 
 def write_entities(rows: DataFrame, path: str) -> None:
