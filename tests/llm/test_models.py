@@ -153,3 +153,54 @@ def test_every_character_counts_in_the_pseudo_likelihood(spark):
 
 def test_toxicity_features_are_not_halved():
     assert toxicity.FEATURES == 4_096
+
+
+def test_toxicity_against_plain_fit(spark):
+    """Ratios, coefficients and scores of 40 rows, made one n-gram at a time and fitted by Newton steps."""
+    rows = [(i, prose(i, 6) + (f" you vile {'grubworm' if i % 8 else 'toad'}" if i % 4 == 0 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, features=100_000)
+    y = np.array([float(i % 4 == 0) for i in range(40)])
+    held = [set() for _ in rows]
+    for i, (_, text) in enumerate(rows):
+        for order in toxicity.ORDERS:
+            held[i].update(langid.grams(*langid.letters([text]), order, toxicity.BUCKET_BITS)[0].tolist())
+    kept = sorted(set().union(*held))
+    p, q = ({b: sum(b in h for h, t in zip(held, y) if t == label) for b in kept} for label in (1, 0))
+    ratio = np.array([math.log(((p[b] + 1) / 12) / ((q[b] + 1) / 32)) for b in kept])
+    x = np.array([[float(b in h) for b in kept] for h in held]) * ratio
+
+    def fitted(rows, ridge):
+        u, size, v = np.linalg.svd(x[rows], full_matrices=False)
+        a, t = np.column_stack([np.ones(len(rows)), u * size]), y[rows]
+        share, keep = np.where(t == 1, len(t) / (2 * t.sum()), len(t) / (2 * (len(t) - t.sum()))), np.r_[0, np.full(len(size), ridge)]
+
+        def cost(w):
+            return float((np.logaddexp(0, np.where(t == 1, -1, 1) * (a @ w)) * share).sum() + (keep * w * w).sum() / 2)
+
+        w = np.zeros(a.shape[1])
+        for _ in range(60):
+            s = 1 / (1 + np.exp(-a @ w))
+            step = np.linalg.solve(a.T @ (a * (share * s * (1 - s))[:, None]) + np.diag(keep + 1e-12), a.T @ (share * (s - t)) + keep * w)
+            while cost(w - step) > cost(w) + 1e-12:
+                step = step / 2
+            w = w - step
+        return np.r_[w[0], v.T @ w[1:]]
+
+    def loss(rows, w):
+        t = y[rows]
+        z = np.where(t == 1, 1, -1) * (x[rows] @ w[1:] + w[0])
+        share = np.where(t == 1, len(t) / (2 * t.sum()), len(t) / (2 * (len(t) - t.sum())))
+        return float((np.log1p(np.exp(-z)) * share).mean())
+
+    size = (len(kept) + 7) // 8 * 8
+    bits = [np.packbits([int(b in h) for b in kept] + [0] * (size - len(kept))).tobytes() for h in held]
+    order = np.array(sorted(range(40), key=lambda i: (y[i], bits[i])))
+    test = np.arange(40) % 4 == 0
+    ridge = min(toxicity.RIDGES, key=lambda r: loss(order[test], fitted(order[~test], r)))
+    w = fitted(order, ridge)
+    assert model.bias == pytest.approx(w[0], abs=2e-2 * abs(w[0]))
+    assert model.weights[kept] == pytest.approx(w[1:] * ratio, abs=2e-3) and not np.delete(model.weights, kept).any()
+    want = 1 / (1 + np.exp(-(x @ w[1:] + w[0])))
+    assert model.score([t for _, t in rows]) == pytest.approx(want, abs=5e-3)

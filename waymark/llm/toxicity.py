@@ -18,7 +18,9 @@ SAMPLE = {1: 4_000, 0: 8_000}
 #: Buckets with the clearest ratios that become features.
 FEATURES = 4_096
 SMOOTHING = 1.0
-RIDGE = 3.0
+#: Ridges to choose from, on a part of the training rows, and steps of the descent in that choice and at the end.
+RIDGES = (30.0, 10.0, 3.0)
+CHOICE_STEPS, STEPS = 60, 200
 THRESHOLD = 0.7
 
 
@@ -56,30 +58,100 @@ def log_ratios(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_ne
     return np.log(p / q)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Bias and coefficients of a ridge logistic regression, by accelerated gradient descent.
+class Bits:
+    """Presence of features as packed bits, multiplied block by block; ``scale`` is the value of each feature where it is present."""
 
-    ``x`` is float32 and never copied; only vectors are made beside it.
+    def __init__(self, packed: np.ndarray, scale: np.ndarray, block: int = 1_000):
+        self.packed, self.scale, self.block = packed, scale.astype(np.float32), block
+        self.shape = (len(packed), len(scale))
+
+    def pick(self, rows: np.ndarray) -> Bits:
+        return Bits(self.packed[rows], self.scale, self.block)
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for first in range(0, len(self.packed), self.block):
+            part = slice(first, first + self.block)
+            yield part, np.unpackbits(self.packed[part], axis=1, count=self.shape[1]).astype(np.float32)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out, v = np.zeros(self.shape[0]), (w * self.scale).astype(np.float32)
+        for part, x in self.blocks():
+            out[part] = x @ v
+        return out
+
+    def descend(self, w: np.ndarray, bias: float, y: np.ndarray, share: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """Log loss with rows weighed by ``share``, and its gradient by bias and coefficients, in one pass."""
+        loss, by_bias, by_w, v = 0.0, 0.0, np.zeros(self.shape[1]), (w * self.scale).astype(np.float32)
+        for part, x in self.blocks():
+            z = x @ v + bias
+            loss += float((np.logaddexp(0, np.where(y[part] == 1, -z, z)) * share[part]).sum())
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[part]) * share[part]
+            by_bias += float(error.sum())
+            by_w += x.T @ error.astype(np.float32)
+        return loss, by_bias, by_w * self.scale
+
+
+def shares(y: np.ndarray) -> np.ndarray:
+    """Weight of each row, so that both labels count alike and all rows together count as many as they are."""
+    n1 = max(float(y.sum()), 1.0)
+    n0 = max(len(y) - float(y.sum()), 1.0)
+    return np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
+
+
+def logistic(x: Bits, y: np.ndarray, ridge: float, steps: int = STEPS) -> tuple[float, np.ndarray]:
+    """Bias and coefficients of a ridge logistic regression in which both labels count alike.
+
+    Limited-memory quasi-Newton steps, ``steps`` passes over the rows at most.
+    The bias is measured in the mean length of a row, as the features are.
     """
-    n = max(len(y), 1)
-    rate = y.mean() if len(y) else 0.5
-    bias, w = float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), np.zeros(x.shape[1], dtype=np.float64)
-    # largest curvature by power iteration
-    v = np.ones(x.shape[1]) / np.sqrt(max(x.shape[1], 1))
-    norm = 1.0
-    for _ in range(20):
-        v = x.T @ (x @ v.astype(np.float32))
-        norm = float(np.linalg.norm(v)) or 1.0
-        v = v / norm
-    step = 1 / (0.25 * (norm + n) / n + ridge / n)
-    zb, zw, past_b, past_w, t = bias, w, bias, w, 1.0
-    for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(x @ zw.astype(np.float32) + zb, -500, 500))) - y
-        bias, w = zb - step * error.sum() / n, zw - step * (x.T @ error.astype(np.float32) + ridge * zw) / n
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        zb, zw = bias + (t - 1) / t_next * (bias - past_b), w + (t - 1) / t_next * (w - past_w)
-        past_b, past_w, t = bias, w, t_next
-    return float(bias), w
+    share = shares(y)
+    unit = 1.0 + float(np.abs(x.times(x.scale)).mean()) ** 0.5 if len(y) else 1.0
+
+    def at(p: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, by_bias, by_w = x.descend(p[1:], p[0] * unit, y, share)
+        return loss + ridge / 2 * float(p[1:] @ p[1:]), np.r_[by_bias * unit, by_w + ridge * p[1:]]
+
+    p = np.zeros(x.shape[1] + 1)
+    value, grad = at(p)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    start, used, rate = float(np.linalg.norm(grad)), 1, 1 / max(float(np.linalg.norm(grad)), 1.0)
+    while used < steps and np.linalg.norm(grad) > 1e-6 * start:
+        step, kept = grad.copy(), []
+        for s, g, r in reversed(moves):
+            kept.append(r * float(s @ step))
+            step -= kept[-1] * g
+        step *= float(moves[-1][0] @ moves[-1][1]) / float(moves[-1][1] @ moves[-1][1]) if moves else rate
+        for (s, g, r), k in zip(moves, reversed(kept)):
+            step += (k - r * float(g @ step)) * s
+        length, slope = 1.0, float(grad @ step)
+        while used < steps:
+            used += 1
+            there, turned = at(p - length * step)
+            if there <= value - 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        s, g = -length * step, turned - grad
+        if float(s @ g) > 1e-12 * float(g @ g):
+            moves = [*moves[-9:], (s, g, 1 / float(s @ g))]
+        p, value, grad = p + s, there, turned
+    return float(p[0]) * unit, p[1:]
+
+
+def balanced_loss(x: Bits, y: np.ndarray, bias: float, w: np.ndarray) -> float:
+    """Mean log loss with both labels counting alike."""
+    z = np.where(y == 1, 1, -1) * (x.times(w) + bias)
+    return float((np.logaddexp(0, -z) * shares(y)).mean())
+
+
+def choose_ridge(x: Bits, y: np.ndarray, ridges: tuple[float, ...] = RIDGES) -> float:
+    """The ridge with the least balanced loss on every fourth row, fitted on the others."""
+    test = np.arange(len(y)) % 4 == 0
+    if len(set(y[test].tolist())) < 2 or len(set(y[~test].tolist())) < 2:
+        return ridges[0]
+    losses = [balanced_loss(x.pick(test), y[test], *logistic(x.pick(~test), y[~test], r, CHOICE_STEPS)) for r in ridges]
+    return ridges[int(np.argmin(losses))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, features: int = FEATURES, orders=ORDERS,
@@ -112,13 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-2, -1]])), pa.array(np.concatenate([sums[at], n]))], names=["bucket", "n"])
 
-    found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    n0, n1 = (int(found.loc[found["bucket"] == k, "n"].sum()) for k in (-2, -1))
+    found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = (found[c].to_numpy() for c in ("bucket", "n"))
+    n0, n1 = (int(n[bucket == k].sum()) for k in (-2, -1))
     if not n0 or not n1:
         return Model(-20.0 if n0 or not n1 else 20.0, np.zeros(size), orders, bits)
     counts = np.zeros(2 * size)
-    some = found[found["bucket"] >= 0]
-    counts[some["bucket"].to_numpy()] = some["n"]
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
     ratio = log_ratios(counts[size:], counts[:size], n1, n0)
     # clearness: the ratio weighed by how far the count lies from what the label shares predict
     both = counts[size:] + counts[:size]
@@ -140,10 +212,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
                 packed = np.packbits(grid, axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([r.tobytes() for r in packed], pa.binary())], names=["toxic", "bits"])
 
-    table = rows.mapInArrow(bitsets, "toxic int, bits binary").toArrow().to_pandas().sort_values(["toxic", "bits"])
-    x = np.unpackbits(np.frombuffer(b"".join(table["bits"]), np.uint8).reshape(len(table), -1), axis=1, count=len(kept)).astype(np.float32)
-    x *= ratio[kept].astype(np.float32)
-    bias, w = logistic(x, table["toxic"].to_numpy(dtype=np.float64))
+    table = rows.mapInArrow(bitsets, "toxic int, bits binary").toArrow()
+    # in the order of the rows' content, whatever task they came from
+    ordered = sorted(zip(table["toxic"].to_pylist(), table["bits"].to_pylist(), strict=True))
+    del table
+    y = np.array([t for t, _ in ordered], dtype=np.float64)
+    x = Bits(np.frombuffer(b"".join(b for _, b in ordered), np.uint8).reshape(len(ordered), -1), ratio[kept])
+    del ordered
+    bias, w = logistic(x, y, choose_ridge(x, y))
     weights = np.zeros(size)
     weights[kept] = w * ratio[kept]
     return Model(bias, weights, orders, bits)
