@@ -58,16 +58,18 @@ def test_documents_with_benchmark_text_go(spark, stages):
 def test_the_mix_meets_its_targets(stages):
     words = lambda t: len((t or "").split())
     before = {r[0]: r for r in stages[3]}
+    longest = collections.Counter()
     sizes, taken, copies = collections.Counter(), collections.Counter(), collections.Counter(r[0] for r in stages[4])
     for r in stages[3]:
         sizes[r[3]] += words(r[1])
+        longest[r[3]] = max(longest[r[3]], words(r[1]))
     for r in stages[4]:
         taken[r[3]] += words(r[1])
-        whole = before[r[0]]
-        assert r[2:4] == whole[2:4] and r[4] == len(r[1]) and whole[1].split()[:words(r[1])] == r[1].split()
+        assert r[:4] == before[r[0]][:4] and r[4] == len(r[1])  # texts stay whole
     names = sorted(sizes)
     goal = mixing.water_level([sizes[n] for n in names], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()))
-    assert all(abs(taken[n] - g) <= 0.5 for n, g in zip(names, goal, strict=True)) and max(copies.values()) <= 2
+    # the document in which a target ends is taken whole
+    assert all(-0.5 <= taken[n] - g < longest[n] + 0.5 for n, g in zip(names, goal, strict=True)) and max(copies.values()) <= 2
 
 
 def test_token_files_hold_the_mix(stages):

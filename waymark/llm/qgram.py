@@ -25,6 +25,8 @@ BAND = 16
 #: Normalised benchmark characters that one pass over the documents carries.
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 22
+#: Shared q-grams of a slice of texts that are opened at once.
+HITS = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -62,18 +64,26 @@ def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def spell(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Benchmark:
-    """Q-gram index of a block of normalised items."""
+    """Q-gram index of a block of normalised items; items shorter than a q-gram are kept by their words."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW, edits: int = EDITS, q: int = Q, band: int = BAND):
+    def __init__(self, ids: list[int | None], texts: list[str], window: int = WINDOW, edits: int = EDITS, q: int = Q, band: int = BAND):
         codes, lengths, _ = normalise(texts)
-        self.ids, self.codes, self.q, self.band, self.edits = np.array(ids, dtype=np.int64), codes, q, band, edits
+        self.ids, self.codes, self.q, self.band, self.edits = list(ids), codes, q, band, edits
         self.first = np.cumsum(lengths) - lengths
         self.length = lengths
         self.window = np.minimum(lengths, window)
         # edits in proportion, as many as the lemma can still filter for
         self.budget = np.maximum(np.minimum(self.window * edits // window, self.window // q - 1), 0)
         self.needed = self.window + 1 - q * (self.budget + 1)
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for k in np.flatnonzero((lengths > 0) & (lengths < q)).tolist():
+            words = tuple(spell(codes[self.first[k]:self.first[k] + lengths[k]]).split(" "))
+            self.short.setdefault(words, []).append(k)
         h = qgram_hashes(codes, q) if len(codes) >= q else np.zeros(0, np.uint64)
         owner = segment_index(lengths)
         at = np.flatnonzero(owner[:len(h)] == owner[q - 1:]) if len(h) else np.zeros(0, np.int64)
@@ -88,6 +98,15 @@ class Benchmark:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * ODD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
+    def shared(self, codes: np.ndarray) -> int:
+        """Number of q-gram hits before they are made."""
+        if len(codes) < self.q or not len(self.hashes):
+            return 0
+        h = qgram_hashes(codes, self.q)
+        h = h[self.table[self._slot(h)]]
+        slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return int(self.count[slot[self.hashes[slot] == h]].sum())
+
     def hits(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, item, place in the text, place in the item) of every shared q-gram."""
         none = np.zeros(0, np.int64)
@@ -164,14 +183,36 @@ class Benchmark:
             end[own] = offset[np.arange(len(own)), best] + m
         return edits, end
 
-    def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item id, edits, start, end in the lower-cased text) for every text and item that match."""
+    def whole_words(self, codes, lengths, place) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """First places of the items shorter than a q-gram: all their words one after another, without edits."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        sizes = sorted({len(w) for w in self.short})
+        first = np.cumsum(lengths) - lengths
+        for d in range(len(lengths) if sizes else 0):
+            words = spell(codes[first[d]:first[d] + lengths[d]]).split(" ")
+            ends = (first[d] + np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+            for n in sizes:
+                for i in range(len(words) - n + 1):
+                    for m in self.short.get(tuple(words[i:i + n]), ()):
+                        begin, end = ends[i] - len(words[i]), ends[i + n - 1]
+                        out.setdefault((d, m), (0, int(place[begin]), int(place[end - 1]) + 1))
+        return out
+
+    def matches(self, texts: list[str]) -> list[tuple[int, int | None, int, int, int]]:
+        """(text, item id, edits, start, end in the lower-cased text) for every text and item that match.
+
+        A slice with very many shared q-grams is taken in halves, so that
+        memory is bounded by HITS, or by what one text shares with the items.
+        """
         codes, lengths, place = normalise(texts)
+        if len(texts) > 1 and self.shared(codes) > HITS:
+            half = len(texts) // 2
+            return self.matches(texts[:half]) + [(d + half, *rest) for d, *rest in self.matches(texts[half:])]
+        out = self.whole_words(codes, lengths, place)
         doc, item, band, low, high = self.regions(self.hits(codes, lengths))
         if not len(doc):
-            return []
+            return [(d, self.ids[m], *rest) for (d, m), rest in sorted(out.items())]
         first = np.cumsum(lengths) - lengths
-        out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
 
         def verify(pick) -> None:
             edits, end = self.align(codes, lengths, *pick)
@@ -196,13 +237,13 @@ class Benchmark:
             new = np.ones(len(rows), dtype=bool)
             new[1:] = (key[rows[1:]] != key[rows[:-1]]) | (band[rows[1:]] != band[rows[:-1]]) | (start[1:] != start[:-1])
             verify((doc[rows[new]], item[rows[new]], band[rows[new]], start[new]))
-        return [(d, int(self.ids[m]), *rest) for (d, m), rest in sorted(out.items())]
+        return [(d, self.ids[m], *rest) for (d, m), rest in sorted(out.items())]
 
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """Items in blocks of bounded size, read one after another; rows without id or text are left out."""
+    """Items in blocks of bounded size, read one after another; rows without text are left out."""
     ids, texts, size = [], [], 0
-    for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator():
+    for row in benchmark.where("text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator():
         if ids and size + len(row["text"]) > block_chars:
             yield ids, texts
             ids, texts, size = [], [], 0
@@ -222,8 +263,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, edits: in
 
     - Null and empty texts match nothing; a null doc_id is reported as null.
     - Repeated rows are reported each; an item id with two texts counts for either.
-    - Items with fewer than ``q`` normalised characters match nothing; an empty
-      table on either side gives an empty result.
+    - A null item id is reported as null. An item with fewer than ``q`` normalised
+      characters matches where its words stand one after another, without edits;
+      one without letters and digits matches nothing. An empty table on either
+      side gives an empty result.
 
     The benchmark is the query set: it goes to the tasks in blocks of at most
     ``block_chars``, each in a pass of its own over the documents.
