@@ -34,8 +34,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once per epoch in which it takes them."""
-    return mixing.mixed_texts(docs)
+    """The documents that the mix takes, whole, once per epoch in which it takes them."""
+    return mixing.mixed_texts(docs, whole=True)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
