@@ -1,31 +1,21 @@
 """JavaScript mining: call sites, constants, routes, literals, secrets.
 
-Scripts are mined with regexes over a script table (source_url, script_no,
-source); every pass is a column expression followed by one explode.
+Scripts are a table (source_url, script_no, source). Constants, calls and
+literals come from one scan of the tokens of each script in Arrow batches;
+routes and secrets are regexes over the source, each followed by one explode.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html, urls
-from . import filters
+from . import filters, jslex
 
 # What the passes look for.
-QUOTED = r"(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`)"
-ARGUMENT = rf"((?:[A-Za-z_$][A-Za-z0-9_$]*\s*\+\s*)?{QUOTED}|[A-Za-z_$][A-Za-z0-9_$]*)"
-NO_NAME_BEFORE = r"(?<![A-Za-z0-9_$.])"
-NO_NAME_BEFORE_DOLLAR = r"(?<![A-Za-z0-9_$])"
-FETCH = rf"{NO_NAME_BEFORE}fetch\s*\(\s*{ARGUMENT}(\s*,\s*\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}})?"
-AXIOS = rf"{NO_NAME_BEFORE}(?:axios|\$http|http|api|client|request)\.([A-Za-z]+)\s*\(\s*{ARGUMENT}"
-JQUERY = rf"{NO_NAME_BEFORE_DOLLAR}\$\.(get|post|getJSON)\s*\(\s*{ARGUMENT}"
-JQUERY_AJAX = r"(?<![A-Za-z0-9_$])\$\.ajax\s*\(\s*(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})"
-XHR_OPEN = rf"\.open\s*\(\s*({QUOTED})\s*,\s*{ARGUMENT}"
-METHODS = ["get", "post", "put", "delete", "patch", "head", "options"]
-CONSTANT = r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(\"(?:http|/)[^\"\n]*\"|'(?:http|/)[^'\n]*'|`(?:http|/)[^`]*`)"
-URL_NAME = "(?i)url|api|base|endpoint|host|origin|server"
-LITERAL = rf"({QUOTED})"
-URL_LITERAL = r"^(?:https?://[^\s'\"]+|/(?:api|v[0-9]+|graphql|auth|admin|internal|ws)[/A-Za-z0-9_\-.{}:]*)$"
 JSX_ROUTE = r"<[A-Za-z]*[Rr]oute[A-Za-z]*\s[^>]*?path\s*=\s*\{?\s*[\"'`]([^\"'`]+)[\"'`]"
 PATH_ROUTE = r"(?<![A-Za-z0-9_$])[\"']?path[\"']?\s*:\s*[\"'`](/[^\"'`]*)[\"'`]"
 PUSH_ROUTE = r"router\.push\s*\(\s*[\"'`](/[^\"'`]+)[\"'`]"
@@ -64,93 +54,58 @@ def inline_scripts(pages: DataFrame, url: str, body: str, least: int = 1) -> Dat
     return rows.where(F.length("source") >= least)
 
 
-def _unquote(text: Column) -> Column:
-    """Literal without quotes; template slots become ``{name}``."""
-    bare = F.regexp_replace(text, r"^[\"'`]|[\"'`]$", "")
-    return F.regexp_replace(bare, r"\$\{([A-Za-z0-9_]+)\}", "{$1}")
-
-
-def _calls(source: Column) -> Column:
-    """Array of (argument text, method, client) in pass order."""
-    def call(arg: Column, method: Column, client: str) -> Column:
-        return F.struct(F.trim(arg).alias("argument"), method.alias("method"), F.lit(client).alias("client"))
-
-    option_method = r"(?is)(?:^|[{,\s])[\"']?(?:method|type)[\"']?\s*:\s*[\"'`]([A-Za-z]+)[\"'`]"
-
-    def verb(options: Column) -> Column:
-        found = F.upper(F.regexp_extract(options, option_method, 1))
-        return F.when(found == "", "GET").otherwise(found)
-
-    # a match no longer has its left context, so the look-behind is dropped there
-    fetch_local = FETCH.removeprefix(NO_NAME_BEFORE)
-    fetch = F.transform(
-        html.all_matches(source, FETCH, 0),
-        lambda m: call(F.regexp_extract(m, fetch_local, 1), verb(F.regexp_extract(m, fetch_local, 2)), "fetch"),
-    )
-    axios_local = AXIOS.removeprefix(NO_NAME_BEFORE)
-    axios = F.transform(
-        html.all_matches(source, AXIOS, 0),
-        lambda m: call(
-            F.regexp_extract(m, axios_local, 2),
-            F.when(F.lower(F.regexp_extract(m, axios_local, 1)).isin(METHODS), F.upper(F.regexp_extract(m, axios_local, 1))).otherwise("GET"),
-            "axios",
-        ),
-    )
-    jq_local = JQUERY.removeprefix(NO_NAME_BEFORE_DOLLAR)
-    jquery = F.transform(
-        html.all_matches(source, JQUERY, 0),
-        lambda m: call(F.regexp_extract(m, jq_local, 2), F.when(F.regexp_extract(m, jq_local, 1) == "post", "POST").otherwise("GET"), "jquery"),
-    )
-    ajax = F.transform(
-        html.all_matches(source, JQUERY_AJAX),
-        lambda m: call(F.regexp_extract(m, rf"(?:^|[{{,\s])[\"']?url[\"']?\s*:\s*{ARGUMENT}", 1), verb(m), "jquery"),
-    )
-    xhr = F.transform(
-        html.all_matches(source, XHR_OPEN, 0),
-        lambda m: call(F.regexp_extract(m, XHR_OPEN, 2), F.upper(_unquote(F.regexp_extract(m, XHR_OPEN, 1))), "xhr"),
-    )
-    return F.concat(fetch, axios, jquery, ajax, xhr)
+MINED = "kind string, place int, name string, url string, method string, client string, line int, parameters array<struct<name:string,location:string>>"
+_PARAMETERS = pa.list_(pa.struct([("name", pa.string()), ("location", pa.string())]))
+
+
+def mine(scripts: DataFrame) -> DataFrame:
+    """Rows of every script: kind (constant, call, literal), its place in the pass, and what was found.
+
+    One script is in memory as its tokens; null sources hold nothing.
+    """
+    slim = scripts.select("source_url", "script_no", "source")
+
+    def rows_of(source: str) -> list[tuple]:
+        found = jslex.Scan(source)
+        rows = [("constant", i, name, value, None, None, None, None) for i, (name, value) in enumerate(found.constants.items())]
+        rows += [("call", i, None, url, method, client, line, [{"name": n, "location": p} for n, p in params]) for i, (url, method, client, line, params) in enumerate(found.calls)]
+        return rows + [("literal", i, None, url, "GET", None, line, None) for i, (url, line) in enumerate(found.literals())]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), _PARAMETERS]
+        names = [c.split(" ")[0] for c in MINED.replace("struct<name:string,location:string>", "").split(", ")]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = rows_of(batch.column(2)[i].as_py() or "")
+                if rows:
+                    own = batch.slice(i, 1).select([0, 1]).take(pa.array([0] * len(rows)))
+                    found = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *found], names=["source_url", "script_no", *names])
+
+    return slim.mapInArrow(scan, f"source_url string, script_no int, {MINED}")
 
 
 def base_constants(scripts: DataFrame) -> DataFrame:
     """Constants that hold a URL, the last assignment of a name per script."""
-    found = F.transform(
-        html.all_matches(F.col("source"), CONSTANT, 0),
-        lambda m: F.struct(F.regexp_extract(m, CONSTANT, 1).alias("name"), _unquote(F.regexp_extract(m, CONSTANT, 2)).alias("value")),
-    )
-    rows = scripts.select("source_url", "script_no", F.posexplode(found).alias("i", "c"))
-    rows = rows.where(F.col("c.name").rlike(URL_NAME))
-    return rows.groupBy("source_url", "script_no", F.col("c.name").alias("name")).agg(F.max_by("c.value", "i").alias("value"))
+    return mine(scripts).where("kind = 'constant'").select("source_url", "script_no", "name", F.col("url").alias("value"))
+
+
+def _first_calls(mined: DataFrame) -> DataFrame:
+    """The first call of every (script, url), with the parameters of all calls of that URL."""
+    calls = mined.where("kind = 'call'")
+    first = calls.groupBy("source_url", "script_no", "url").agg(
+        F.min(F.struct("place", "method", "client", "line")).alias("f"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("parameters")))).alias("parameters"))
+    return first.select("source_url", "script_no", "url", "f.method", "f.client", "f.line", "parameters")
 
 
 def call_sites(scripts: DataFrame) -> DataFrame:
-    """HTTP call sites with identifiers resolved against the constants."""
-    rows = scripts.select("source_url", "script_no", F.posexplode(_calls(F.col("source"))).alias("i", "call"))
-    rows = rows.select("source_url", "script_no", "i", "call.*").where("argument <> ''")
-    ident = F.regexp_extract("argument", r"^([A-Za-z_$][A-Za-z0-9_$]*)", 1)
-    literal = F.regexp_extract("argument", rf"({QUOTED})$", 1)
-    rows = rows.withColumns({"name": ident, "literal": _unquote(literal)})
-    known = base_constants(scripts)
-    rows = rows.join(known, ["source_url", "script_no", "name"], "left")
-    tail = F.col("literal")
-    joined = F.concat(F.regexp_replace("value", "/+$", ""), F.lit("/"), F.regexp_replace(tail, "^/+", ""))
-    url = (
-        F.when(F.col("name") == "", tail)
-        .when(F.col("value").isNotNull() & (tail != ""), joined)
-        .otherwise(F.coalesce("value", tail))
-    )
-    rows = rows.withColumn("url", url).where("url <> ''")
-    # first hit per (script, url)
-    return rows.groupBy("source_url", "script_no", "url").agg(F.min(F.struct("i", "method", "client")).alias("f")).select(
-        "source_url", "script_no", "url", "f.method", "f.client"
-    )
+    """HTTP call sites with identifiers resolved against the constants, their line, and header and body parameters."""
+    return _first_calls(mine(scripts))
 
 
 def literal_urls(scripts: DataFrame) -> DataFrame:
     """Quoted strings that look like URLs or API paths."""
-    quoted = F.array_distinct(F.transform(html.all_matches(F.col("source"), LITERAL), _unquote))
-    found = F.filter(quoted, lambda s: s.rlike(URL_LITERAL))
-    return scripts.select("source_url", "script_no", F.explode(found).alias("url"))
+    return mine(scripts).where("kind = 'literal'").select("source_url", "script_no", "url")
 
 
 def routes(scripts: DataFrame) -> DataFrame:
@@ -194,13 +149,15 @@ def _line(text: str, value: str) -> Column:
 
 def analyse(scripts: DataFrame, target_url: str, target_host: str) -> DataFrame:
     """All passes merged: first pass wins per script and URL, then scope."""
-    cols = ["source_url", "script_no", "url", "method", "tag", "confidence", "pass_no"]
-    calls = call_sites(scripts).withColumns({"tag": F.col("client"), "confidence": F.lit(1.0), "pass_no": F.lit(2)})
-    literals = literal_urls(scripts).withColumns({"method": F.lit("GET"), "tag": F.lit("string_literal"), "confidence": F.lit(0.6), "pass_no": F.lit(3)})
-    found = routes(scripts).withColumns({"method": F.lit("GET"), "confidence": F.lit(1.0), "pass_no": F.lit(4)})
+    cols = ["source_url", "script_no", "url", "method", "tag", "confidence", "pass_no", "line", "parameters"]
+    mined = mine(scripts)
+    none = F.array().cast("array<struct<name:string,location:string>>")
+    calls = _first_calls(mined).withColumns({"tag": F.col("client"), "confidence": F.lit(1.0), "pass_no": F.lit(2)})
+    literals = mined.where("kind = 'literal'").withColumns({"tag": F.lit("string_literal"), "confidence": F.lit(0.6), "pass_no": F.lit(3), "parameters": none})
+    found = routes(scripts).withColumns({"method": F.lit("GET"), "confidence": F.lit(1.0), "pass_no": F.lit(4), "line": F.lit(None).cast("int"), "parameters": none})
     rows = calls.select(*cols).unionByName(literals.select(*cols)).unionByName(found.select(*cols))
     best = rows.groupBy("source_url", "script_no", "url").agg(
-        F.min(F.struct("pass_no", "tag", "method", "confidence")).alias("f")
+        F.min(F.struct("pass_no", "tag", "method", "confidence", "line", "parameters")).alias("f")
     ).select("source_url", "script_no", "url", "f.*")
     relative = F.col("url").startswith("/")
     best = best.where(relative | F.col("url").startswith("http"))

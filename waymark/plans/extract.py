@@ -54,38 +54,46 @@ def ext_05(spark, sf):
 
 
 def script_rows(spark, sf):
-    return scripts.script_table(views.transactions(spark, sf))
+    """Script files and inline scripts of the request log, and inline scripts of the pages."""
+    inline = scripts.inline_scripts(pages(spark, sf), "url", "html")
+    return scripts.script_table(views.transactions(spark, sf)).unionByName(inline)
 
 
+DUCK["inline_v"] = """SELECT source_url, trim(s) AS source FROM (SELECT url AS source_url, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.+?)</script>', 1)) AS s FROM page_x) a
+WHERE regexp_matches(s, 'API_URL')"""
 DUCK["call_v"] = """
 WITH b AS (SELECT source_url, regexp_extract(source, 'const API_BASE = "([^"]*)"', 1) AS base, source FROM script_v)
-SELECT source_url, base || regexp_extract(source, 'API_BASE [+] "([^"]*)"', 1) AS url, 'GET' AS method, 'fetch' AS client FROM b
-UNION ALL SELECT source_url, '/api/session', 'POST', 'fetch' FROM b UNION ALL SELECT source_url, regexp_extract(source, 'axios.post."([^"]*)"', 1), 'POST', 'axios' FROM b
-UNION ALL SELECT source_url, '/legacy/list', 'GET', 'jquery' FROM b UNION ALL SELECT source_url, regexp_extract(source, '"PUT", "([^"]*)"', 1), 'PUT', 'xhr' FROM b"""
+SELECT source_url, base || regexp_extract(source, 'API_BASE [+] "([^"]*)"', 1) AS url, 'GET' AS method, 'fetch' AS client, '' AS parameters FROM b
+UNION ALL SELECT source_url, '/api/session', 'POST', 'fetch', '' FROM b UNION ALL SELECT source_url, regexp_extract(source, 'axios.post."([^"]*)"', 1), 'POST', 'axios', 'item@body' FROM b
+UNION ALL SELECT source_url, '/legacy/list', 'GET', 'jquery', '' FROM b UNION ALL SELECT source_url, regexp_extract(source, '"PUT", "([^"]*)"', 1), 'PUT', 'xhr', '' FROM b
+UNION ALL SELECT source_url, regexp_extract(source, 'const API_URL = "([^"]*)"', 1) || regexp_extract(source, 'API_URL [+] "([^"]*)"', 1), 'GET', 'fetch', '' FROM inline_v
+UNION ALL SELECT source_url, regexp_extract(source, 'axios.post."([^"]*)"', 1), 'POST', 'axios', regexp_extract(source, '[{](\\w+): 1[}]', 1) || '@body' FROM inline_v"""
+
 
+def shown_parameters():
+    return F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.lit("@"), p["location"])), ",")
 
-@query("ext_06_call_sites", "SELECT source_url, url, method, client FROM call_v")
+
+@query("ext_06_call_sites", "SELECT source_url, url, method, client, 1 AS line, parameters FROM call_v")
 def ext_06(spark, sf):
-    return scripts.call_sites(script_rows(spark, sf)).select("source_url", "url", "method", "client")
+    return scripts.call_sites(script_rows(spark, sf)).select("source_url", "url", "method", "client", "line", shown_parameters().alias("parameters"))
 
 
 @query("ext_07_base_constants", """SELECT source_url, 'API_BASE' AS name, regexp_extract(source, 'const API_BASE = "([^"]*)"', 1) AS value FROM script_v
 UNION ALL SELECT url, 'API_URL', 'https://api.example.com/v2' FROM page_x WHERE page_id % 4 = 3""")
 def ext_07(spark, sf):
-    inline = scripts.inline_scripts(pages(spark, sf), "url", "html")
-    return scripts.base_constants(script_rows(spark, sf).unionByName(inline)).select("source_url", "name", "value")
+    return scripts.base_constants(script_rows(spark, sf)).select("source_url", "name", "value")
 
 
 DUCK["literal_v"] = """
-SELECT DISTINCT source_url, s AS url FROM (SELECT source_url, unnest(regexp_extract_all(source, '"([^"]*)"', 1)) AS s FROM script_v)
+SELECT DISTINCT source_url, s AS url FROM (SELECT source_url, unnest(regexp_extract_all(source, '"([^"]*)"', 1)) AS s FROM (SELECT source_url, source FROM script_v UNION ALL SELECT source_url, source FROM inline_v) x)
 WHERE regexp_matches(s, '^(?:https?://[^ ''"]+|/(?:api|v[0-9]+|graphql|auth|admin|internal|ws)[/A-Za-z0-9_.{}:-]*)$')"""
 
 
 @query("ext_08_literal_urls", "SELECT source_url, url FROM literal_v WHERE (source_url, url) NOT IN (SELECT (source_url, url) FROM call_v)")
 def ext_08(spark, sf):
-    rows = script_rows(spark, sf)
-    found = scripts.literal_urls(rows)
-    return found.join(scripts.call_sites(rows), ["source_url", "script_no", "url"], "left_anti").select("source_url", "url")
+    rows = scripts.mine(script_rows(spark, sf)).where("kind <> 'constant'").groupBy("source_url", "script_no", "url").agg(F.bool_and(F.col("kind") == "literal").alias("only"))
+    return rows.where("only").select("source_url", "url")
 
 
 DUCK["route_v"] = """SELECT source_url, '/home' AS url, 'router_push' AS tag FROM script_v UNION ALL SELECT source_url, regexp_extract(source, 'path: "([^"]*)"', 1), 'framework_route' FROM script_v"""
@@ -109,16 +117,16 @@ SELECT source_url, arg_min(kind, rank) AS kind, value, min(length(head) - length
     UNION ALL SELECT 'doc' || doc_id, text, 'credential', 2, substr(v, 2, length(v) - 2) FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_DOC_SECRET}', 1)) AS v FROM documents)) a) b GROUP BY source_url, value""")
 def ext_10(spark, sf):
     docs = views.base(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("source_url"), F.lit(0).alias("script_no"), F.col("text").alias("source"))
-    return scripts.secrets(script_rows(spark, sf).unionByName(docs)).withColumn("line", F.col("line").cast("long"))
+    return scripts.secrets(scripts.script_table(views.transactions(spark, sf)).unionByName(docs)).withColumn("line", F.col("line").cast("long"))
 
 
 @query("ext_11_script_analysis", """
-WITH a AS (SELECT source_url, url, method, client AS tag, 1.0 AS confidence, 2 AS p FROM call_v UNION ALL SELECT source_url, url, 'GET', 'string_literal', 0.6, 3 FROM literal_v UNION ALL SELECT source_url, url, 'GET', tag, 1.0, 4 FROM route_v),
+WITH a AS (SELECT source_url, url, method, client AS tag, 1.0 AS confidence, 2 AS p, parameters FROM call_v UNION ALL SELECT source_url, url, 'GET', 'string_literal', 0.6, 3, '' FROM literal_v UNION ALL SELECT source_url, url, 'GET', tag, 1.0, 4, '' FROM route_v),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source_url, url ORDER BY p, tag) = 1)
-SELECT source_url, CASE WHEN starts_with(url, '/') THEN 'https://app0.example.com' || url ELSE url END AS full_url, method, tag, confidence::double AS confidence FROM b
+SELECT source_url, CASE WHEN starts_with(url, '/') THEN 'https://app0.example.com' || url ELSE url END AS full_url, method, tag, confidence::double AS confidence, parameters FROM b
 WHERE starts_with(url, '/') OR starts_with(url, 'https://app0.example.com/')""")
 def ext_11(spark, sf):
-    return scripts.analyse(script_rows(spark, sf), "https://app0.example.com/", "app0.example.com").select("source_url", "full_url", "method", "tag", "confidence")
+    return scripts.analyse(script_rows(spark, sf), "https://app0.example.com/", "app0.example.com").select("source_url", "full_url", "method", "tag", "confidence", shown_parameters().alias("parameters"))
 
 
 SPEC_SQL = """

@@ -17,7 +17,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 #: Batches of a stream, and files per batch.
-BATCHES, FILES = 4, 2
+BATCHES, FILES = 3, 2
 
 
 def arriving(spark, sf):

@@ -76,7 +76,7 @@ class KeyedTable:
     with ``most`` live files is merged.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType | None = None, buckets: int = 16, most: int = 8):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType | None = None, buckets: int = 8, most: int = 8):
         self.spark, self.path, self.keys, self.buckets, self.most = spark, path, keys, buckets, most
         if schema is None:
             stored = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").drop("_kh", "_batch", "batch", "bucket")

@@ -87,11 +87,11 @@ def coverage_batch(rows: DataFrame, batch: int, state: str, frame: int = coverag
     flags = staged.select("id", "ts", "crawl_id", "source_module", "request_url", "template").join(fresh, "id", "left")
     flags = _stored(flags.withColumn("is_new", F.coalesce("is_new", F.lit(False))), f"{state}/flags/batch={batch}")
 
-    # one row per crawl: its sketch of coverage keys
-    sketch = staged.groupBy("crawl_id").agg(coverage.key_sketch().alias("keys"))
-    sketches = KeyedTable(spark, f"{state}/sketches", ["crawl_id"], sketch.schema)
-    held = sketches.lookup(sketch, batch)
-    sketches.put(sketch.unionByName(held).groupBy("crawl_id").agg(F.hll_union_agg("keys").alias("keys")), batch)
+    # one row per crawl: its sketch of coverage keys so far
+    sketch, last = coverage.coverage_sketches(staged, ["crawl_id"]), _before(spark, f"{state}/sketches", batch)
+    if last is not None:
+        sketch = sketch.unionByName(last).groupBy("crawl_id").agg(F.hll_union_agg("keys").alias("keys"))
+    _stored(sketch, f"{state}/sketches/batch={batch}")
 
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     change = flags.select("template", one.alias("hits"), F.col("is_new").cast("long").alias("new")).union(lost.select("template", zero, -one))
@@ -137,7 +137,7 @@ def live_posterior(spark: SparkSession, state: str) -> DataFrame:
 
 def live_coverage(spark: SparkSession, state: str) -> DataFrame:
     """Estimated number of distinct coverage keys per crawl, from the stored sketches."""
-    return coverage.sketch_estimate(KeyedTable(spark, f"{state}/sketches", ["crawl_id"]).read())
+    return coverage.sketch_estimate(_before(spark, f"{state}/sketches", 1 << 31))
 
 
 def live_saturation(spark: SparkSession, state: str, frame: int = coverage.SATURATION_WINDOW, rate: float = coverage.SATURATION_RATE) -> DataFrame:
