@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, structure, urls
@@ -37,28 +39,35 @@ def learn_baselines(probes: DataFrame) -> DataFrame:
     return stats.select("host", "probes", "mean_length", custom.alias("has_custom_404"))
 
 
+def length_bucket(length: str) -> Column:
+    """Number of the geometric bucket of a length; neighbouring buckets differ by the tolerance."""
+    return F.floor(F.log(F.col(length).cast("double")) / math.log1p(LENGTH_TOLERANCE)).cast("int")
+
+
 def custom_404_ids(responses: DataFrame, probes: DataFrame, primary_host: str | None = None) -> DataFrame:
     """Ids of responses that look like their host's not-found page.
 
     ``responses``: id, host, status, length, hash. Hosts without a baseline
-    use that of ``primary_host``. Two keyed semi joins, so no row is paired
-    with more than the distinct lengths of one (host, status).
+    use that of ``primary_host``. Two keyed semi joins. Lengths meet in buckets
+    that each span the tolerance: of a bucket's baseline lengths only the ends
+    matter, since those inside the row's own bucket are all near, of lower ones
+    the largest is nearest and of higher ones the smallest. A row is compared
+    with five buckets at most, however many lengths a host has.
     """
     known = probes.select("host").distinct().withColumn("has_own", F.lit(True))
     rows = responses.join(known, "host", "left")
     fallback = F.lit(primary_host) if primary_host else F.lit(None).cast("string")
     rows = rows.withColumn("baseline", F.when(F.col("has_own"), F.col("host")).otherwise(fallback))
     pages = probes.select(F.col("host").alias("baseline"), "hash").distinct()
-    lengths = probes.where("length > 0").select(
-        F.col("host").alias("baseline"), "status", F.col("length").alias("base_length")
-    ).distinct()
     same = rows.join(pages, ["baseline", "hash"], "left_semi").select("id")
-    near = rows.alias("r").join(
-        lengths.alias("b"),
-        (F.col("r.baseline") == F.col("b.baseline")) & (F.col("r.status") == F.col("b.status"))
-        & (F.abs(F.col("r.length") - F.col("b.base_length")) / F.col("b.base_length") <= LENGTH_TOLERANCE),
-        "left_semi",
-    ).select("id")
+    own = length_bucket("length")
+    lengths = probes.where("length > 0").groupBy(F.col("host").alias("baseline"), "status", own.alias("own")).agg(
+        F.min("length").alias("least"), F.max("length").alias("most"))
+    lengths = lengths.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.col("own") + d)))
+    sized = rows.where("length > 0").withColumn("bucket", own)
+    close = [F.abs(sized["length"] - lengths[c]) / lengths[c] <= LENGTH_TOLERANCE for c in ("least", "most")]
+    keys = [sized[k] == lengths[k] for k in ("baseline", "status", "bucket")]
+    near = sized.join(lengths, keys[0] & keys[1] & keys[2] & (close[0] | close[1]), "left_semi").select("id")
     return same.union(near).distinct()
 
 

@@ -259,6 +259,46 @@ def soft_404_bodies(txn: DataFrame, least: int = SOFT_404_COUNT) -> DataFrame:
     return rows.groupBy("body_hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def needed_literals(pattern: str, least: int = 3) -> list[str]:
+    """Lower-cased texts of which every match of a regex holds one; none when the pattern does not tell.
+
+    One text per top-level alternative: its longest run of plain characters.
+    """
+    texts, best, run, depth, i = [], "", "", 0, 0
+    pattern = pattern.removeprefix("(?i)")
+    while pattern.startswith("(?:") and pattern.endswith(")") and "(" not in pattern[3:]:
+        pattern = pattern[3:-1]
+    while i <= len(pattern):
+        c = pattern[i:i + 1]
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+            plain, c = not pattern[i].isalnum(), pattern[i]
+        elif c == "[":
+            i, plain = pattern.index("]", i + 2), False
+        else:
+            plain = c not in ("", "(", ")", "|", ".", "^", "$", "*", "+", "?", "{", "}")
+            depth += (c == "(") - (c == ")")
+            if c == "{":
+                i = pattern.index("}", i)
+        if plain and not depth:
+            run += c
+        else:
+            if c in ("*", "?", "{") and not plain:
+                run = run[:-1]  # the last character may be missing
+            best, run = max(best, run, key=len), ""
+            if (c == "|" and not plain and not depth) or i >= len(pattern):
+                texts.append(best.lower())
+                best = ""
+        i += 1
+    return texts if all(len(t) >= least for t in texts) else []
+
+
+def guarded(low: str, text: str, pattern: str) -> str:
+    """SQL condition that ``text`` matches; the regex runs only where ``low`` (its lower case) holds a needed literal."""
+    found = " OR ".join(f"contains({low}, {sql_text(t)})" for t in needed_literals(pattern))
+    return f"({found}) AND {text} RLIKE {sql_text(pattern)}" if found else f"{text} RLIKE {sql_text(pattern)}"
+
+
 def _page_sql(meta, scripts, bodies) -> str:
     """Meta, script, link and markup hits of one HTML body."""
     tags = _arms([
@@ -275,9 +315,10 @@ def _page_sql(meta, scripts, bodies) -> str:
         return f"flatten(transform({column}, r -> {arms}))"
 
     markup = _arms([
-        (f"response_body RLIKE {sql_text(p)}", _hit(comp, cat, "body", f"regexp_extract(response_body, {sql_text(p)}, 0)", conf))
+        (guarded("low_", "response_body", p), _hit(comp, cat, "body", f"regexp_extract(response_body, {sql_text(p)}, 0)", conf))
         for comp, cat, p, conf in bodies
     ])
+    markup = f"flatten(transform(array(lower(response_body)), low_ -> {markup}))"
     return f"concat(flatten(transform(meta, t -> {tags})), {refs('srcs', 'script_src')}, {refs('hrefs', 'link_href')}, {markup})"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, urls
@@ -135,23 +138,113 @@ def merge_vectors(vectors: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
-def reflected_parameters(params: DataFrame, txn: DataFrame) -> DataFrame:
-    """(url, name, location) whose sample value shows up in a response body.
+#: Bytes of URLs and sample values that one pass over the bodies carries.
+ASKED_BYTES = 32_000_000
+
+
+def reflected_parameters(params: DataFrame, txn: DataFrame, block_bytes: int = ASKED_BYTES) -> DataFrame:
+    """(url, name, location) whose sample value shows up in a response body of its URL.
 
     ``params``: url, name, location, sample_values. Short values and short
-    numbers are no evidence. Bodies are cut down to one row per (url, body).
+    numbers are no evidence. Bodies stay where they are read: the asked values
+    go to them in blocks of bounded size, and only hits move. A URL with many
+    values has them in one automaton, so a long body is read once. Blocks are
+    made of buckets of URL hashes and hold about ``block_bytes``; each reads
+    only the bodies of its own buckets.
     """
     usable = F.filter(
         "sample_values", lambda v: (F.length(v) >= 4) & ~(v.rlike("^[0-9]+$") & (F.length(v) < 6))
     )
-    asked = params.select("url", "name", "location", usable.alias("values")).where(F.size("values") > 0).distinct()
-    wanted = asked.select(F.col("url").alias("request_url")).distinct()
-    bodies = txn.select("request_url", "response_body").where(F.col("response_body") != "")
-    bodies = bodies.join(wanted, "request_url", "left_semi").distinct()
-    hits = asked.join(bodies, asked.url == bodies.request_url).where(
-        F.exists("values", lambda v: F.col("response_body").contains(v))
-    )
-    return hits.select("url", "name", "location").distinct()
+    asked = params.select("url", "name", "location", F.explode(F.array_distinct(usable)).alias("value")).distinct()
+    total = asked.agg(F.sum(F.octet_length("url") + F.octet_length("value") + F.octet_length("name") + 32)).first()[0] or 0
+    blocks = int(total // block_bytes) + 1
+    schema = "url string, name string, location string"
+    spark, out = txn.sparkSession, None
+    for block in range(blocks):
+        mine = F.pmod(F.xxhash64("url"), F.lit(blocks)) == block
+        part = asked.where(mine).toArrow() if blocks > 1 else asked.toArrow()
+        sent = spark.sparkContext.broadcast(part)
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tools = ValueFinder(sent.value)
+            for batch in batches:
+                hits = tools.hits(batch)
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*hits)], names=["url", "name", "location"])
+
+        bodies = txn.where(F.col("response_body") != "").select(F.col("request_url").alias("url"), "response_body")
+        bodies = bodies.where(mine) if blocks > 1 else bodies
+        found = bodies.mapInArrow(find, schema)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+class ValueFinder:
+    """Looks for the asked values of a URL in its bodies; every (url, name, location) is reported once per task."""
+
+    #: Values of one URL from which an automaton is made of them.
+    MANY = 8
+
+    def __init__(self, asked: pa.Table):
+        self.asked: dict[str, dict[str, list[tuple[str, str]]]] = {}
+        for url, name, location, value in zip(*(asked[c].to_pylist() for c in ("url", "name", "location", "value"))):
+            self.asked.setdefault(url, {}).setdefault(value, []).append((name, location))
+        self.machines: dict[str, Automaton] = {}
+
+    def hits(self, batch: pa.RecordBatch) -> list[tuple[str, str, str]]:
+        out = []
+        for i, url in enumerate(batch.column(0).to_pylist()):
+            values = self.asked.get(url)
+            if values:
+                body = batch.column(1)[i].as_py()
+                for value in self.present(url, values, body):
+                    out += [(url, name, location) for name, location in values.pop(value)]
+        return out
+
+    def present(self, url: str, values: dict, body: str) -> list[str]:
+        if len(values) < self.MANY:
+            return [v for v in values if v in body]
+        machine = self.machines.get(url)
+        if machine is None:
+            machine = self.machines[url] = Automaton(list(values))
+        return [v for v in machine.find(body) if v in values]
+
+
+class Automaton:
+    """Which of many texts occur in a text, in one pass: a trie with failure links."""
+
+    def __init__(self, texts: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[list[str]] = [[]]
+        for text in texts:
+            at = 0
+            for c in text:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append([])
+                at = self.next[at][c]
+            self.ends[at].append(text)
+        self.back = [0] * len(self.next)
+        queue = list(self.next[0].values())
+        for at in queue:
+            for c, to in self.next[at].items():
+                back = self.back[at]
+                while back and c not in self.next[back]:
+                    back = self.back[back]
+                self.back[to] = self.next[back].get(c, 0) if self.next[back].get(c, 0) != to else 0
+                self.ends[to] = self.ends[to] + self.ends[self.back[to]]
+                queue.append(to)
+
+    def find(self, text: str) -> set[str]:
+        at, found = 0, set()
+        for c in text:
+            while at and c not in self.next[at]:
+                at = self.back[at]
+            at = self.next[at].get(c, 0)
+            if self.ends[at]:
+                found.update(self.ends[at])
+        return found
 
 
 # Fixed values: (technology, parameter name pattern, risk tag)
