@@ -65,6 +65,14 @@ def operations(docs: DataFrame) -> DataFrame:
     )
 
 
+def media_types(docs: DataFrame) -> DataFrame:
+    """url, path, method, media: content types of request bodies, given in place or by reference."""
+    key = ["url", "path", "method"]
+    body = operations(docs).select(*key, _get("details", "$.requestBody", "variant").alias("rb")).where("rb IS NOT NULL")
+    body = _follow(body, "rb", schemas(docs))
+    return _open(body, "try_variant_get(rb, '$.content', 'variant')", key, "media", "m").where("media IS NOT NULL").select(*key, "media")
+
+
 def declared_parameters(ops: DataFrame, named: DataFrame) -> DataFrame:
     """Query, header, path and cookie parameters of each operation."""
     p = _open(ops, "try_variant_get(details, '$.parameters', 'variant')", ["url", "path", "method"], "k", "p").where("p IS NOT NULL")

@@ -404,7 +404,7 @@ def risk_summary(endpoints: DataFrame, vectors: DataFrame, boundaries: DataFrame
         + points("unprotected_admin_paths", 5.0, 15.0) + points("exposed_debug_endpoints", 5.0, 15.0)
         + points("unbounded", 2.0, 10.0),
     )
-    return row.withColumn("score", score).drop("unbounded")
+    return row.withColumns({"score": score, "unbounded_points": points("unbounded", 2.0, 10.0)}).drop("unbounded")
 
 
 def high_risk_findings(endpoints: DataFrame, vectors: DataFrame, secrets: DataFrame) -> DataFrame:

@@ -18,10 +18,13 @@ def pages(spark, sf):
     return views.table(spark, sf, "page_x")
 
 
-@query("ext_01_links", f"""
+DUCK["link_v"] = f"""
 WITH t AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<((?:a|link|area)\\s[^>]*?href\\s*=\\s*(?:"[^"]*"|''[^'']*'')[^>]*>(?:[^<]*</a>)?)', 1)) AS tag FROM page_x),
 l AS (SELECT url, lower(regexp_extract(tag, '^([A-Za-z]+)', 1)) AS tag, regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']([^"'']*)["'']', 1) AS href, trim(regexp_extract(tag, '>([^<]*)</', 1)) AS text FROM t)
-SELECT url AS page_url, {ORIGIN} || href AS url, text, tag FROM l WHERE href <> '' AND NOT starts_with(href, '#')""")
+SELECT url AS page_url, {ORIGIN} || href AS url, text, tag FROM l WHERE href <> '' AND NOT starts_with(href, '#')"""
+
+
+@query("ext_01_links", "SELECT * FROM link_v")
 def ext_01(spark, sf):
     return extract.links(pages(spark, sf))
 
@@ -120,13 +123,20 @@ def ext_10(spark, sf):
     return scripts.secrets(scripts.script_table(views.transactions(spark, sf)).unionByName(docs)).withColumn("line", F.col("line").cast("long"))
 
 
-@query("ext_11_script_analysis", """
+DUCK["analysis_v"] = """
 WITH a AS (SELECT source_url, url, method, client AS tag, 1.0 AS confidence, 2 AS p, parameters FROM call_v UNION ALL SELECT source_url, url, 'GET', 'string_literal', 0.6, 3, '' FROM literal_v UNION ALL SELECT source_url, url, 'GET', tag, 1.0, 4, '' FROM route_v),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source_url, url ORDER BY p, tag) = 1)
 SELECT source_url, CASE WHEN starts_with(url, '/') THEN 'https://app0.example.com' || url ELSE url END AS full_url, method, tag, confidence::double AS confidence, parameters FROM b
-WHERE starts_with(url, '/') OR starts_with(url, 'https://app0.example.com/')""")
+WHERE starts_with(url, '/') OR starts_with(url, 'https://app0.example.com/')"""
+
+
+def analysed(spark, sf):
+    return scripts.analyse(script_rows(spark, sf), "https://app0.example.com/", "app0.example.com")
+
+
+@query("ext_11_script_analysis", "SELECT * FROM analysis_v")
 def ext_11(spark, sf):
-    return scripts.analyse(script_rows(spark, sf), "https://app0.example.com/", "app0.example.com").select("source_url", "full_url", "method", "tag", "confidence", shown_parameters().alias("parameters"))
+    return analysed(spark, sf).select("source_url", "full_url", "method", "tag", "confidence", shown_parameters().alias("parameters"))
 
 
 SPEC_SQL = """

@@ -118,7 +118,7 @@ UNION ALL SELECT 'secret', 'value-' || page_id FROM pages UNION ALL SELECT 'scor
 def src_09(spark, sf):
     path = scratch_path(spark, "reports")
     report_doc(spark, sf).repartition(8).write.option("maxRecordsPerFile", 1).json(path)
-    t = sources.read_report(spark, path)
+    t = sources.read_report_documents(spark, path)
     out = t["endpoints"].select(F.lit("endpoint").alias("entity"), F.concat_ws(" ", "method", "url").alias("key"))
     out = out.union(t["secrets"].select(F.lit("secret"), "value"))
     return out.union(t["risk_summary"].select(F.lit("score"), F.concat_ws(" ", "target", F.col("score").cast("string"))))
@@ -158,13 +158,6 @@ def snk_02(spark, sf):
     return out.union(spark.read.schema("value string").json(s).select(F.lit("secret"), "value"))
 
 
-@query("snk_03_report", "SELECT 'endpoints' AS entity, count(*) AS n FROM endpoint_v UNION ALL SELECT 'auth_boundaries', count(*) FROM boundary_v UNION ALL SELECT 'secrets', count(*) FROM secret_v")
-def snk_03(spark, sf):
-    path = scratch_path(spark, "report")
-    sinks.write_report({"endpoints": endpoints(spark, sf).drop("seq"), "auth_boundaries": boundaries(spark, sf).drop("seq"), "secrets": secrets(spark, sf)}, path)
-    return surface.entity_counts(**{n: spark.read.text(f"{path}/{n}") for n in ("endpoints", "auth_boundaries", "secrets")})
-
-
 def operations(spark, sf):
     eps = secured(spark, sf).withColumn("path_template", F.substring_index(U.template(F.col("url")), "?", 1))
     p = params(spark, sf).withColumns({

@@ -114,13 +114,6 @@ def secrets(spark, sf):
 # ---- Merges ------------------------------------------------------------
 
 
-@query("agg_01_endpoint_merge", "SELECT method, url, source_module, content_type, depth, page_type, status_code, array_to_string(tags, ',') AS tags FROM endpoint_v")
-def agg_01(spark, sf):
-    return endpoints(spark, sf).select(
-        "method", "url", "source_module", "content_type", "depth", "page_type", "status_code", F.array_join("tags", ",").alias("tags")
-    )
-
-
 @query("agg_02_vector_merge", "SELECT endpoint_url, name, location, is_reflected, input_type, array_to_string(risks, ',') AS risks FROM vector_v")
 def agg_02(spark, sf):
     return vectors(spark, sf).select(
@@ -128,14 +121,6 @@ def agg_02(spark, sf):
     )
 
 
-@query("agg_03_boundary_merge", "SELECT url, method, boundary_type, unauth_status, auth_status, matrix FROM boundary_v")
-def agg_03(spark, sf):
-    return boundaries(spark, sf).select(
-        "url", "method", "boundary_type", "unauth_status", "auth_status",
-        F.array_join(F.transform(F.map_entries("access_matrix"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("matrix"),
-    )
-
-
 @query("agg_05_secret_and_schema_dedup", """
 SELECT 'secret' AS entity, kind || ' ' || value AS detail, source_url AS url FROM secret_v
 UNION ALL SELECT 'schema', 'openapi', url FROM (SELECT DISTINCT url FROM spec UNION ALL SELECT DISTINCT url FROM spec) GROUP BY url""")
@@ -146,16 +131,6 @@ def agg_05(spark, sf):
     return s.unionByName(schemas.select(F.lit("schema").alias("entity"), F.col("schema_type").alias("detail"), "url"))
 
 
-@query("agg_24_risk_summary", """
-WITH c AS (SELECT (SELECT count(*) FROM endpoint_v) AS total_endpoints, (SELECT count(*) FROM vector_v) AS total_input_vectors,
-  (SELECT count(*) FROM vector_v WHERE len(risks) > 0) AS high_risk_vectors, (SELECT count(*) FROM boundary_v) AS auth_boundaries_found,
-  (SELECT count(*) FROM secured_v WHERE page_type = 'admin' AND NOT requires_auth) AS unprotected_admin_paths,
-  (SELECT count(*) FROM endpoint_v WHERE list_has_any(tags, ['debug', 'actuator', 'phpinfo'])) AS exposed_debug_endpoints, (SELECT count(*) FROM secret_v) AS secrets_found)
-SELECT *, least(100.0, least(40.0, high_risk_vectors * 2.0) + least(20.0, secrets_found * 5.0) + least(15.0, unprotected_admin_paths * 5.0) + least(15.0, exposed_debug_endpoints * 5.0))::double AS score FROM c""")
-def agg_24(spark, sf):
-    return surface.risk_summary(secured(spark, sf), vectors(spark, sf), boundaries(spark, sf), secrets(spark, sf))
-
-
 @query("agg_25_surface_stats", """
 SELECT 'endpoints' AS entity, count(*) AS n FROM endpoint_v UNION ALL SELECT 'input_vectors', count(*) FROM vector_v UNION ALL SELECT 'auth_boundaries', count(*) FROM boundary_v
 UNION ALL SELECT 'tech_detected', count(*) FROM tech_v UNION ALL SELECT 'secrets', count(*) FROM secret_v UNION ALL SELECT 'api_schemas', count(DISTINCT url) FROM spec""")
@@ -211,17 +186,6 @@ def jn_16(spark, sf):
     return surface.unspidered(endpoints(spark, sf), done).select("method", "url")
 
 
-@query("jn_18_auth_flags", "SELECT method, url, requires_auth FROM secured_v")
-def jn_18(spark, sf):
-    return secured(spark, sf).select("method", "url", "requires_auth")
-
-
-@query("jn_19_unbounded_auth", """SELECT method, url FROM endpoint_v WHERE page_type IN ('admin', 'api_json') AND url NOT IN (SELECT url FROM boundary_v)""")
-def jn_19(spark, sf):
-    asked = endpoints(spark, sf).withColumn("requires_auth", F.col("page_type").isin("admin", "api_json"))
-    return surface.unbounded_auth_endpoints(asked, boundaries(spark, sf)).select("method", "url")
-
-
 # ---- Entity filters ----------------------------------------------------
 
 

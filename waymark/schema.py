@@ -1,6 +1,6 @@
 """Declared schemas. Nothing is inferred on read."""
 
-from pyspark.sql import types as T
+from pyspark.sql import Column, functions as F, types as T
 
 STRING, INT, LONG = T.StringType(), T.IntegerType(), T.LongType()
 STRINGS = T.ArrayType(STRING)
@@ -80,3 +80,8 @@ TELEMETRY = struct(
 
 CRAWL_INDEX = struct(url=STRING, status=STRING, mime=STRING)
 URL_LIST = struct(url_list=T.ArrayType(struct(url=STRING, httpcode=STRING)))
+
+
+def row_checksum(text: str) -> Column:
+    """Aggregate over rows of text that does not depend on their order."""
+    return F.coalesce(F.sum(F.xxhash64(text).cast("decimal(38,0)")), F.lit(0)).cast("string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .. import schema
 from ..functions import urls
 from ..operators.filters import by_host
 from .keyed import KeyedTable, batches
@@ -52,13 +53,20 @@ def write_entities(rows: DataFrame, path: str) -> None:
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """One folder of JSON lines per entity, the risk summary among them.
+    """One folder of JSON lines per table and a manifest with their schemas, row counts and checksums.
 
     A single document would pull every entity through one task, so the report
-    is a directory whose members read back as the same tables.
+    is a directory whose members read back as the same tables. The manifest is
+    written last; without it there is no report.
     """
+    spark, manifest = None, []
     for name, rows in tables.items():
-        rows.write.mode("overwrite").json(f"{path}/{name}")
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        done = spark.read.text(f"{path}/{name}").agg(F.count("*").alias("n"), schema.row_checksum("value").alias("c")).first()
+        manifest.append((name, rows.schema.json(), done["n"], done["c"]))
+    if manifest:
+        spark.createDataFrame(manifest, "entity string, schema string, n long, checksum string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 # ---- API document ------------------------------------------------------

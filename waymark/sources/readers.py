@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema
@@ -101,8 +103,28 @@ def parse_telemetry(rows: DataFrame, column: str = "metrics_json") -> DataFrame:
     return rows.select(*keep, F.from_json(column, schema.TELEMETRY).alias("m")).select(*keep, "m.*")
 
 
+def checked_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """entity, schema, n, checksum of a report's parts; an error when a part has other rows than were written."""
+    manifest = spark.read.schema("entity string, schema string, n long, checksum string").json(f"{path}/manifest")
+    found = None
+    for r in manifest.collect():
+        part = spark.read.text(f"{path}/{r['entity']}").agg(F.count("*").alias("n"), schema.row_checksum("value").alias("checksum"))
+        part = part.select(F.lit(r["entity"]).alias("entity"), "n", "checksum")
+        found = part if found is None else found.unionByName(part)
+    wrong = [] if found is None else manifest.select("entity", "n", "checksum").exceptAll(found).collect()
+    if wrong:
+        raise ValueError(f"parts of the report at {path} differ from its manifest: {sorted(r['entity'] for r in wrong)}")
+    return manifest
+
+
 def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Entity tables of saved reports: one file each, or one document."""
+    """The tables of a report, each with the schema and the rows that its manifest names."""
+    parts = checked_manifest(spark, path).select("entity", "schema").collect()
+    return {r["entity"]: spark.read.schema(T.StructType.fromJson(json.loads(r["schema"]))).json(f"{path}/{r['entity']}") for r in parts}
+
+
+def read_report_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Entity tables of reports saved as one JSON document each."""
     names = ["endpoints", "input_vectors", "auth_boundaries", "tech_stack", "api_schemas", "secrets"]
     doc = spark.read.schema(schema.REPORT).option("multiLine", True).json(path)
     tables = {n: doc.select(F.inline(n)) for n in names}
