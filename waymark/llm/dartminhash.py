@@ -148,8 +148,9 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     - links: a, b (nodes), similarity, all at least ``similarity``.
 
     Not all pairs of a bucket are compared. A bucket has a leader: in even bands
-    the node that shares most bands with others, in odd bands one at random.
-    Members are compared with it; those that are not similar enough choose
+    the node that shares most bands with others, in odd bands the first in one
+    random order of all nodes, so that the buckets of a large group mostly have
+    the same two leaders and a pair is compared once for all of them. Members are compared with it; those that are not similar enough choose
     leaders among themselves, twice as many each time, until none are left. As
     distance is a metric, what this may miss is a link between a member that a
     leader holds and one it refused by no more than twice the distance; where
@@ -174,7 +175,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     sizes = sets.select("node", F.size("shingles").alias("size"))
     first_rank = F.when(F.col("band") % 2 == 0, F.col("degree").cast("double")).otherwise(F.lit(0.0))
     left = members.join(nodes.select("_key", "node", "degree"), "_key").select(
-        "band", "h", "node", F.struct(first_rank.alias("d"), F.xxhash64("node", "band").alias("r")).alias("rank"))
+        "band", "h", "node", F.struct(first_rank.alias("d"), F.xxhash64("node").alias("r")).alias("rank"))
     left = stored(left, "left0")
 
     tested, step = None, 0
