@@ -23,12 +23,13 @@ def test_lengths_meet_in_buckets_as_in_a_range_join(spark):
 
 
 def test_a_hot_host_makes_few_rows(spark):
-    """Ten thousand lengths of one host against as many responses: at most five baseline rows meet a response."""
-    probes = spark.range(10_000).select(F.concat(F.lit("h"), F.col("id") * 0).alias("host"), F.lit(200).alias("status"), (F.col("id") * 7 + 50).cast("int").alias("length"), F.lit("p").alias("hash"))
-    rows = spark.range(10_000).select("id", F.concat(F.lit("h"), F.col("id") * 0).alias("host"), F.lit(200).alias("status"), (F.col("id") * 13).cast("int").alias("length"), F.lit("r").alias("hash"))
-    plan = access.custom_404_ids(rows, probes)._jdf.queryExecution().executedPlan().toString()
+    """Five thousand lengths of one host against as many responses: at most five baseline rows meet a response."""
+    probes = spark.createDataFrame([("h", 200, i * 7 + 50, "p") for i in range(5_000)], "host string, status int, length int, hash string")
+    rows = spark.createDataFrame([(i, "h", 200, i * 13, "r") for i in range(5_000)], "id int, host string, status int, length int, hash string")
+    found = access.custom_404_ids(rows, probes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert access.custom_404_ids(rows, probes).count() == sum(1 for i in range(10_000) if 45 <= i * 13 <= 1.1 * (7 * 9_999 + 50))
+    assert found.count() == sum(1 for i in range(5_000) if 45 <= i * 13 <= 1.1 * (7 * 4_999 + 50))
 
 
 def reflected(spark, params, bodies, **kw):

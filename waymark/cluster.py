@@ -43,12 +43,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Changes whenever a file below ``folder`` is added, removed, resized or (in its first level) written again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    total = fs.getContentSummary(path)
+    first = sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(path))
+    return total.getLength(), total.getFileCount(), tuple(first)
 
 
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the files in ``source``, written once per application and read from then on."""
-    key = (spark.sparkContext.applicationId, source, name)
+    """A table derived from the files in ``source``, written once per application and state of these files, and read from then on."""
+    key = (spark.sparkContext.applicationId, source, name, state_of(spark, source))
     if key not in _STORED:
         path = scratch_path(spark, name)
         build().write.parquet(path)

@@ -14,20 +14,6 @@ SIGNATURE_HEADERS = [
 TAG_PATTERN = r"<([A-Za-z0-9_]+)([^>]*)>"
 
 
-def lower_headers(headers: Column) -> Column:
-    """Header map with lower-case names; the last of a repeated name wins."""
-    entries = F.transform(
-        F.map_entries(headers),
-        lambda e, i: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), i.alias("i")),
-    )
-    kept = F.filter(
-        entries, lambda e: ~F.exists(entries, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"]))
-    )
-    return F.map_from_entries(
-        F.transform(kept, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    )
-
-
 def header(headers: Column, name: str) -> Column:
     """Value of one header, name matched without case; empty when absent."""
     hits = F.map_filter(headers, lambda k, _: F.lower(k) == name)

@@ -35,13 +35,6 @@ def merge_tech(rows: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
-def merge_tech_live(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """The live view: same rows, but the highest confidence stands."""
-    return rows.groupBy(F.lower("name").alias("name")).agg(
-        F.min_by("category", order).alias("category"), F.max("confidence").alias("confidence")
-    )
-
-
 def implied_paths(tech: DataFrame) -> DataFrame:
     return tech.select(F.explode("implied_paths").alias("path")).distinct()
 

@@ -63,9 +63,9 @@ def win_04(spark, sf):
 
 
 LINK_SQL = """
-link_v AS (SELECT id AS page, depth + 1 AS depth, 'https://app0.example.com/' || sec || '/item' || n AS url, '/' || sec AS prefix, ts, id, i AS n
+click_link AS (SELECT id AS page, depth + 1 AS depth, 'https://app0.example.com/' || sec || '/item' || n AS url, '/' || sec AS prefix, ts, id, i AS n
   FROM (SELECT id, ts, depth, i, CASE WHEN i < 7 THEN 'sec' || id % 3 ELSE 'misc' || i END AS sec, i * 2 AS n FROM txn, range(0, 9) r(i) WHERE kind = 'click')),
-cnt AS (SELECT *, count(*) OVER (PARTITION BY page, prefix) AS c FROM link_v),
+cnt AS (SELECT *, count(*) OVER (PARTITION BY page, prefix) AS c FROM click_link),
 rnk AS (SELECT *, row_number() OVER (PARTITION BY depth, prefix ORDER BY ts, id, n) AS r FROM cnt WHERE c > 5)"""
 
 

@@ -142,7 +142,7 @@ SELECT id, request_url, concat(
   '","strict_transport_security":"', CASE WHEN id % 2 = 0 THEN 'max-age=1' ELSE '' END,
   '","x_content_type_options":"', CASE WHEN id % 11 = 0 THEN 'nosniff' ELSE '' END, '"}},',
   '"redirect_chain":[', CASE WHEN response_status = 302 THEN concat('"', location, '"') ELSE '' END, ']}}') AS metrics_json
-FROM txn WHERE kind IN ('view', 'signup')"""
+FROM txn"""
 
 COMMON["passive_url"] = f"""
 SELECT page_id AS seq, url, CASE page_id % 3 WHEN 0 THEN 'wayback' WHEN 1 THEN 'commoncrawl' ELSE 'otx' END AS tag,

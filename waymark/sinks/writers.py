@@ -117,69 +117,6 @@ def openapi_operations(endpoints: DataFrame, params: DataFrame, template: str |
     )
 
 
-def openapi_paths(operations: DataFrame) -> DataFrame:
-    """(path, path item JSON) rows; a reader joins them under ``paths``."""
-    def schema_of(p: Column) -> Column:
-        return F.struct(p["type"].alias("type"), p["example"].alias("example"))
-
-    media = F.when(F.lower("body_type").contains("json"), "application/json").otherwise("application/x-www-form-urlencoded")
-    required = F.transform(F.filter("body_params", lambda p: p["required"]), lambda p: p["name"])
-    body = F.when(
-        F.size("body_params") > 0,
-        F.struct(
-            F.lit(True).alias("required"),
-            F.create_map(
-                media,
-                F.struct(
-                    F.struct(
-                        F.lit("object").alias("type"),
-                        F.map_from_entries(F.transform("body_params", lambda p: F.struct(p["name"], schema_of(p)))).alias("properties"),
-                        F.when(F.size(required) > 0, required).alias("required"),
-                    ).alias("schema")
-                ),
-            ).alias("content"),
-        ),
-    )
-    params = F.transform(
-        "parameters",
-        lambda p: F.struct(
-            p["name"].alias("name"),
-            F.when(p["location"].isin(OPENAPI_LOCATIONS), p["location"]).otherwise("query").alias("in"),
-            (p["required"] | (p["location"] == "path")).alias("required"),
-            F.struct(p["type"].alias("type")).alias("schema"),
-            p["example"].alias("example"),
-        ),
-    )
-    responses = F.map_from_entries(
-        F.transform(
-            "responses",
-            lambda r: F.struct(
-                r["code"].cast("string"),
-                F.struct(
-                    F.lit("Response").alias("description"),
-                    F.when(
-                        r["media"] != "",
-                        F.create_map(r["media"], F.struct(F.struct(F.lit("string").alias("type")).alias("schema"))),
-                    ).alias("content"),
-                ),
-            ),
-        )
-    )
-    operation = F.struct(
-        F.col("summary"), responses.alias("responses"),
-        F.when(F.col("tag").isNotNull(), F.array("tag")).alias("tags"),
-        F.when(F.size(params) > 0, params).alias("parameters"), body.alias("requestBody"),
-        F.when(F.col("secured"), F.array(F.create_map(F.lit("cookieAuth"), F.array().cast("array<string>")))).alias("security"),
-    )
-    items = operations.withColumn("op", operation).groupBy("path").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", F.to_json("op").alias("op"))))).alias("ops")
-    )
-    body_json = F.array_join(
-        F.transform(F.map_entries("ops"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","
-    )
-    return items.select("path", F.concat(F.lit("{"), body_json, F.lit("}")).alias("path_item"))
-
-
 # ---- Collection and proxy exports --------------------------------------
 
 

@@ -8,31 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .. import schema
 
-# Default path wordlist.
-DEFAULT_PATHS = [
-    "admin", "api", "backup", "config", "console", "dashboard", "debug",
-    "dev", "docs", "graphql", "health", "internal", "login", "manage",
-    "monitoring", "panel", "private", "server-status", "staging", "status",
-    "swagger", "test", "v1", "v2", "wp-admin", "wp-content", ".env",
-    ".git", ".svn", "robots.txt", "sitemap.xml", "crossdomain.xml",
-    ".well-known/security.txt", "actuator", "actuator/health",
-    "actuator/env", "api-docs", "openapi.json", "swagger.json",
-    "swagger-ui.html", "graphiql", "altair", "__graphql",
-]
-
-# Default parameter wordlist.
-DEFAULT_PARAMS = [
-    "id", "page", "q", "search", "query", "name", "user", "username",
-    "email", "password", "token", "key", "api_key", "auth", "session",
-    "callback", "redirect", "url", "next", "return", "file", "path",
-    "dir", "action", "cmd", "command", "exec", "lang", "language",
-    "template", "view", "type", "format", "sort", "order", "limit",
-    "offset", "from", "to", "start", "end", "date", "filter",
-    "category", "tag", "status", "role", "admin", "debug", "test",
-    "mode", "config", "version", "v", "include", "require", "load",
-    "read", "fetch", "download", "upload", "import", "export",
-]
-
 
 def text_of(body: Column) -> Column:
     """UTF-8 text of a binary body, bad bytes replaced."""
@@ -136,7 +111,3 @@ def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
     """One entry per line; blank and comment lines dropped."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
     return lines.select(F.trim("value").alias("word")).where("word <> ''")
-
-
-def default_wordlist(spark: SparkSession, words: list[str] = DEFAULT_PATHS) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "word string")
