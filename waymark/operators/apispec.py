@@ -90,33 +90,52 @@ def declared_parameters(ops: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
+def reference_groups(named: DataFrame) -> DataFrame:
+    """url, ref, circle: the named schemas that refer to each other in a circle, by the smallest name of the circle.
+
+    Edges are read once per schema, whatever pointer they use; what a schema
+    reaches is found by doubling the length of the paths each round.
+    """
+    refs = F.explode(F.array_distinct(F.regexp_extract_all(F.to_json("node"), F.lit(r'"\$ref"\s*:\s*"([^"]+)"'), F.lit(1))))
+    reach, count = cut_lineage(named.select("url", F.col("ref").alias("a"), refs.alias("b")).distinct()), -1
+    while (now := reach.count()) != count:
+        count = now
+        onward = reach.select("url", F.col("a").alias("b"), F.col("b").alias("c"))
+        reach = cut_lineage(reach.union(reach.join(onward, ["url", "b"]).select("url", "a", "c")).distinct())
+    back = reach.select("url", F.col("b").alias("a"), F.col("a").alias("b"))
+    return reach.join(back, ["url", "a", "b"]).groupBy("url", F.col("a").alias("ref")).agg(F.min(F.least("a", "b")).alias("circle"))
+
+
 def body_parameters(ops: DataFrame, named: DataFrame) -> DataFrame:
     """Body fields with dotted names; references and arrays opened level by level.
 
-    Work rows are (operation, prefix, schema node, refs taken). Each round
-    resolves a reference, emits scalar properties, and passes nested objects
-    on, until none are left; a reference already taken on the way is not entered
-    again, which also ends cycles.
+    Work rows are (operation, prefix, schema node). Each round resolves
+    references, emits scalar properties, and passes nested objects on, until
+    none are left. Schemas that refer to each other in a circle are entered once
+    each from the place where the circle is entered, at their shortest name
+    there; all others at every place where they are used.
     """
     key = ["url", "path", "method"]
     body = ops.select(*key, _get("details", "$.requestBody", "variant").alias("rb"))
     body = _follow(body.where("rb IS NOT NULL"), "rb", named)
     media = _open(body, "try_variant_get(rb, '$.content', 'variant')", key, "media", "m").where("media IS NOT NULL")
-    work = media.select(*key, F.lit("").alias("prefix"), _get("m", "$.schema", "variant").alias("node"), F.array().cast("array<string>").alias("taken"))
+    nowhere = F.lit(None).cast("string")
+    work = media.select(*key, F.lit("").alias("prefix"), _get("m", "$.schema", "variant").alias("node"), nowhere.alias("circle"), nowhere.alias("entry"))
     out = None
-    named = cut_lineage(named)
+    named = cut_lineage(named.join(reference_groups(named), ["url", "ref"], "left").withColumnRenamed("circle", "own"))
+    entered = None
     while True:
         work = cut_lineage(work)
         if out is not None and work.isEmpty():
             break
-        work = _resolve(work.where("node IS NOT NULL"), named)
+        work, entered = _resolve(work.where("node IS NOT NULL"), named, key, entered)
         kind = F.coalesce(_get("node", "$.type"), F.lit("object"))
         required = F.coalesce(_get("node", "$.required", "array<string>"), F.array().cast("array<string>"))
         objects = work.where(kind == "object").withColumn("req", required)
-        props = _open(objects, "try_variant_get(node, '$.properties', 'variant')", [*key, "prefix", "taken", "req"], "prop", "sub").where("prop IS NOT NULL")
+        props = _open(objects, "try_variant_get(node, '$.properties', 'variant')", [*key, "prefix", "circle", "entry", "req"], "prop", "sub").where("prop IS NOT NULL")
         full = F.when(F.col("prefix") == "", F.col("prop")).otherwise(F.concat_ws(".", "prefix", "prop"))
         props = props.withColumns({"full": full, "ref": _get("sub", "$['$ref']")})
-        props = props.join(named.withColumnRenamed("node", "target"), ["url", "ref"], "left")
+        props = props.join(named.select("url", "ref", F.col("node").alias("target")), ["url", "ref"], "left")
         nested = F.col("ref").isNotNull() & (_get("target", "$.type") == "object")
         plain = props.where(~F.coalesce(nested, F.lit(False)))
         kind_of = F.when(F.col("ref").isNull(), _get("sub", "$.type")).otherwise(_get("target", "$.type"))
@@ -125,25 +144,32 @@ def body_parameters(ops: DataFrame, named: DataFrame) -> DataFrame:
             F.array_contains("req", F.col("prop")).alias("required"),
         )
         out = found if out is None else out.unionByName(found)
-        deeper = props.where(nested & ~F.array_contains("taken", F.col("ref"))).select(
-            *key, F.col("full").alias("prefix"), F.col("target").alias("node"), F.array_append("taken", F.col("ref")).alias("taken"))
+        deeper = props.where(nested).select(*key, F.col("full").alias("prefix"), F.col("sub").alias("node"), "circle", "entry")
         arrays = work.where(kind == "array").select(
             *key, F.when(F.col("prefix") == "", "items[]").otherwise(F.concat("prefix", F.lit("[]"))).alias("prefix"),
-            _get("node", "$.items", "variant").alias("node"), "taken",
+            _get("node", "$.items", "variant").alias("node"), "circle", "entry",
         )
         work = deeper.unionByName(arrays)
     return out.withColumn("location", F.lit("body")).distinct()
 
 
-def _resolve(work: DataFrame, named: DataFrame) -> DataFrame:
-    """Replaces a node that is a reference by its schema, once per path."""
+def _resolve(work: DataFrame, named: DataFrame, key: list[str], entered: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Replaces nodes that are references by their schemas; those of a circle only where they are not entered yet."""
     rows = work.withColumn("ref", _get("node", "$['$ref']"))
-    rows = rows.where(F.col("ref").isNull() | ~F.array_contains("taken", F.col("ref")))
-    rows = rows.join(named.withColumnRenamed("node", "target"), ["url", "ref"], "left")
-    return rows.withColumns({
-        "node": F.coalesce("target", "node"),
-        "taken": F.when(F.col("ref").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("ref"))),
-    }).drop("ref", "target")
+    plain = rows.where("ref IS NULL").drop("ref")
+    refs = rows.where("ref IS NOT NULL").join(named.withColumnRenamed("node", "target"), ["url", "ref"], "left")
+    once = refs.where("own IS NULL").withColumn("node", F.coalesce("target", "node"))
+    once = once.select(*key, "prefix", "node", F.lit(None).cast("string").alias("circle"), F.lit(None).cast("string").alias("entry"))
+    entry = F.when(F.col("own") == F.col("circle"), F.col("entry")).otherwise(F.col("prefix"))
+    place = [*key, "circle", "entry", "ref"]
+    new = refs.where("own IS NOT NULL").select(*key, F.col("own").alias("circle"), entry.alias("entry"), "ref", "prefix")
+    new = new.groupBy(*place).agg(F.min_by("prefix", F.struct(F.length("prefix"), "prefix")).alias("prefix"))
+    if entered is not None:
+        new = new.join(entered, place, "left_anti")
+    new = cut_lineage(new)
+    entered = new.select(*place) if entered is None else cut_lineage(entered.unionByName(new.select(*place)))
+    opened = new.join(named.select("url", "ref", "node"), ["url", "ref"]).select(*key, "prefix", "node", "circle", "entry")
+    return plain.unionByName(once).unionByName(opened), entered
 
 
 def _follow(rows: DataFrame, column: str, named: DataFrame) -> DataFrame:
