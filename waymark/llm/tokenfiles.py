@@ -80,40 +80,50 @@ def id_width(vocabulary: str, end_id: int) -> int:
     return 4 if max(vocabulary_size(vocabulary), end_id + 1) > 1 << 16 else 2
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (two bytes each, or four for a vocabulary above 65,536), n_tokens with the end id."""
+#: In place of n_tokens in the row in which a task counts its ids.
+COUNTS = -1
+
+
+def encode(docs: DataFrame, vocabulary: str, end_id: int = END_ID, counted: bool = False) -> DataFrame:
+    """doc_id, ids (two bytes each, or four for a vocabulary above 65,536), n_tokens with the end id.
+
+    With ``counted``, every task adds one row with n_tokens = COUNTS, whose
+    ``ids`` are the counts of its ids as 64-bit numbers.
+    """
     width = id_width(vocabulary, end_id)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = chunk_ids(vocabulary, width), end_id.to_bytes(width, "little")
+        sums, kind = np.zeros(max(vocabulary_size(vocabulary), end_id + 1), dtype=np.int64), None
         for batch in batches:
             for first, texts in text_slices(batch):
                 ids = [b"".join(map(known.__getitem__, chunks(t))) + end for t in texts]
+                kind = batch.column(0).type
+                if counted:
+                    sums += np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=len(sums))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary()),
                                                   pa.array([len(b) // width for b in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+        if counted and kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([sums.astype("<i8").tobytes()], pa.binary()), pa.array([COUNTS], pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(tokens, f"doc_id {kind}, ids binary, n_tokens long")
 
 
-def rank_ids(encoded: DataFrame, width: int) -> DataFrame:
-    """rank, id: ids by falling count, then by id. At most one row per id of the vocabulary."""
+def rank_ids(counts: DataFrame) -> DataFrame:
+    """rank, id: ids by falling count, then by id, from the counts of all tasks. At most one row per id of the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(0, dtype=np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                ids = np.frombuffer(b"".join(batch.column(0).slice(first, 200).to_pylist()), f"<u{width}")
-                n = np.bincount(ids, minlength=len(sums))
-                n[:len(sums)] += sums
-                sums = n
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["id", "n"])
-
-    found = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+            for row in batch.column(0).to_pylist():
+                n = np.frombuffer(row, "<i8")
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
+
+    found = counts.select("ids").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     found = found.sort_values(["n", "id"], ascending=[False, True])
-    return encoded.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(found["id"])], "rank long, id long")
+    return counts.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(found["id"])], "rank long, id long")
 
 
 def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
@@ -127,40 +137,37 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
     spark = docs.sparkSession
     width = id_width(vocabulary, end_id)
     raw = scratch_path(spark, "token-ids")
-    encode(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(raw)
+    encode(docs, vocabulary, end_id, counted=True).write.option("compression", "zstd").parquet(raw)
     encoded = spark.read.parquet(raw)
-    ranked = rank_ids(encoded, width)
+    ranked = rank_ids(encoded.where(F.col("n_tokens") == COUNTS))
+    encoded = encoded.where(F.col("n_tokens") != COUNTS)
     ranked.coalesce(1).write.parquet(f"{path}/ranks")
     ids = [r["id"] for r in ranked.collect()]
     table = np.zeros(max(ids, default=0) + 1, dtype=np.uint32)
     table[ids] = np.arange(len(ids), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(table)
 
+    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "ids"]
+    laid = encoded.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes the sorted rows of a range and gives each its place and the ids before it."""
+        part, at, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             counts = batch.column(2).to_numpy(zero_copy_only=False)
             for a, b in _spans(counts):
+                n = counts[a:b]
                 ids = np.frombuffer(b"".join(batch.column(1).slice(a, b - a).to_pylist()), f"<u{width}")
-                controls, data = encode_ranks(sent.value[ids], counts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(controls, pa.binary()), pa.array(data, pa.binary()),
-                                                  batch.column(2).slice(a, b - a)], names=["doc_id", "control", "data", "n_tokens"])
+                controls, data = encode_ranks(sent.value[ids], n)
+                ends = before + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part)), pa.array(np.arange(at, at + len(n))), pa.array(ends - n), batch.column(0).slice(a, b - a),
+                     pa.array(controls, pa.binary()), pa.array(data, pa.binary()), pa.array(n)], names=["part", "at", "before", "doc_id", "control", "data", "n_tokens"])
+                at, before = at + len(n), int(ends[-1])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    coded = encoded.mapInArrow(code, f"doc_id {kind}, control binary, data binary, n_tokens long")
-    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "data"]
-    laid = coded.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, before = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            n = batch.column(3).to_numpy(zero_copy_only=False)
-            ends = before + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(np.arange(at, at + len(n))), pa.array(ends - n), *batch.columns],
-                                             names=["part", "at", "before", *batch.schema.names])
-            at, before = at + len(n), int(ends[-1]) if len(n) else before
-
     schema = f"part long, at long, before long, doc_id {kind}, control binary, data binary, n_tokens long"
-    laid.mapInArrow(number, schema).write.option("compression", "zstd").parquet(f"{path}/ids")
+    laid.mapInArrow(code, schema).write.option("compression", "zstd").parquet(f"{path}/ids")
     stored = spark.read.parquet(f"{path}/ids")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
