@@ -4,29 +4,45 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..cluster import cut_lineage
+from ..cluster import cut_lineage, scratch_path
 from ..functions import urls
 
 
+class _Hops:
+    """A table that grows by one folder per hop; earlier hops are read, never written again."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.schema = spark, scratch_path(spark, label), None
+
+    def add(self, rows: DataFrame, hop: int) -> DataFrame:
+        self.schema = self.schema or rows.schema
+        rows.write.parquet(f"{self.path}/hop={hop}")
+        return self.at(hop)
+
+    def at(self, hop: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/hop={hop}")
+
+    def all(self) -> DataFrame:
+        hop = T.StructField("hop", T.IntegerType())
+        return self.spark.read.schema(T.StructType([*self.schema.fields, hop])).option("basePath", self.path).parquet(self.path)
+
+
 def reachable(edges: DataFrame, start: str) -> DataFrame:
-    """Nodes reachable from ``start`` along ``edges`` (src, dst).
+    """Nodes reachable from ``start`` along ``edges`` (src, dst), with the number of hops.
 
-    One keyed join per round; lineage is cut in the shared folder and the loop
-    ends when a round finds nothing new.
+    One keyed join per round, which writes the nodes it finds new and nothing
+    else; the loop ends when a round finds none.
     """
-    links = edges.select("src", "dst").distinct()
-    links = cut_lineage(links)
-    frontier = links.where(F.col("src") == start).select(F.col("dst").alias("node"), F.lit(1).alias("hops")).distinct()
-    visited = frontier = cut_lineage(frontier)
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    visited = _Hops(edges.sparkSession, "reachable")
+    frontier = visited.add(links.where(F.col("src") == start).select(F.col("dst").alias("node")).distinct(), 1)
     for hop in itertools.count(2):
         step = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        fresh = cut_lineage(step.join(visited.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
-        if fresh.isEmpty():
-            return visited
-        visited = cut_lineage(visited.unionByName(fresh))
-        frontier = fresh
+        frontier = visited.add(step.join(visited.all().select("node"), "node", "left_anti"), hop)
+        if frontier.isEmpty():
+            return visited.all().select("node", F.col("hop").alias("hops"))
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
@@ -34,27 +50,39 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
 
     ``edges``: src, dst, seq. Among paths of equal length the one with the
     earliest edges wins, compared edge by edge from the start.
+
+    Forward, each hop writes the nodes it reaches first. Backward from the goal,
+    only nodes on shortest paths are kept. Then the path is walked from the
+    start: of the edges that stay on shortest paths the earliest is taken.
     """
+    spark = edges.sparkSession
     links = cut_lineage(edges.groupBy("src", "dst").agg(F.min("seq").alias("seq")))
-    item = F.struct(F.col("seq"), F.col("src"), F.col("dst"))
-    empty = links.limit(0).select(F.lit(1).alias("step"), "src", "dst", "seq")
+    schema = T.StructType([T.StructField("step", T.IntegerType()), *links.select("src", "dst", "seq").schema.fields])
     if start == goal:
-        return empty
-    frontier = links.where((F.col("src") == start) & (F.col("dst") != start)).select(F.col("dst").alias("node"), F.array(item).alias("path"))
-    frontier = cut_lineage(frontier)
-    visited = frontier.select("node").union(links.sparkSession.createDataFrame([(start,)], "node string"))
-    while True:
-        hit = frontier.where(F.col("node") == goal)
-        if not hit.isEmpty():
-            steps = hit.select(F.posexplode("path").alias("i", "e"))
-            return steps.select((F.col("i") + 1).alias("step"), "e.src", "e.dst", "e.seq")
+        return spark.createDataFrame([], schema)
+    visited = _Hops(spark, "paths")
+    frontier, length = visited.add(spark.createDataFrame([(start,)], "node string"), 0), None
+    for hop in itertools.count(1):
+        step = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        frontier = visited.add(step.join(visited.all().select("node"), "node", "left_anti"), hop)
+        if not frontier.where(F.col("node") == goal).isEmpty():
+            length = hop
+            break
         if frontier.isEmpty():
-            return empty
-        step = links.join(frontier.withColumnRenamed("node", "src"), "src")
-        step = step.select(F.col("dst").alias("node"), F.array_append("path", item).alias("path"))
-        best = step.join(visited, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        frontier = cut_lineage(best)
-        visited = cut_lineage(visited.union(frontier.select("node")))
+            return spark.createDataFrame([], schema)
+    # edges between neighbouring hops that lead on to the goal
+    useful = _Hops(spark, "useful")
+    ahead = spark.createDataFrame([(goal,)], "dst string")
+    for hop in range(length, 0, -1):
+        here = visited.at(hop - 1).select(F.col("node").alias("src"))
+        kept = useful.add(links.join(ahead, "dst", "left_semi").join(here, "src", "left_semi").select("src", "dst", "seq"), hop)
+        ahead = kept.select(F.col("src").alias("dst")).distinct()
+    rows, at = [], start
+    for hop in range(1, length + 1):
+        first = useful.at(hop).where(F.col("src") == at).orderBy("seq", "src", "dst").first()
+        rows.append((hop, first["src"], first["dst"], first["seq"]))
+        at = first["dst"]
+    return spark.createDataFrame(rows, schema)
 
 
 def site_graph(endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
