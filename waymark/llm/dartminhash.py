@@ -135,25 +135,41 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, weigh: str) -> DataFra
 
     # one row carries the text of each node: the one with its smallest id
     slim = docs.select(text_key(F.col("text")).alias("_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), "text")
-    rows = slim.join(wanted, ["_key", "_id"]).select("node", "text")
+    rows = slim.hint("merge").join(wanted, ["_key", "_id"]).select("node", "text")
     return rows.mapInArrow(make, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
+def _private(sets: DataFrame) -> DataFrame:
+    """node, private: how many shingles of a node no other node of ``sets`` has (nodes without one are left out)."""
+    owners = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    return owners.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
+
+
+def _bound(n_one: Column, open_one: Column, n_two: Column, open_two: Column) -> Column:
+    """The most that two sets of n shingles, ``open`` of them not private, can be similar."""
+    common = F.least(open_one, open_two)
+    return common / (n_one + n_two - common)
+
+
 def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS,
                weigh: str = "set") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts, nodes, links) over the distinct texts of ``docs``.
 
-    - texts: _key, doc_id (smallest), n_rows per distinct text.
+    - texts: _key, node, doc_id (smallest), n_rows per distinct text.
     - nodes: _key, node for the texts that share a band with another.
     - links: a, b (nodes), similarity, all at least ``similarity``.
 
-    Not all pairs of a bucket are compared. A bucket has a leader: in even bands
-    the node that shares most bands with others, in odd bands one at random.
-    Members are compared with it; those that are not similar enough choose
-    leaders among themselves, twice as many each time, until none are left. As
-    distance is a metric, what this may miss is a link between a member that a
-    leader holds and one it refused by no more than twice the distance; where
-    those two lie in different components at the end, they are compared as well.
+    Not all pairs of a bucket are compared. A shingle that one node alone has can
+    be common to no pair, so sizes and numbers of such private shingles bound
+    every similarity from above; nodes that cannot reach ``similarity`` with any
+    size present in their bucket leave it unseen. A bucket has a leader, the node
+    that shares most bands with others. Members are compared with it; those that
+    are not similar enough choose leaders among themselves, twice as many each
+    time, until none are left. As distance is a metric, what this may miss is a
+    link between a member that a leader holds and one it refused by no more than
+    twice the distance; where those two lie in different components at the end,
+    they are compared as well.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "near")
@@ -163,72 +179,92 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         return spark.read.parquet(f"{folder}/{name}")
 
     signed = _banded(docs, bands, rows, words, weigh)
-    texts = stored(signed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands")), "texts")
-    banded = texts.select("_key", F.posexplode("bands").alias("band", "h"))
-    shared = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(banded.join(shared, ["band", "h"]), "members")
-    degree = members.groupBy("_key").agg(F.sum("n").alias("degree"))
-    nodes = texts.join(degree, "_key").select("_key", F.coalesce("doc_id", F.lit(-1)).alias("_id"), "degree", F.monotonically_increasing_id().alias("node"))
-    nodes = stored(nodes, "nodes")
+    texts = signed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"))
+    texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    # the number of its band is part of a band's hash
+    banded = texts.select("node", F.explode("bands").alias("h"))
+    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(banded.join(shared, "h"), "members")
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    nodes = stored(texts.join(degree, "node").select("_key", F.coalesce("doc_id", F.lit(-1)).alias("_id"), "degree", "node"), "nodes")
     sets = stored(_sets(docs, nodes.select("_key", "_id", "node"), words, weigh), "sets")
-    sizes = sets.select("node", F.size("shingles").alias("size"))
-    first_rank = F.when(F.col("band") % 2 == 0, F.col("degree").cast("double")).otherwise(F.lit(0.0))
-    left = members.join(nodes.select("_key", "node", "degree"), "_key").select(
-        "band", "h", "node", F.struct(first_rank.alias("d"), F.xxhash64("node", "band").alias("r")).alias("rank"))
-    left = stored(left, "left0")
+    sized = sets.select("node", F.size("shingles").alias("n")).join(_private(sets), "node", "left")
+    sized = sized.select("node", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("open"))
+    # the largest set that this one can be near to
+    sized = sized.withColumn("most", F.col("open") * (1 + 1 / similarity) - F.col("n") + 1e-6).where(F.col("open") >= similarity * F.col("n") - 1e-6)
+    ranked = sized.join(nodes.select("node", "degree"), "node")
+
+    def possible(left: DataFrame) -> DataFrame:
+        """Members for whom sizes in their bucket leave a partner."""
+        reach = left.groupBy("h").agg(F.min("n").alias("_n"), F.max("most").alias("_most"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+        return left.join(reach, "h").where("most >= _n AND n <= _most").select(left.columns)
+
+    left = stored(possible(members.select("h", "node").join(ranked, "node").select("h", "node", "n", "open", "most", "degree")), "left0")
 
     tested, step = None, 0
 
     def compare(pairs: DataFrame, name: int) -> DataFrame:
-        """a, b, similarity of pairs that are not compared yet; sizes too far apart need no look at the sets."""
+        """a, b, similarity of pairs (a, b, both: sizes added, bound) that are not compared yet; a bound that is too low stands for the similarity."""
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        one, two = (sizes.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
-        sized = stored(pairs.join(one, "a").join(two, "b"), f"sized/step={name}")
-        bound = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
-        near = sized.where(bound >= similarity)
+        pairs = stored(pairs, f"sized/step={name}")
+        near = pairs.where(F.col("bound") >= similarity)
         # of the sets only those that this round needs are moved
         here = sets.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node", "left_semi")
         sa, sb = (here.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         common = F.size(F.array_intersect("s_a", "s_b"))
-        exact = near.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity"))
-        far = sized.where(bound < similarity).select("a", "b", bound.alias("similarity"))
+        exact = near.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("both") - common)).alias("similarity"))
+        far = pairs.where(F.col("bound") < similarity).select("a", "b", F.col("bound").alias("similarity"))
         return stored(exact.union(far), f"pairs/step={name}")
 
+    def paired(df: DataFrame, x: str, y: str) -> DataFrame:
+        """a, b, both, bound of the rows that hold n_x, open_x, n_y, open_y."""
+        return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col(f"n_{x}") + F.col(f"n_{y}")).alias("both"),
+                         _bound(*(F.col(f"{v}_{w}") for w in (x, y) for v in ("n", "open"))).alias("bound")).distinct()
+
     def all_steps(name: str) -> DataFrame:
         """The rows of every step so far, as one folder."""
         return spark.read.parquet(f"{folder}/{name}").drop("step")
 
     while True:
-        best = Window.partitionBy("band", "h").orderBy(F.desc("rank"), "node")
+        best = Window.partitionBy("h").orderBy(F.desc("degree"), "node")
         leaders = left.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 1 << step)
-        stars = left.join(leaders.select("band", "h", F.col("node").alias("leader")), ["band", "h"]).where("node <> leader")
-        stars = stored(stars.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")), f"stars{step}")
+        leaders = leaders.select("h", F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("open").alias("open_leader"))
+        stars = left.withColumnRenamed("n", "n_node").withColumnRenamed("open", "open_node").join(leaders, "h").where("node <> leader")
+        stars = stored(stars, f"stars{step}")
         if stars.isEmpty():
             break
-        found = compare(stars.select("a", "b").distinct(), step)
+        compare(paired(stars, "node", "leader"), step)
         tested = all_steps("pairs")
-        judged = stored(stars.join(tested, ["a", "b"]).select("band", "h", "leader", "node", "rank", "similarity"), f"judged/step={step}")
-        rest = judged.groupBy("band", "h", "node", "rank").agg(F.max("similarity").alias("best")).where(F.col("best") < similarity)
-        rest = rest.join(judged.select("band", "h", F.col("leader").alias("node")).distinct(), ["band", "h", "node"], "left_anti")
-        left = stored(rest.select("band", "h", "node", "rank"), f"left{step + 1}")
+        ends = stars.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader"))
+        judged = ends.join(tested, ["a", "b"]).select("h", "leader", "node", F.col("n_node").alias("n"), F.col("open_node").alias("open"), "most", "degree", "similarity")
+        judged = stored(judged, f"judged/step={step}")
+        rest = judged.groupBy("h", "node", "n", "open", "most", "degree").agg(F.max("similarity").alias("best")).where(F.col("best") < similarity)
+        rest = rest.join(judged.select("h", F.col("leader").alias("node")).distinct(), ["h", "node"], "left_anti")
+        left = stored(possible(rest.select("h", "node", "n", "open", "most", "degree")), f"left{step + 1}")
         step += 1
 
     empty = spark.createDataFrame([], "a long, b long, similarity double")
     if tested is None:
         return texts, nodes, empty
     links = tested.where(F.col("similarity") >= similarity)
-    refused = all_steps("judged").select("band", "h", "leader", "node", "similarity")
+    refused = stored(all_steps("judged").where(F.col("similarity") > 2 * similarity - 1).groupBy("leader", "node", "n", "open", "most").agg(
+        F.max("similarity").alias("similarity")), "refused")
     while True:
         # what a leader holds against what it refused by little, across components
         component = connected(links.select("a", "b"))
-        placed = refused.where(F.col("similarity") > 2 * similarity - 1).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("band", "h", "leader").agg(F.min("component").alias("_1"), F.max("component").alias("_2")).where("_1 <> _2")
-        placed = placed.join(split.select("band", "h", "leader"), ["band", "h", "leader"])
-        held = placed.where(F.col("similarity") >= similarity).select("band", "h", "leader", F.col("node").alias("x"), F.col("similarity").alias("s_x"), F.col("component").alias("c_x"))
-        other = placed.where(F.col("similarity") < similarity).select("band", "h", "leader", F.col("node").alias("y"), F.col("similarity").alias("s_y"), F.col("component").alias("c_y"))
-        both = held.join(other, ["band", "h", "leader"]).where((F.col("c_x") != F.col("c_y")) & (F.col("s_x") - F.col("s_y") <= 1 - similarity))
-        found = compare(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), step)
+        placed = refused.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = stored(placed, f"placed{step}")
+        split = placed.groupBy("leader").agg(
+            F.min("component").alias("_1"), F.max("component").alias("_2"), F.min(F.when(F.col("similarity") >= similarity, F.col("n"))).alias("_n"),
+            F.max(F.when(F.col("similarity") >= similarity, F.col("most"))).alias("_most")).where("_1 <> _2")
+        placed = placed.join(split, "leader")
+        held, other = (placed.where(rule).select("leader", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "open", "similarity", "component")))
+                       for x, rule in (("x", F.col("similarity") >= similarity), ("y", (F.col("similarity") < similarity) & F.expr("most >= _n AND n <= _most"))))
+        both = held.join(other, "leader").where(
+            (F.col("component_x") != F.col("component_y")) & (F.col("similarity_x") - F.col("similarity_y") <= 1 - similarity)
+            & (_bound(F.col("n_x"), F.col("open_x"), F.col("n_y"), F.col("open_y")) >= similarity))
+        found = compare(paired(both, "x", "y"), step)
         step += 1
         tested = all_steps("pairs")
         more = found.where(F.col("similarity") >= similarity)
