@@ -204,7 +204,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     tested, step = None, 0
 
     def compare(pairs: DataFrame, name: int) -> DataFrame:
-        """a, b, similarity of pairs (a, b, both: sizes added, bound) that are not compared yet; a bound that is too low stands for the similarity."""
+        """a, b, similarity, common of pairs (a, b, both: sizes added, bound) not compared yet; a bound that is too low stands for the similarity, without common."""
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stored(pairs, f"sized/step={name}")
@@ -213,8 +213,8 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         here = sets.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node", "left_semi")
         sa, sb = (here.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         common = F.size(F.array_intersect("s_a", "s_b"))
-        exact = near.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("both") - common)).alias("similarity"))
-        far = pairs.where(F.col("bound") < similarity).select("a", "b", F.col("bound").alias("similarity"))
+        exact = near.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("both") - common)).alias("similarity"), common.alias("common"))
+        far = pairs.where(F.col("bound") < similarity).select("a", "b", F.col("bound").alias("similarity"), F.lit(None).cast("int"))
         return stored(exact.union(far), f"pairs/step={name}")
 
     def paired(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -237,7 +237,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         compare(paired(stars, "node", "leader"), step)
         tested = all_steps("pairs")
         ends = stars.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader"))
-        judged = ends.join(tested, ["a", "b"]).select("h", "leader", "node", F.col("n_node").alias("n"), F.col("open_node").alias("open"), "most", "degree", "similarity")
+        judged = ends.join(tested, ["a", "b"]).select("h", "leader", "node", F.col("n_node").alias("n"), F.col("open_node").alias("open"), "most", "degree", "similarity", "common")
         judged = stored(judged, f"judged/step={step}")
         rest = judged.groupBy("h", "node", "n", "open", "most", "degree").agg(F.max("similarity").alias("best")).where(F.col("best") < similarity)
         rest = rest.join(judged.select("h", F.col("leader").alias("node")).distinct(), ["h", "node"], "left_anti")
@@ -249,7 +249,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         return texts, nodes, empty
     links = tested.where(F.col("similarity") >= similarity)
     refused = stored(all_steps("judged").where(F.col("similarity") > 2 * similarity - 1).groupBy("leader", "node", "n", "open", "most").agg(
-        F.max("similarity").alias("similarity")), "refused")
+        F.max("similarity").alias("similarity"), F.max("common").alias("common")), "refused")
     while True:
         # what a leader holds against what it refused by little, across components
         component = connected(links.select("a", "b"))
@@ -259,11 +259,14 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
             F.min("component").alias("_1"), F.max("component").alias("_2"), F.min(F.when(F.col("similarity") >= similarity, F.col("n"))).alias("_n"),
             F.max(F.when(F.col("similarity") >= similarity, F.col("most"))).alias("_most")).where("_1 <> _2")
         placed = placed.join(split, "leader")
-        held, other = (placed.where(rule).select("leader", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "open", "similarity", "component")))
+        held, other = (placed.where(rule).select("leader", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "open", "similarity", "common", "component")))
                        for x, rule in (("x", F.col("similarity") >= similarity), ("y", (F.col("similarity") < similarity) & F.expr("most >= _n AND n <= _most"))))
+        # two sets have in common what both share with the leader, at most, and of the rest what is not private
+        beside = F.least("common_x", "common_y") + F.least(F.expr("open_x - common_x"), F.expr("open_y - common_y"))
+        most_common = F.least("open_x", "open_y", beside)
         both = held.join(other, "leader").where(
             (F.col("component_x") != F.col("component_y")) & (F.col("similarity_x") - F.col("similarity_y") <= 1 - similarity)
-            & (_bound(F.col("n_x"), F.col("open_x"), F.col("n_y"), F.col("open_y")) >= similarity))
+            & (most_common / (F.col("n_x") + F.col("n_y") - most_common) >= similarity))
         found = compare(paired(both, "x", "y"), step)
         step += 1
         tested = all_steps("pairs")
