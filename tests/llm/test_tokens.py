@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -95,3 +96,21 @@ def test_token_file_edges(spark, library):
     empty = scratch_path(spark, "test-tokens")
     tokenfiles.write_files(edge(spark, []), empty, PATH)
     assert tokenfiles.read_files(spark, empty).count() == 0
+
+
+def test_prefix_counts_of_text_that_normalising_changes():
+    path = queries.WORD_BPE
+    counter, library = tokencount.PrefixCounter(path), vocabulary.load(path)
+    r = random.Random(9)
+    signs = ["é", "ä", "ñ", "ß", "İ", "Σ", "th", "ing", "x", "'", "s", "'ll", ".", "!́", "7", "각",
+             "ऩ", "̈́", "Å", "ệ", "́", "[UNK]", "</s>", "<|endoftext|>", "\U0001d15e"]
+    for _ in range(150):
+        text = "".join(r.choice(signs) for _ in range(r.randrange(1, 14)))
+        counts = np.frombuffer(counter.chunk(text), np.uint32).tolist()
+        assert counts == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1)], ascii(text)
+    long = "".join(r.choice(signs[:9]) for _ in range(12_000))
+    begin = time.perf_counter()
+    counts = np.frombuffer(counter.chunk(long), np.uint32).tolist()
+    assert time.perf_counter() - begin < 10
+    for i in [*r.sample(range(1, len(long)), 12), len(long)]:
+        assert counts[i - 1] == len(library.encode(long[:i], add_special_tokens=False).ids)

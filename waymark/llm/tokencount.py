@@ -46,6 +46,7 @@ class PrefixCounter:
             for i in range(1, len(body)):
                 self._starts.setdefault(body[:i], 0)
             self._starts[body] = self._starts.get(body, 0) | bit
+        self._longest = max(map(len, self._starts))
         tokenizer = load(path)
         self._normal = tokenizer.normalizer.normalize_str
         self._special = regex.compile("|".join(regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
@@ -79,14 +80,16 @@ class PrefixCounter:
             self._pairs[key] = fits
         return fits
 
-    def _steps(self, symbols: str) -> list[int]:
-        """Tokens of every non-empty prefix of a word of byte letters, each as a finished word.
+    def _walk(self, symbols: str, last: list, count: list[int]) -> tuple[list, list[int], list[int]]:
+        """(last token, tokens, tokens as a finished word) of every prefix of a word of byte letters.
 
-        Tokens are tried from where they begin, as long as some token goes on.
+        ``last`` and ``count`` hold what is known of the first prefixes and end
+        where the walk has to go on. Tokens are tried from where they begin, as
+        long as some token goes on.
         """
         size, starts, pairs, fits = len(symbols), self._starts, self._pairs, self._fits
-        last: list = [None] * (size + 1)
-        count, finished = [0] * (size + 1), [0] * (size + 1)
+        known_to = len(last)
+        last, count, finished = last + [None] * (size + 1 - known_to), count + [0] * (size + 1 - known_to), [0] * (size + 1)
         for j in range(size):
             left, n = last[j], count[j] + 1
             for i in range(j + 1, size + 1):
@@ -100,15 +103,18 @@ class PrefixCounter:
                     token += END
                     if left is None or (fits(left, token) if (known := pairs.get((left, token))) is None else known):
                         finished[i] = n
-        return finished[1:]
+        return last, count, finished
+
+    def _octets(self, text: str) -> str:
+        return "".join([self._letters[b] for b in text.encode()])
 
     def word(self, piece: str) -> tuple[bytes, int]:
         """(counts after each character as unsigned 32-bit numbers, count of the whole) of one normalised piece."""
         known = self._words.get(piece)
         if known is None:
-            octets = piece.encode()
-            steps = self._steps("".join([self._letters[b] for b in octets]))
-            if len(octets) != len(piece):
+            symbols = self._octets(piece)
+            steps = self._walk(symbols, [None], [0])[2][1:]
+            if len(symbols) != len(piece):
                 steps = [steps[i - 1] for i in np.cumsum([len(c.encode()) for c in piece]).tolist()]
             known = np.array(steps, dtype=np.uint32).tobytes(), steps[-1]
             if len(self._words) < REMEMBERED:
@@ -146,25 +152,90 @@ class PrefixCounter:
 
         Prefixes of composed text are composed, so pieces come from the whole and
         a cut only shortens the last one. Text that composing or lower-casing
-        makes longer or shorter is counted prefix by prefix.
+        makes longer or shorter takes ``_changed``.
         """
         low = "".join([c.lower() for c in text])
         if len(low) != len(text) or not unicodedata.is_normalized("NFC", text):
-            return np.array([self._pieces(self._normal(text[:i])) for i in range(1, len(text) + 1)], dtype=np.int64)
-        counts, base, at = np.zeros(len(text), dtype=np.int64), 0, 0
-        for found in PIECES.finditer(low):
-            start, end, piece = found.start(), found.end(), found.group()
-            counts[at:start] = base
-            steps, whole = self.word(piece)
-            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # a cut contraction is a sign and letters
-                counts[start:end] = [base + self._pieces(piece[:i]) for i in range(1, len(piece))] + [base + whole]
+            return self._changed(text)
+        return self._pieces_at_every_place(low)
+
+    def _changed(self, text: str) -> np.ndarray:
+        """Counts after each character of a text that normalising changes.
+
+        The text is cut where composing cannot reach across. Its normal form is
+        that of the parts, one after the other, and a prefix that ends inside a
+        part differs from the normal form in that part only.
+        """
+        cuts = [i for i in range(len(text)) if i == 0 or _closed(text[i])] + [len(text)]
+        parts = [(a, b, self._normal(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+        low = "".join([p for _, _, p in parts])
+        whole = np.concatenate([[0], self._pieces_at_every_place(low)])
+        found = [(m.start(), m.end()) for m in PIECES.finditer(low)]
+        counts, done, k = np.zeros(len(text), dtype=np.int64), 0, 0
+        walk: tuple | None = None
+        for a, b, part in parts:
+            while k < len(found) and found[k][1] < done:
+                k, walk = k + 1, None
+            for i in range(a + 1, b):
+                tail = self._normal(text[a:i])
+                start, end = found[k] if k < len(found) else (done, done)
+                quoted = start > 0 and low[start - 1] == "'"
+                if not (start < done <= end):
+                    counts[i - 1] = whole[done] + self._pieces(tail)
+                elif low[start:end].isalpha() and tail.isalpha() and (done - start > 1 or not quoted):
+                    if walk is None:
+                        symbols = self._octets(low[start:end])
+                        walk = symbols, self._walk(symbols, [None], [0]), np.cumsum([0] + [len(c.encode()) for c in low[start:end]])
+                    counts[i - 1] = whole[start] + self._branch(walk[0], walk[1], int(walk[2][done - start]), self._octets(tail))
+                else:
+                    # signs before a letter, contractions: the run of letters or signs is counted again
+                    from_ = found[k - 1][0] if quoted else start
+                    counts[i - 1] = whole[from_] + self._pieces(low[from_:done] + tail)
+            done += len(part)
+            counts[b - 1] = whole[done]
+        return counts
+
+    def _pieces_at_every_place(self, low: str) -> np.ndarray:
+        """Counts after each character of a normalised text."""
+        counts, base, at = np.zeros(len(low), dtype=np.int64), 0, 0
+        for m in PIECES.finditer(low):
+            counts[at:m.start()] = base
+            piece, (steps, n) = m.group(), self.word(m.group())
+            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
+                counts[m.start():m.end()] = [base + self._pieces(piece[:i]) for i in range(1, len(piece))] + [base + n]
             else:
-                counts[start:end] = np.frombuffer(steps, np.uint32)
-                counts[start:end] += base
-            base, at = base + whole, end
+                counts[m.start():m.end()] = np.frombuffer(steps, np.uint32)
+                counts[m.start():m.end()] += base
+            base, at = base + n, m.end()
         counts[at:] = base
         return counts
 
+    def _branch(self, symbols: str, walked: tuple, at: int, tail: str) -> int:
+        """Tokens of the finished word of the first ``at`` symbols and a tail; only tokens that reach into the tail are tried."""
+        if not tail:
+            return walked[2][at]
+        first = max(0, at - self._longest)
+        last, count, _ = walked
+        return self._walk(symbols[first:at] + tail, last[first:at + 1], count[first:at + 1])[2][-1]
+
+
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Starters that can compose with the character before them."""
+    seconds = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(chr(int(parts[1], 16)))
+    return frozenset(seconds)
+
+
+@lru_cache(maxsize=4096)
+def _closed(c: str) -> bool:
+    """Whether no composing reaches across the place before this character."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.combining(first) == 0 and first not in _joining()
+
 
 class Chunks(dict):
     """Chunk -> its counts, filled on demand up to a bound."""
