@@ -50,16 +50,16 @@ def called(calls: DataFrame) -> DataFrame:
     return sightings(calls.withColumn("url", F.col("full_url")), 2, "s_js", method=F.col("method"), tags=F.array("tag"), parameters=named)
 
 
-def documented(docs: DataFrame, base_url: Column | None = None) -> DataFrame:
+def documented(docs: DataFrame, base_url: Column | None = None, key: list[str] | None = None) -> DataFrame:
     """Operations of API documents under ``base_url`` (the document's own origin when not given)."""
-    parsed = apispec.parse(docs)
-    ops, params = apispec.flatten_openapi(docs)
+    parsed = apispec.parse(docs, key=key)
+    ops, params = apispec.flatten_openapi(docs, key)
     item = F.struct("name", "location", "param_type", "required")
-    nested = params.groupBy("url", "path", "method").agg(F.sort_array(F.collect_list(item)).alias("parameters"))
-    media = apispec.media_types(parsed).groupBy("url", "path", "method").agg(F.collect_set(
+    nested = params.groupBy("did", "path", "method").agg(F.sort_array(F.collect_list(item)).alias("parameters"))
+    media = apispec.media_types(parsed).groupBy("did", "path", "method").agg(F.collect_set(
         F.when(F.col("media").contains("json"), "json_body").when(F.col("media").contains("xml"), "xml_body")
         .when(F.col("media").contains("form") | F.col("media").contains("multipart"), "form_body")).alias("body_tags"))
-    rows = ops.join(nested, ["url", "path", "method"], "left").join(media, ["url", "path", "method"], "left")
+    rows = ops.join(nested, ["did", "path", "method"], "left").join(media, ["did", "path", "method"], "left")
     origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1) if base_url is None else F.regexp_replace(base_url, "/+$", "")
     auth = F.when(F.size("auth_schemes") > 0, F.concat(F.lit("auth:"), F.array_join("auth_schemes", ",")))
     tags = F.array_compact(F.concat(F.array(F.lit("openapi"), auth), F.coalesce("body_tags", F.array().cast("array<string>"))))

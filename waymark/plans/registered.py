@@ -54,7 +54,7 @@ def producers(spark, sf):
     """The sightings of every producer."""
     return (
         R.recorded(views.observations(spark, sf)), R.linked(extract.links(E.pages(spark, sf))), R.called(E.analysed(spark, sf)),
-        R.documented(views.table(spark, sf, "spec")), R.listed(views.table(spark, sf, "passive_url")), R.profiled(parsed(spark, sf)),
+        R.documented(views.table(spark, sf, "spec"), key=["page_id"]), R.listed(views.table(spark, sf, "passive_url")), R.profiled(parsed(spark, sf)),
     )
 
 
