@@ -38,3 +38,19 @@ def test_flow_example(spark):
         "crawl_id int, auth_role string, ts long, id long, request_method string, request_url string, response_status int, response_headers map<string,string>, response_url_final string")
     got = flows.flows(flows.flow_steps(txn, block_rows=2)).collect()
     assert [(r.steps, r.name, r.has_side_effects) for r in got] == [(3, "checkout_flow", False)]
+
+
+def test_request_keys_tell_bodies_apart_that_share_a_short_digest(spark):
+    """The first eight digits of the digests of the two bodies are equal."""
+    import hashlib
+
+    from waymark.functions import urls
+
+    seen, i = {}, 0
+    while (short := hashlib.sha256(f"user=u{i}".encode()).hexdigest()[:8]) not in seen:
+        seen[short], i = i, i + 1
+    rows = [("POST", "http://a/r?", f"user=u{n}", "user") for n in (seen[short], i, i)]
+    t = spark.createDataFrame(rows, "method string, url string, body string, role string")
+    columns = [F.col(c) for c in ("url", "method", "body", "role")]
+    assert t.select(urls.request_fingerprint(*columns)).distinct().count() == 1
+    assert t.select(urls.request_key(*columns)).distinct().count() == 2

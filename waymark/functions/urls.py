@@ -148,6 +148,12 @@ def slot_types(url: Column) -> Column:
     )
 
 
+def request_key(url: Column, method: Column, body: Column, role: Column) -> Column:
+    """SHA-256 of method, normalised URL, whole body and role: unlike the short fingerprint, it is told apart at any number of requests."""
+    none = F.lit("")
+    return F.sha2(F.concat_ws("|", F.upper(method), normalize(url), F.coalesce(body, none), F.coalesce(role, none)), 256)
+
+
 def request_fingerprint(url: Column, method: Column, body: Column, role: Column) -> Column:
     """SHA-256 prefix of METHOD|url[|body hash][|@role]."""
     verb = F.upper(method)

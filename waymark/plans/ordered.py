@@ -44,8 +44,8 @@ UNION ALL SELECT id, 'content' FROM txn QUALIFY row_number() OVER (PARTITION BY
 def win_03(spark, sf):
     c = F.col
     txn = views.transactions(spark, sf)
-    fp = U.request_fingerprint(c("request_url"), c("request_method"), c("request_body"), c("auth_role"))
-    by_request = frontier.first_arrivals(txn.select("id", "ts", fp.alias("key")), "key")
+    key = U.request_key(c("request_url"), c("request_method"), c("request_body"), c("auth_role"))
+    by_request = frontier.first_arrivals(txn.select("id", "ts", key.alias("key")), "key")
     by_content = frontier.first_arrivals(txn.select("id", "ts", c("content_hash").alias("key")), "key")
     return by_request.select("id", F.lit("request").alias("kind")).union(by_content.select("id", F.lit("content")))
 
