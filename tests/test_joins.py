@@ -67,6 +67,18 @@ def test_no_body_is_shuffled_and_a_hot_url_stays_spread(spark):
     assert out.where("url = '/hot'").count() == 300
 
 
+def test_many_asked_values_meet_the_bodies_in_one_join(spark):
+    """Beyond the bytes that are sent, nothing goes through the driver and each body is read once, not once per block."""
+    txn = spark.range(2_000).select(F.concat(F.lit("/u"), F.col("id") % 100).alias("request_url"), F.concat(F.lit("page with item-"), F.col("id"), F.lit(" end")).alias("response_body"))
+    params = spark.range(3_000).select(F.concat(F.lit("/u"), F.when(F.col("id") < 2_500, 7).otherwise(F.col("id") % 100)).alias("url"), F.concat(F.lit("p"), "id").alias("name"),
+                                       F.lit("query").alias("location"), F.array(F.concat(F.lit("item-"), F.col("id") % 2_000, F.lit(" "))).alias("sample_values"))
+    out = surface.reflected_parameters(params, txn, block_bytes=1_000)
+    want = {(f"/u{u}", f"p{i}", "query") for i in range(3_000) for u in [7 if i < 2_500 else i % 100] if i % 2_000 % 100 == u}
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 500
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 2000") == 2  # one exchange of the bodies serves both branches
+
+
 def test_needed_literals_hold_for_every_match():
     patterns = [p for _, _, p, _ in tech.BODIES]
     assert sum(bool(fingerprint.needed_literals(p)) for p in patterns) >= len(patterns) - 3
