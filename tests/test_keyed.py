@@ -119,3 +119,23 @@ def test_sketch_error_bound(spark):
                                       F.lit(None).cast("string").alias("structure"), F.lit("").alias("role"))
     estimate = coverage.sketch_estimate(coverage.coverage_sketches(rows, ["crawl_id"])).first()["coverage_estimate"]
     assert abs(estimate - 20_000) <= 0.05 * 20_000
+
+
+def test_filters_are_made_and_read_in_little_memory():
+    import tracemalloc
+
+    hashes = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, keyed.FILE_ROWS)
+    tracemalloc.start()
+    held = keyed.bloom(hashes)
+    assert keyed.may_hold(held, np.tile(hashes, 4)).all()
+    assert tracemalloc.get_traced_memory()[1] < 64_000_000
+    tracemalloc.stop()
+
+
+def test_a_bucket_of_many_files_is_merged_by_batches_not_by_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "FILE_ROWS", 10)
+    table = upserts(spark, str(tmp_path / "t"), buckets=1, most=3)
+    for batch in range(4):
+        table.put(spark.range(batch * 50, batch * 50 + 50).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("g"), F.col("id").alias("v")), batch)
+        assert {r["batch"] for r in table._live()} == (set(range(batch + 1)) if batch < 3 else {3})
+    assert table.read().count() == 200

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 BLOOM_BITS, BLOOM_PROBES = 24, 8
 LIVE = "batch int, bucket int, name string, n long, low string, high string"
 #: Rows per file, which bounds the keys that one Bloom filter is made of.
-FILE_ROWS = 2_000_000
+FILE_ROWS = 250_000
+#: Hashes whose bit numbers are in memory at once.
+AT_ONCE = 65_536
 
 
 def _places(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -31,15 +33,19 @@ def _places(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def bloom(hashes: np.ndarray) -> bytes:
     bits = np.zeros(max(64, len(hashes) * BLOOM_BITS), dtype=bool)
-    bits[_places(hashes, len(bits)).ravel()] = True
+    for start in range(0, len(hashes), AT_ONCE):
+        bits[_places(hashes[start:start + AT_ONCE], len(bits)).ravel()] = True
     return len(bits).to_bytes(8, "little") + np.packbits(bits).tobytes()
 
 
 def may_hold(filter_: bytes, hashes: np.ndarray) -> np.ndarray:
     size = int.from_bytes(filter_[:8], "little")
-    places = _places(hashes, size)
     packed = np.frombuffer(filter_, np.uint8, offset=8)
-    return ((packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=1)
+    found = np.ones(len(hashes), dtype=bool)
+    for start in range(0, len(hashes), AT_ONCE):
+        places = _places(hashes[start:start + AT_ONCE], size)
+        found[start:start + AT_ONCE] = ((packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=1)
+    return found
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -73,7 +79,7 @@ class KeyedTable:
 
     ``buckets`` stays as it was at the first batch. A bucket of a batch is
     written by one task, so choose it for the size of a large batch. A bucket
-    with ``most`` live files is merged.
+    with live files of ``most`` batches is merged.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType | None = None, buckets: int = 8, most: int = 8):
@@ -144,10 +150,10 @@ class KeyedTable:
         if any(b > batch for b in batches(self.spark, f"{self.path}/live")):
             raise ValueError(f"batch {batch} has a later one; only the last can be run again")
         live = self._live(batch)
-        count: dict[int, int] = {}
+        count: dict[int, set] = {}
         for r in live:
-            count[r["bucket"]] = count.get(r["bucket"], 0) + 1
-        full = {b for b, n in count.items() if n >= self.most}
+            count.setdefault(r["bucket"], set()).add(r["batch"])
+        full = {b for b, of in count.items() if len(of) >= self.most}
         new = self._hashed(rows.select(*self.columns)).withColumn("_batch", F.lit(batch))
         if full:
             old = self._rows([r for r in live if r["bucket"] in full])
