@@ -139,3 +139,20 @@ def test_a_bucket_of_many_files_is_merged_by_batches_not_by_files(spark, tmp_pat
         table.put(spark.range(batch * 50, batch * 50 + 50).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("g"), F.col("id").alias("v")), batch)
         assert {r["batch"] for r in table._live()} == (set(range(batch + 1)) if batch < 3 else {3})
     assert table.read().count() == 200
+
+
+def test_a_hot_host_gets_more_files(spark, tmp_path, monkeypatch):
+    from waymark.sinks import writers
+
+    monkeypatch.setattr(writers, "HOST_FILE_ROWS", 10)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    rows = spark.range(600).select(F.col("id").cast("string").alias("id"), F.timestamp_seconds("id").alias("timestamp"),
+                                   F.when(F.col("id") < 590, "https://hot.io/a").otherwise("https://cold.io/").alias("request_url"))
+    writers.append_transactions(rows, str(tmp_path / "t"), 0)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    files = spark.read.parquet(str(tmp_path / "t/batch=0")).groupBy("host", F.input_file_name().alias("f")).count().collect()
+    tasks = {r["f"].split("part-")[1][:5] for r in files if r["host"] == "hot.io"}
+    assert len(tasks) > writers.FILES_PER_HOST and sum(r["count"] for r in files) == 600

@@ -18,6 +18,8 @@ OPENAPI_TYPES = {
 OPENAPI_LOCATIONS = ["query", "header", "cookie", "path"]
 WITH_BODY = ["POST", "PUT", "PATCH"]
 FILES_PER_HOST = 8
+#: Rows of a host beyond which it gets more files; each is written by one task.
+HOST_FILE_ROWS = 50_000
 
 
 # ---- Transactions and entities -----------------------------------------
@@ -39,8 +41,13 @@ def append_transactions(rows: DataFrame, path: str, batch: int | None = None) ->
     fresh = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     stored = ids.lookup(fresh, batch)
     fresh = by_host(fresh.join(stored.select("id"), "id", "left_anti").select(*rows.columns), "request_url")
-    # the rows of a host meet in few files; a hot host is dealt out by id
-    dealt = fresh.repartition("host", F.pmod(F.xxhash64("id"), F.lit(FILES_PER_HOST)))
+    # the rows of a host meet in few files; a hot host is dealt out by id, the more the larger it is
+    sizes = by_host(rows.select("request_url"), "request_url").groupBy("host").agg(F.ceil(F.count("*") / HOST_FILE_ROWS).alias("files"))
+    hot = sizes.where(F.col("files") > FILES_PER_HOST).collect()  # one row per FILES_PER_HOST x HOST_FILE_ROWS rows of the batch at most
+    files = F.lit(FILES_PER_HOST).cast("long")
+    if hot:
+        files = F.coalesce(F.create_map(*[F.lit(x) for r in hot for x in (r["host"], r["files"])])[F.col("host")], files)
+    dealt = fresh.repartition("host", F.pmod(F.xxhash64("id"), files))
     target = f"{path}/batch={batch}"
     dealt.write.mode("overwrite").partitionBy("host").parquet(target)
     written = spark.read.schema(rows.select("id", "timestamp").schema).parquet(target)
