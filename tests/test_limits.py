@@ -84,3 +84,17 @@ def test_beta_draws_have_the_right_quantiles(spark):
         got = np.array([r["q"] for r in rows.collect()])
         want = np.quantile(np.random.default_rng(1).beta(a, b, 200_000), np.arange(1, 2000) / 2000)
         assert np.abs(got - want).max() < 0.02 and abs(got.mean() - a / (a + b)) < 0.004
+
+
+def test_saved_reports_are_read_alone_and_in_lists_and_opened_once(spark, tmp_path):
+    from waymark import sources
+
+    def report(i):
+        return {"target": f"t{i}", "endpoints": [{"url": f"u{i}", "method": "GET"}], "secrets": [{"kind": "token", "value": f"v{i}", "source_url": "s"}], "risk_summary": {"score": 5.0}}
+
+    (tmp_path / "one.json").write_text(json.dumps(report(0), indent=2))
+    (tmp_path / "list.json").write_text(json.dumps([report(i) for i in range(1, 150)]))
+    tables = sources.read_report_documents(spark, str(tmp_path))
+    (tmp_path / "one.json").unlink(), (tmp_path / "list.json").unlink()
+    assert {r["url"] for r in tables["endpoints"].collect()} == {f"u{i}" for i in range(150)}
+    assert tables["secrets"].count() == tables["risk_summary"].count() == 150

@@ -102,13 +102,16 @@ def src_08(spark, sf):
     return m.select("id", "request_url", "total_requests", F.size("api_calls").alias("api_calls"), F.size("js_errors").alias("js_errors"), F.col("security_headers.csp").alias("csp"))
 
 
+REPORTS_PER_FILE = 100
+
+
 def report_doc(spark, sf):
     """One saved report per page: a small document with its own entities."""
     pages = views.base(spark, sf, "pages")
     ep = F.struct(F.col("url"), F.lit("GET").alias("method"), F.array(F.lit("wayback")).alias("tags"))
     sec = F.struct(F.lit("token").alias("kind"), F.concat(F.lit("value-"), "page_id").alias("value"), F.col("url").alias("source_url"))
     return pages.select(
-        F.col("url").alias("target"), F.array(ep, ep).alias("endpoints"), F.array(sec).alias("secrets"),
+        "page_id", F.col("url").alias("target"), F.array(ep, ep).alias("endpoints"), F.array(sec).alias("secrets"),
         F.struct(F.lit(2).alias("total_endpoints"), F.lit(5.0).alias("score")).alias("risk_summary"),
     )
 
@@ -117,7 +120,10 @@ def report_doc(spark, sf):
 UNION ALL SELECT 'secret', 'value-' || page_id FROM pages UNION ALL SELECT 'score', url || ' 5.0' FROM pages""")
 def src_09(spark, sf):
     path = scratch_path(spark, "reports")
-    report_doc(spark, sf).repartition(8).write.option("maxRecordsPerFile", 1).json(path)
+    # files that hold a list of reports each, since a file per report costs more to create than to write
+    docs = report_doc(spark, sf)
+    lists = docs.groupBy((F.col("page_id") / REPORTS_PER_FILE).cast("long")).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     t = sources.read_report_documents(spark, path)
     out = t["endpoints"].select(F.lit("endpoint").alias("entity"), F.concat_ws(" ", "method", "url").alias("key"))
     out = out.union(t["secrets"].select(F.lit("secret"), "value"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema
+from ..cluster import cut_lineage
 
 
 def text_of(body: Column) -> Column:
@@ -99,9 +100,13 @@ def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def read_report_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Entity tables of reports saved as one JSON document each."""
+    """Entity tables of reports saved as JSON documents: each file holds one report or a list of them.
+
+    The documents are opened once for all tables: many small files cost more
+    to open than to read.
+    """
     names = ["endpoints", "input_vectors", "auth_boundaries", "tech_stack", "api_schemas", "secrets"]
-    doc = spark.read.schema(schema.REPORT).option("multiLine", True).json(path)
+    doc = cut_lineage(spark.read.schema(schema.REPORT).option("multiLine", True).json(path))
     tables = {n: doc.select(F.inline(n)) for n in names}
     tables["risk_summary"] = doc.select("target", "risk_summary.*")
     return tables
