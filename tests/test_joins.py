@@ -97,3 +97,28 @@ def test_needed_literals_hold_for_every_match():
 ])
 def test_needed_literals(pattern, texts):
     assert fingerprint.needed_literals(pattern) == texts
+
+
+def test_a_page_served_often_is_searched_once(spark):
+    """Page regexes run on one response per body, none of them a soft 404, and URL hits count every response that is none."""
+    page = '<meta name="generator" content="WordPress 6.4"> page number '
+    rows = [(f"r{i}", i, f"/wp-admin/{i % 2}" if i % 3 else "/x", 200 if i % 4 else 500, "text/html", page + "abc"[min(i // 4, 2)]) for i in range(20)]
+    rows += [("short", 1, "/WP-ADMIN/", 200, "text/html", "<html>"), ("json", 2, "/node/7", 200, "application/json", page), ("none", 3, "/wp-json/", 200, "text/html", None)]
+    txn = spark.createDataFrame(rows, "id string, t long, request_url string, response_status int, response_content_type string, response_body string")
+    txn = txn.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    groups = fingerprint._body_groups(txn)
+    assert sorted(r["id"] for r in fingerprint._pages(txn, groups).collect()) == ["r1", "r5"]  # a and b; c is served 12 times
+    hits = {(r["component"], r["detail"]): (r["hits"], r["first_seen"]["id"]) for r in fingerprint.page_matches(txn, scripts=[], bodies=[]).collect()}
+    assert hits == {("wordpress", 'generator="WordPress 6.4"'): (2, "r1")}
+    found = fingerprint.url_path_matches(txn).collect()
+    good = [r for r in rows if r[3] == 200 and not (r[5] or "").endswith("c")]
+    assert {(r["detail"], r["hits"]) for r in found} == {("/node/7", 1), ("/WP-ADMIN/", 1), ("/wp-json/", 1)} | {(u, sum(r[2] == u for r in good)) for u in {r[2] for r in good if r[2].startswith("/wp-admin")}}
+
+
+def test_urls_that_no_pattern_needs_are_left_out_before_their_body_is_hashed(spark):
+    urls = ["/wp-admin/", "/NODE/12", "/Customer/Account", "/actuator", "/a/b?populate=1", "/api/x?populate=1", "/plain", "/pmaX", "", None]
+    patterns = [s[2] for s in tech.URL_PATHS]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    kept = {r["u"] for r in df.where(fingerprint._may_match("u", patterns)).collect()}
+    assert kept >= {u for u in urls if u and any(re.search(p, u) for p in patterns)} and not kept & {"/plain", "", None}
+    assert df.where(fingerprint._may_match("u", [])).count() == 0
