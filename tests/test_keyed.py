@@ -156,3 +156,25 @@ def test_a_hot_host_gets_more_files(spark, tmp_path, monkeypatch):
     files = spark.read.parquet(str(tmp_path / "t/batch=0")).groupBy("host", F.input_file_name().alias("f")).count().collect()
     tasks = {r["f"].split("part-")[1][:5] for r in files if r["host"] == "hot.io"}
     assert len(tasks) > writers.FILES_PER_HOST and sum(r["count"] for r in files) == 600
+
+
+def test_producers_without_parameters_are_read_once(spark):
+    """Only rows that may hold parameters take part in the second pass over the sightings of a batch."""
+    from waymark.operators import registry
+
+    asked = spark.createDataFrame([("https://a.example.com/x?y=1", "otx", "200")], "url string, tag string, status string")
+    calls = spark.createDataFrame([("https://a.example.com/x?y=1", "POST", "fetch", [("b", "body")])],
+                                  "full_url string, method string, tag string, parameters array<struct<name:string,location:string>>")
+    telemetry = spark.createDataFrame([([("GET", "https://a.example.com/api", 200, "application/json"), None],), ([],), (None,)],
+                                      "api_calls array<struct<method:string,url:string,status_code:int,mime_type:string>>")
+    rows = registry.listed(asked).unionByName(registry.called(calls)).unionByName(registry.profiled(telemetry))
+    out = registry.merged(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("s_feeds") == 1
+    got = {(r["method"], r["url"]): (r["tags"], [p["name"] for p in r["parameters"]]) for r in out.collect()}
+    assert got == {("GET", "https://a.example.com/x?y=1"): (["otx"], []), ("POST", "https://a.example.com/x?y=1"): (["fetch"], ["b"]),
+                   ("GET", "https://a.example.com/api"): (["browser"], []), ("GET", None): (["browser"], [])}
+    # the document is parsed for the list of calls alone, not once more for a filter on it
+    text = spark.createDataFrame([('{"api_calls":[{"url":"u"}]}',)], "metrics_json string")
+    from waymark import sources
+    plan = registry.profiled(sources.parse_telemetry(text))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1

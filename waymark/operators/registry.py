@@ -74,7 +74,8 @@ def listed(feeds: DataFrame) -> DataFrame:
 
 def profiled(telemetry: DataFrame) -> DataFrame:
     """API calls that pages made in a browser."""
-    calls = telemetry.select(F.explode("api_calls").alias("c")).select("c.*")
+    # an inner explode would add a filter on the list, for which the whole document is parsed twice more
+    calls = telemetry.select(F.posexplode_outer("api_calls").alias("at", "c")).where("at IS NOT NULL").select("c.*")
     return sightings(calls, 5, "s_browser", method=F.coalesce("method", F.lit("GET")), status_code=F.coalesce("status_code", F.lit(0)),
                      content_type=F.coalesce("mime_type", F.lit("")), tags=F.array(F.lit("browser")))
 
@@ -87,12 +88,12 @@ def merged(rows: DataFrame) -> DataFrame:
     the endpoint asks for a login, comes from the first sighting. Columns that
     end in ``_seq`` say where a value came from.
     """
+    # asked before anything is made of the list: a producer that never has parameters then drops out of their pass when it is planned
+    holding = rows.where(F.size("parameters") > 0)
     if "page_seq" not in rows.columns:
-        rows = rows.withColumns({
-            "page_seq": F.when(F.col("page_type") != "", F.col("seq")), "status_seq": F.when(F.col("status_code") != 0, F.col("seq")),
-            "parameters": F.transform("parameters", lambda p: F.struct(p["name"].alias("name"), F.col("seq").alias("seq"), p["location"].alias("location"),
-                                                                     p["param_type"].alias("param_type"), p["required"].alias("required"))),
-        })
+        rows = rows.withColumns({"page_seq": F.when(F.col("page_type") != "", F.col("seq")), "status_seq": F.when(F.col("status_code") != 0, F.col("seq"))})
+        holding = holding.withColumn("parameters", F.transform("parameters", lambda p: F.struct(
+            p["name"].alias("name"), F.col("seq").alias("seq"), p["location"].alias("location"), p["param_type"].alias("param_type"), p["required"].alias("required"))))
     first = F.min_by(F.struct("source_module", "content_type", "depth", "requires_auth"), "seq").alias("f")
     one = rows.groupBy(*KEYS).agg(
         F.min("seq").alias("seq"), first, F.coalesce(F.min_by("page_type", "page_seq"), F.lit("")).alias("page_type"), F.min("page_seq").alias("page_seq"),
@@ -100,7 +101,7 @@ def merged(rows: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
     )
     # parameters as rows, so that a URL seen very often gathers no long list
-    named = rows.select(*KEYS, F.explode("parameters").alias("p")).groupBy(*KEYS, F.col("p.name").alias("name")).agg(F.min(F.struct("p.seq", "p.location", "p.param_type", "p.required")).alias("v"))
+    named = holding.select(*KEYS, F.explode("parameters").alias("p")).groupBy(*KEYS, F.col("p.name").alias("name")).agg(F.min(F.struct("p.seq", "p.location", "p.param_type", "p.required")).alias("v"))
     lists = named.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("name", "v.*"))).alias("parameters"))
     empty = F.array().cast(lists.schema["parameters"].dataType)
     out = one.join(lists, KEYS, "left").withColumn("parameters", F.coalesce("parameters", empty))

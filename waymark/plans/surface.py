@@ -8,6 +8,7 @@ from ..cluster import stored
 from ..functions import classify as C, urls as U
 from ..operators import access, filters, scripts, surface
 from . import fingerprint as fpq, sqlkit as q, views
+from .extract import logged_scripts
 from .registry import query
 from .scalar import RISK_ROWS, _HINT, _RISK
 
@@ -102,7 +103,7 @@ def secured(spark, sf):
 
 @entity
 def script_secrets(spark, sf):
-    found = scripts.secrets(scripts.script_table(views.transactions(spark, sf)))
+    found = scripts.secrets(logged_scripts(spark, sf))
     return found.withColumn("seq", F.struct("source_url", "kind"))
 
 
