@@ -169,7 +169,7 @@ def test_producers_without_parameters_are_read_once(spark):
                                       "api_calls array<struct<method:string,url:string,status_code:int,mime_type:string>>")
     rows = registry.listed(asked).unionByName(registry.called(calls)).unionByName(registry.profiled(telemetry))
     out = registry.merged(rows)
-    assert out._jdf.queryExecution().optimizedPlan().toString().count("s_feeds") == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [url#") == 1
     got = {(r["method"], r["url"]): (r["tags"], [p["name"] for p in r["parameters"]]) for r in out.collect()}
     assert got == {("GET", "https://a.example.com/x?y=1"): (["otx"], []), ("POST", "https://a.example.com/x?y=1"): (["fetch"], ["b"]),
                    ("GET", "https://a.example.com/api"): (["browser"], []), ("GET", None): (["browser"], [])}
