@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -80,6 +82,31 @@ def test_signatures_estimate_weighted_similarity(weigh):
         assert (a == b).mean() == pytest.approx(np.minimum(x, y).sum() / np.maximum(x, y).sum(), abs=0.09)
 
 
+def test_short_documents_do_not_fill_memory():
+    texts = [f"a{k} b c d e f{k}" for k in range(3000)]
+    tracemalloc.start()
+    many = dartminhash.bands_of(texts, 40, 6, 5, "set")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert many[::500] == [dartminhash.bands_of([t], 40, 6, 5, "set")[0] for t in texts[::500]]
+    assert dartminhash.dart_minhash(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), 0, 8).shape == (0, 8)
+
+
+def test_large_buckets_need_few_rounds(spark):
+    # stars around 40 centres that all share bands: one leader at a time, or two, four, ... would go on for many rounds
+    folders = []
+    keep, dartminhash.scratch_path = dartminhash.scratch_path, lambda s, label: folders.append(path := keep(s, label)) or path
+    try:
+        base = prose(7, 60)
+        rows = [(k, edited(base, k, 0.12)) for k in range(120)]
+        out = {r["doc_id"]: r["class_id"] for r in dartminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        dartminhash.scratch_path = keep
+    assert same_partition([out[d] for d, _ in rows], near_classes(rows))
+    assert len(list(Path(folders[0].removeprefix("file:")).glob("stars*"))) <= 3
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(300) if i % 50] + [(1000, 1000 + k) for k in range(1, 80)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)] + [(5, 5)]

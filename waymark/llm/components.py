@@ -39,12 +39,13 @@ def connected(links: DataFrame) -> DataFrame:
             moved = joined.select(F.col("o").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
         return moved.where("u <> v").distinct()
 
+    def mark(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
+
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        after = stored(star(star(edges, True), False))
-        mark = [e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for e in (edges, after)]
-        edges = after
-        if mark[0] == mark[1]:
-            break
+    before, now = None, mark(edges)
+    while now != before:
+        edges = stored(star(star(edges, True), False))
+        before, now = now, mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -28,6 +28,10 @@ from .shingles import WORDS, shingle_sets
 
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
+#: Darts that a task has in memory at once, about; one document is taken whole.
+DARTS = 400_000
+#: Leaders of a bucket grow by this factor from round to round.
+MORE_LEADERS = 16
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -42,10 +46,26 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     """Signatures [document, coordinate]; a document without weight has EMPTY everywhere.
 
     ``elements`` are 64-bit hashes, ``weights`` positive, ``owner`` the document
-    of each, ascending.
+    of each, ascending. Documents are taken in parts of about ``DARTS`` darts: a
+    short document has as many darts as a long one, so bytes do not bound them.
     """
+    enough = t * (math.log(t) + 2)
+    # a cell at least per element and slab, a dart per cell
+    slabs = 1 + np.ceil(np.log2(np.maximum(weights, 1.0)))
+    load = np.cumsum(np.bincount(owner, slabs, minlength=n_docs) + enough)
+    part = (load // DARTS).astype(np.int64)
+    firsts = np.flatnonzero(np.diff(part, prepend=-1))
+    out = np.empty((n_docs, t), dtype=np.uint64)
+    for first, end in zip(firsts, np.append(firsts[1:], n_docs)):
+        own = slice(*np.searchsorted(owner, [first, end]))
+        out[first:end] = _signed(elements[own], weights[own], owner[own] - first, end - first, t, enough)
+    return out
+
+
+def _signed(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n_docs: int, t: int, enough: float) -> np.ndarray:
+    """Signatures of a part of the documents."""
     total = np.bincount(owner, weights, minlength=n_docs)
-    bound = np.divide(t * (math.log(t) + 2), total, out=np.zeros(n_docs), where=total > 0)
+    bound = np.divide(enough, total, out=np.zeros(n_docs), where=total > 0)
     signature = np.full(n_docs * t, EMPTY, dtype=np.uint64)
     open_ = total > 0
     while open_.any():
@@ -153,19 +173,20 @@ def _bound(n_one: Column, open_one: Column, n_two: Column, open_two: Column) ->
 
 
 def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS,
-               weigh: str = "set") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, nodes, links) over the distinct texts of ``docs``.
+               weigh: str = "set") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts, nodes, links, component) over the distinct texts of ``docs``.
 
     - texts: _key, node, doc_id (smallest), n_rows per distinct text.
     - nodes: _key, node for the texts that share a band with another.
     - links: a, b (nodes), similarity, all at least ``similarity``.
+    - component: node, component (smallest node) of the nodes with a link.
 
     Not all pairs of a bucket are compared. A shingle that one node alone has can
     be common to no pair, so sizes and numbers of such private shingles bound
     every similarity from above; nodes that cannot reach ``similarity`` with any
     size present in their bucket leave it unseen. A bucket has a leader, the node
     that shares most bands with others. Members are compared with it; those that
-    are not similar enough choose leaders among themselves, twice as many each
+    are not similar enough choose leaders among themselves, 16 times as many each
     time, until none are left. As distance is a metric, what this may miss is a
     link between a member that a leader holds and one it refused by no more than
     twice the distance; where those two lie in different components at the end,
@@ -226,14 +247,12 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         """The rows of every step so far, as one folder."""
         return spark.read.parquet(f"{folder}/{name}").drop("step")
 
-    while True:
+    while not left.isEmpty():
         best = Window.partitionBy("h").orderBy(F.desc("degree"), "node")
-        leaders = left.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 1 << step)
+        leaders = left.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= MORE_LEADERS ** step)
         leaders = leaders.select("h", F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("open").alias("open_leader"))
         stars = left.withColumnRenamed("n", "n_node").withColumnRenamed("open", "open_node").join(leaders, "h").where("node <> leader")
         stars = stored(stars, f"stars{step}")
-        if stars.isEmpty():
-            break
         compare(paired(stars, "node", "leader"), step)
         tested = all_steps("pairs")
         ends = stars.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader"))
@@ -246,13 +265,13 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
 
     empty = spark.createDataFrame([], "a long, b long, similarity double")
     if tested is None:
-        return texts, nodes, empty
+        return texts, nodes, empty, connected(empty)
     links = tested.where(F.col("similarity") >= similarity)
     refused = stored(all_steps("judged").where(F.col("similarity") > 2 * similarity - 1).groupBy("leader", "node", "n", "open", "most").agg(
         F.max("similarity").alias("similarity"), F.max("common").alias("common")), "refused")
+    component = connected(links.select("a", "b"))
     while True:
         # what a leader holds against what it refused by little, across components
-        component = connected(links.select("a", "b"))
         placed = refused.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = stored(placed, f"placed{step}")
         split = placed.groupBy("leader").agg(
@@ -272,8 +291,9 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         tested = all_steps("pairs")
         more = found.where(F.col("similarity") >= similarity)
         if more.isEmpty():
-            return texts, nodes, links
-        links = tested.where(F.col("similarity") >= similarity)
+            return texts, nodes, tested.where(F.col("similarity") >= similarity), component
+        # components so far are as good as the links they were made of
+        component = connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
 
 
 def near_classes(docs: DataFrame, **kw) -> DataFrame:
@@ -297,8 +317,8 @@ def near_classes(docs: DataFrame, **kw) -> DataFrame:
 
 def _classes(docs: DataFrame, **kw) -> DataFrame:
     """The rows of near_classes with the key of their text."""
-    texts, nodes, links = near_links(docs, **kw)
-    component = connected(links.select("a", "b")).join(nodes.select("_key", "node"), "node").select("_key", "component")
+    texts, nodes, _, component = near_links(docs, **kw)
+    component = component.join(nodes.select("_key", "node"), "node").select("_key", "component")
     own = texts.select("_key", "doc_id", "n_rows").join(component, "_key", "left")
     whole = own.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("_id"), F.sum("n_rows").alias("_n"))
     classes = own.join(whole, "component", "left").select(
