@@ -1,14 +1,16 @@
 """Keyed tables, appends and the coverage stream over several batches, replays and late rows."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from waymark import sinks, sources
 from waymark.operators import coverage
-from waymark.plans import scans, views
+from waymark.plans import scans, streams, views
 from waymark.sinks import keyed
 from waymark.streaming import live
 
@@ -178,3 +180,15 @@ def test_producers_without_parameters_are_read_once(spark):
     from waymark import sources
     plan = registry.profiled(sources.parse_telemetry(text))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_files_of_a_stream_grow_in_number_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 50, raising=False)
+    made, places = {}, live.places
+    monkeypatch.setattr(live, "places", lambda session, label: made.setdefault(label, places(session, label)))
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    out = Path(streams._coverage(spark, SF).removeprefix("file:"))
+    rows = [spark.read.parquet(str(f)).count() for f in sorted(out.glob("staged/batch=*"))]
+    assert len(rows) == 3 and sum(rows) == n
+    files = [pq.ParquetFile(f).metadata.num_rows for f in Path(made["arriving"][0].removeprefix("file:")).glob("*.parquet")]
+    assert sum(files) == n and max(files) <= 60

@@ -16,8 +16,10 @@ from .scans import to_schema
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-#: Batches of a stream, and files per batch.
+#: Batches of a stream, and files per batch at least.
 BATCHES, FILES = 3, 2
+#: Rows of a file, about: a file is read by one task.
+FILE_ROWS = 50_000
 
 
 def arriving(spark, sf):
@@ -25,14 +27,17 @@ def arriving(spark, sf):
 
     The slices are in order of time, but the second arrives last, so that every
     stream sees several batches and late rows. All rows are written and read.
+    The files of a slice grow in number with the table, so that its tasks do not
+    grow.
     """
     events = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
-    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.percentile_approx("t", [k / BATCHES for k in range(1, BATCHES)]).alias("c")).first()["c"]
+    cuts, n = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.percentile_approx("t", [k / BATCHES for k in range(1, BATCHES)]), F.count(F.lit(1))).first()
+    files = max(FILES, -(-n // (BATCHES * FILE_ROWS)))
     folder = f"{live.places(spark, 'arriving')[0]}"
     slice_no = sum(((F.unix_micros(F.col("ts").cast("timestamp")) > c).cast("int") for c in cuts or []), F.lit(0))
     for k in sorted(range(BATCHES), key=lambda k: (k == 1, k)):
-        events.where(F.coalesce(slice_no, F.lit(0)) == k).repartition(FILES).write.mode("append").parquet(folder)
-    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", FILES).parquet(folder)
+        events.where(F.coalesce(slice_no, F.lit(0)) == k).repartition(files).write.mode("append").parquet(folder)
+    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
     name = f"arriving_{uuid.uuid4().hex}"
     rows.createOrReplaceTempView(name)
     try:
