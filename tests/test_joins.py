@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.functions import urls
 from waymark.operators import access, fingerprint, surface
 from waymark.signatures import tech
 
@@ -122,3 +123,41 @@ def test_urls_that_no_pattern_needs_are_left_out_before_their_body_is_hashed(spa
     kept = {r["u"] for r in df.where(fingerprint._may_match("u", patterns)).collect()}
     assert kept >= {u for u in urls if u and any(re.search(p, u) for p in patterns)} and not kept & {"/plain", "", None}
     assert df.where(fingerprint._may_match("u", [])).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_that_come_again_are_taken_apart_once(spark):
+    rows = [(1, "get", "http://a/x?b=2&a=1#f", ""), (0, "get", "http://a/x?b=2&a=1#f", ""), (2, "post", "http://a/x", "u=1&v="), (3, "post", "http://a/x", None), (4, "get", "http://a/#q?z=1", "")]
+    seen = spark.createDataFrame(rows, "seq long, method string, url string, body string")
+    found = surface.endpoint_parameters(seen, body="body")
+    assert sorted(map(tuple, found.collect())) == [
+        ("GET", "http://a/x?b=2&a=1", "a", "query", ["1"], 0), ("GET", "http://a/x?b=2&a=1", "b", "query", ["2"], 0), ("POST", "http://a/x", "u", "body", ["1"], 2)]
+    plan = _plan(surface.query_parameters(seen))
+    assert plan.count("try_url_decode") + plan.count("tryurldecode") <= 2 and plan.count("split(") == 1
+    assert _plan(found).count("Aggregate") == 3  # URLs, bodies, names
+
+
+def test_the_location_is_looked_up_once_per_use_and_boundaries_read_once(spark):
+    rows = [(1, 302, "/Login/x"), (2, 302, "/home"), (3, 403, ""), (4, 401, ""), (5, 200, "/login"), (6, 307, "/a/saml")]
+    log = spark.createDataFrame(rows, "id long, response_status int, loc string").selectExpr(
+        "id", "timestamp_seconds(id) AS ts", "'u' AS request_url", "'GET' AS request_method", "response_status", "map('Location', loc) AS response_headers")
+    seen = access.boundary_sightings(log)
+    assert {r["seq"]["id"]: r["boundary_type"] for r in seen.collect()} == {1: "redirect_to_login", 3: "forbidden", 4: "unauthorized", 6: "redirect_to_login"}
+    assert _plan(seen).count("map_filter") <= 2
+    merged = surface.merge_boundaries(seen)
+    assert tuple(merged.select("boundary_type", "unauth_status", "access_matrix", "seq.id").first()) == ("redirect_to_login", 302, {"anonymous": 307}, 1)
+    assert "Join" not in _plan(merged)
+
+
+def test_plain_urls_are_those_that_normalising_leaves_alone(spark):
+    ends = ["", "?", "?a=1", "?&", "?a&", "?a&&\n", "?a\n", "? a", "?a ", "?a#f", "#f", "#f?a", "?a?b", "?x&y=2", "/p?a "]
+    texts = [s + e for s in ("http://h/p", "HTTP://H/p", "/p:q", "mailto:x", "", "a:b", "é:b") for e in ends]
+    slow = lambda u: re.sub(r"^[^:/?#]+:", lambda m: m[0].lower(), re.match(r"[^?#]*", u)[0])
+    for u, plain in spark.createDataFrame([(t,) for t in texts], "u string").select("u", F.col("u").rlike(urls.PLAIN_PATTERN)).collect():
+        if plain:
+            query = u.partition("?")[2]
+            assert "#" not in u and slow(u) == u.partition("?")[0] and (query or not u.endswith("?")) and query == query.strip(" &\n ")
+    assert [r[0] for r in spark.createDataFrame([("http://h/p?a&",), ("HTTP://H?b",), ("http://h?a=1",)], "u string").select(urls.normalize(F.col("u"))).collect()] == ["http://h/p?a", "http://H?b", "http://h?a=1"]

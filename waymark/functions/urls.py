@@ -12,6 +12,8 @@ from .text import digest
 
 # Groups: 1 scheme, 2 authority, 3 path, 4 query, 5 fragment
 URL_PATTERN = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+# A URL that ``normalize`` leaves as it is: lower-case scheme, no fragment, nothing to trim at either end of the query
+PLAIN_PATTERN = r"^[a-z][a-z0-9+.-]*:[^?#]*(?:\?(?! )[^#]*[^#& \n\r\u0085\u2028\u2029])?\z"
 HOST_PATTERN = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)"
 
 # What counts as a dynamic path segment, in test order.
@@ -65,7 +67,8 @@ def normalize(url: Column) -> Column:
     bare = F.regexp_extract(url, r"^([^?#]*)", 1)
     lead = F.regexp_extract(bare, r"^([^:/?#]+:)", 1)
     bare = F.concat(F.lower(lead), F.substr(bare, F.length(lead) + 1))
-    return F.concat(bare, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    # most URLs are plain: one regex tells, instead of four that take them apart
+    return F.when(url.rlike(PLAIN_PATTERN), url).otherwise(F.concat(bare, F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
 
 
 def segments(url: Column) -> Column:

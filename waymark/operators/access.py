@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, structure, urls
-from ..functions.text import contains_any
 
 LENGTH_TOLERANCE = 0.10
 CATCH_ALL_MARGIN = 0.2
@@ -94,7 +93,8 @@ def boundary_sightings(txn: DataFrame) -> DataFrame:
     """401, 403 and redirects to a login path, one row each."""
     status = F.col("response_status")
     location = structure.header(F.col("response_headers"), "location")
-    to_login = status.isin(classify.REDIRECTS) & contains_any(F.lower(urls.path(location)), LOGIN_PATH_WORDS)
+    # one regex: each word by itself would look the header up again
+    to_login = status.isin(classify.REDIRECTS) & F.lower(urls.path(location)).rlike("|".join(LOGIN_PATH_WORDS))
     kind = F.when(status == 403, "forbidden").when(status == 401, "unauthorized").when(to_login, "redirect_to_login")
     rows = txn.select(
         F.col("request_url").alias("url"), F.col("request_method").alias("method"), kind.alias("boundary_type"),
