@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import urls
+from waymark.functions import classify, urls
 from waymark.operators import access, fingerprint, surface
 from waymark.signatures import tech
 
@@ -129,6 +129,19 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_header_lists_give_the_values_and_sequences_of_the_log(spark):
+    heads = ["map('Server', 'nginx', 'Date', cast(id AS string), 'X-Px-A', '1')", "map('server', 'a', 'SERVER', 'a')", "map('Date', 'x')", "map('Server', '')"]
+    log = spark.range(40).selectExpr("id", "timestamp_seconds(id % 7) AS ts", f"CASE id % 4 {' '.join(f'WHEN {i} THEN {h}' for i, h in enumerate(heads))} END AS response_headers")
+    lists = fingerprint.header_lists(log, ["server"], ["x-px-"])
+    assert lists.count() == 4  # the dates do not tell lists apart
+    each = lists.select("hits", "first_seen", F.explode("entries").alias("e")).where("e.name = 'server' AND e.value <> ''")
+    got = each.groupBy("e.value").agg(F.sum("hits").alias("hits"), F.min("first_seen").alias("first_seen"))
+    want = fingerprint.header_values(log, ["server"]).select("value", "hits", "first_seen")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    names = lists.selectExpr("array_join(transform(entries, e -> e.name), ',') AS joined", "hits", "first_seen")
+    assert sorted(map(tuple, names.collect())) == sorted(map(tuple, fingerprint.name_sequences(log).select("joined", "hits", "first_seen").collect()))
+
+
 def test_requests_that_come_again_are_taken_apart_once(spark):
     rows = [(1, "get", "http://a/x?b=2&a=1#f", ""), (0, "get", "http://a/x?b=2&a=1#f", ""), (2, "post", "http://a/x", "u=1&v="), (3, "post", "http://a/x", None), (4, "get", "http://a/#q?z=1", "")]
     seen = spark.createDataFrame(rows, "seq long, method string, url string, body string")
@@ -161,3 +174,10 @@ def test_plain_urls_are_those_that_normalising_leaves_alone(spark):
             query = u.partition("?")[2]
             assert "#" not in u and slow(u) == u.partition("?")[0] and (query or not u.endswith("?")) and query == query.strip(" &\n ")
     assert [r[0] for r in spark.createDataFrame([("http://h/p?a&",), ("HTTP://H?b",), ("http://h?a=1",)], "u string").select(urls.normalize(F.col("u"))).collect()] == ["http://h/p?a", "http://H?b", "http://h?a=1"]
+
+
+def test_samples_are_typed_once(spark):
+    rows = spark.createDataFrame([("x", ["1", "a b", "2", "true"]), ("x", ["zz z", "1.5"]), ("x", [])], "name string, samples array<string>")
+    typed = rows.select(classify.infer_type(F.col("name"), F.col("samples")).alias("t"))
+    assert [r["t"] for r in typed.collect()][2] == "string" and [r["t"] for r in typed.collect()][0] == [r["t"] for r in rows.limit(1).select(classify.value_type(F.lit("1")).alias("t")).collect()][0]
+    assert _plan(typed).count("UUID") + _plan(typed).count("uuid") <= 2
